@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.llm import exact_dedup
+from pathloom.llm import bpe, exact_dedup, mixing
 
-MODULES = [exact_dedup]
+MODULES = [mixing, exact_dedup, bpe]
 
 
 def queries() -> dict:
