@@ -48,7 +48,9 @@ class DigestIndex:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Append what is new of batch (digest, doc_id); return the rows that were appended."""
-        firsts = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+        # Written first: the optimiser would otherwise move the anti-join below the aggregate,
+        # and deal out every row of a large group instead of one for each task.
+        firsts = materialize(batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "batch-digests")
         fresh = firsts.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
         fresh = materialize(fresh.repartition(self.buckets, "digest"), "fresh-digests")
         self._write(fresh)
