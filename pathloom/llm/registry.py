@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.llm import bpe, exact_dedup, mixing, quality, url_filter
+from pathloom.llm import bpe, exact_dedup, mixing, quality, toxicity, url_filter
 
-MODULES = [mixing, exact_dedup, bpe, url_filter, quality]
+MODULES = [mixing, exact_dedup, bpe, url_filter, quality, toxicity]
 
 
 def queries() -> dict:
