@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.llm import bpe, exact_dedup, fingerprint, mixing, near_dup, quality, toxicity, url_filter
+from pathloom.llm import bpe, exact_dedup, fingerprint, mixing, near_dup, quality, substring_dedup, toxicity, url_filter
 
-MODULES = [mixing, exact_dedup, bpe, url_filter, quality, toxicity, fingerprint, near_dup]
+MODULES = [mixing, exact_dedup, bpe, url_filter, quality, toxicity, fingerprint, near_dup, substring_dedup]
 
 
 def queries() -> dict:
