@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import materialize, shuffle_partitions, table
+from pathloom.llm.common import materialize, shuffle_partitions, table, word_hashes
 
 WINDOW = 50
 #: Words of the grams that anchors are chosen from: WINDOW - GRAM + 1 grams in a window.
@@ -66,10 +66,6 @@ def rolling(each: np.ndarray, width: int, base: int) -> np.ndarray:
     return out ^ (out >> _u(29))
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hash, words), np.uint64, len(words))
-
-
 def anchors(each: np.ndarray) -> np.ndarray:
     """The anchor of every window, in order."""
     if len(each) < WINDOW:
@@ -94,7 +90,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys.append(_hash(line) - 2**63)
                 counts.append(len(words))
                 shas.append(hashlib.sha256(line).hexdigest())
-                found.append(np.unique(anchors(hashed(words))).view(np.int64) if len(words) >= WINDOW else [])
+                found.append(np.unique(anchors(word_hashes(words))).view(np.int64) if len(words) >= WINDOW else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "n_words", "all_sha256", "anchors"])
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, key bigint, n_words bigint, all_sha256 string, anchors array<bigint>")
@@ -112,7 +108,7 @@ def windows(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for doc_id, key, text, wanted in zip(*(batch.column(c) for c in ("doc_id", "key", "text", "wanted"))):
-                each = hashed(words_of(text.as_py()))
+                each = word_hashes(words_of(text.as_py()))
                 if len(each) < WINDOW:
                     continue
                 place = np.flatnonzero(np.isin(anchors(each).view(np.int64), np.array(wanted.as_py(), np.int64)))
