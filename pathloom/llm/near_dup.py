@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import materialize, shuffle_partitions, table
+from pathloom.llm.common import materialize, shuffle_partitions, table, word_hashes
 from pathloom.llm.components import components
 
 WORDS = 5
@@ -65,7 +65,7 @@ def shingles(text: str | None) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < WORDS:
         return np.array([_hash(b" ".join(words), 1)], np.uint64)
-    each = np.fromiter(map(_hash, words), np.uint64, len(words))
+    each = word_hashes(words)
     n = len(each) - WORDS + 1
     out = sum(each[k : n + k] * _WEIGHTS[k] for k in range(WORDS))
     out = (out ^ (out >> _u(29))) * _WEIGHTS[1]
@@ -269,10 +269,35 @@ def keyed(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(lead, "large boolean, key bigint, class bigint, size bigint, rest bigint")
 
 
+def may_link(size_a, rest_a, size_b, rest_b):
+    """Whether sets of these sizes, with so many members at or behind a shared key, can be linked."""
+    sizes = (DENOMINATOR * size_a >= NUMERATOR * size_b) & (DENOMINATOR * size_b >= NUMERATOR * size_a)
+    return sizes & ((NUMERATOR + DENOMINATOR) * np.minimum(rest_a, rest_b) >= NUMERATOR * (size_a + size_b))
+
+
+def pair_buckets(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of two: rows (key, class, size, rest) that may link, equal pairs merged."""
+    good = (a[:, 1] != b[:, 1]) & may_link(a[:, 2], a[:, 3], b[:, 2], b[:, 3])
+    a, b = a[good], b[good]
+    swap = a[:, 1] > b[:, 1]
+    a[swap], b[swap] = b[swap], a[swap]
+    order = np.lexsort((b[:, 2], a[:, 2], b[:, 1], a[:, 1]))
+    a, b = a[order], b[order]
+    if not len(a):
+        return np.zeros(0, np.int64), a
+    new = np.r_[True, ((a[1:, 1:3] != a[:-1, 1:3]) | (b[1:, 1:3] != b[:-1, 1:3])).any(1)]
+    starts = np.flatnonzero(new)
+    for rows in (a, b):
+        rows[starts, 3] = np.maximum.reduceat(rows[:, 3], starts)
+    a, b = a[starts], b[starts]
+    bucket = (a[:, 1].view(np.uint64) * _WEIGHTS[0] ^ (b[:, 1].view(np.uint64) * _WEIGHTS[1] >> _u(1))).view(np.int64)
+    return np.concatenate([bucket, bucket]), np.concatenate([a, b])
+
+
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted key rows to bucket rows: keys of a single class go, keys with equal classes merge.
+    """Sorted key rows to bucket rows: sets that can link to no other of their key go, keys with equal classes merge.
 
-    A key with more than SMALL rows is passed on as it comes, as a large bucket.
+    Rows of large keys, and of a key that turns out to have more than SMALL rows, are passed on as they come.
     """
     names = ["large", "bucket", "class", "size", "rest"]
     held: list[np.ndarray] = []
@@ -284,14 +309,21 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close(rows: np.ndarray) -> list[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
         ends = np.r_[starts[1:], len(rows)]
-        done, kept, ids, result = {}, [], [], []
-        for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+        pairs = starts[ends - starts == 2]
+        bucket, kept = pair_buckets(rows[pairs], rows[pairs + 1])
+        done: dict[bytes, np.ndarray] = {}
+        result = [out(False, bucket, kept)] if len(kept) else []
+        for lo, hi in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
             group = rows[lo:hi]
             if hi - lo > SMALL:
                 result.append(out(True, group[:, 0], group))
                 continue
-            group = group[np.lexsort((-group[:, 3], group[:, 1]))]
-            group = group[np.r_[True, group[1:, 1] != group[:-1, 1]]]
+            group = group[np.lexsort((-group[:, 3], group[:, 2], group[:, 1]))]
+            group = group[np.r_[True, (group[1:, 1:3] != group[:-1, 1:3]).any(1)]]
+            size, rest = group[:, 2], group[:, 3]
+            links = may_link(size[:, None], rest[:, None], size, rest)
+            np.fill_diagonal(links, False)
+            group = group[links.any(1)]
             if len(group) < 2:
                 continue
             name = group[:, 1].tobytes()
@@ -299,17 +331,20 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 done[name][:, 3] = np.maximum(done[name][:, 3], group[:, 3])
             else:
                 done[name] = group.copy()
-        for name, group in done.items():
-            kept.append(group)
-            ids.append(np.full(len(group), _hash(name) - 2**63))
-        if kept:
-            result.append(out(False, np.concatenate(ids), np.concatenate(kept)))
+        if done:
+            ids = [np.full(len(group), _hash(name) - 2**63) for name, group in done.items()]
+            result.append(out(False, np.concatenate(ids), np.concatenate(list(done.values()))))
         return result
 
     for batch in batches:
         rows = np.stack([batch.column(c).to_numpy() for c in ("key", "class", "size", "rest")], axis=1)
-        if streaming is not None:
-            run = np.argmax(rows[:, 0] != streaming) if (rows[:, 0] != streaming).any() else len(rows)
+        large = batch.column("large").to_numpy(zero_copy_only=False)
+        if large.any():
+            yield out(True, rows[large, 0], rows[large])
+            rows = rows[~large]
+        if streaming is not None and len(rows):
+            other = rows[:, 0] != streaming
+            run = int(np.argmax(other)) if other.any() else len(rows)
             if run:
                 yield out(True, rows[:run, 0], rows[:run])
             rows = rows[run:]
@@ -318,8 +353,9 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         held.append(rows)
         whole = np.concatenate(held)
-        last = int(np.searchsorted(whole[:, 0], whole[-1, 0]))
-        yield from close(whole[:last]) if last else ()
+        last = int(np.argmax(whole[:, 0] == whole[-1, 0]))
+        if last:
+            yield from close(whole[:last])
         held = [whole[last:]]
         if len(held[0]) > SMALL:
             streaming = held[0][0, 0]
@@ -332,15 +368,17 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def buckets(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     """large, bucket, class, size, rest: each class once in each bucket."""
     spark = docs.sparkSession
-    rows = keyed(docs, frequent)
-    rows = materialize(rows, "shingle-keys")
-    grouped = rows.filter("not large").drop("large").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(gather, "large boolean, bucket bigint, class bigint, size bigint, rest bigint")
-    all_rows = rows.filter("large").withColumnRenamed("key", "bucket").unionByName(grouped)
-    return materialize(all_rows.groupBy("large", "bucket", "class", "size").agg(F.max("rest").alias("rest")), "buckets")
+    spread = F.when(F.col("large"), F.col("class")).otherwise(0)
+    rows = keyed(docs, frequent).repartition(shuffle_partitions(spark), "key", spread).sortWithinPartitions("key")
+    found = rows.mapInArrow(gather, "large boolean, bucket bigint, class bigint, size bigint, rest bigint")
+    return materialize(found.groupBy("large", "bucket", "class", "size").agg(F.max("rest").alias("rest")), "buckets")
 
 
 def members_of(docs: DataFrame, sets: DataFrame, needed: DataFrame) -> DataFrame:
-    """class, size, members, bitmap of the classes needed: from one document of each."""
+    """class, size, members, bitmap of the classes needed: from one document of each.
+
+    Rows that repeat an id repeat the class too, which only repeats pairs.
+    """
     first = sets.filter("n > 0").join(needed.select("class", F.col("size").alias("n")).distinct(), ["class", "n"]).groupBy("class", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +389,7 @@ def members_of(docs: DataFrame, sets: DataFrame, needed: DataFrame) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array([s.tobytes() for s in rows], pa.binary()), pa.array([signature(s).tobytes() for s in rows], pa.binary())], names=["class", "size", "members", "bitmap"])
 
     texts = docs.select("doc_id", "text").hint("merge").join(first, "doc_id", "left_semi")
-    return materialize(texts.mapInArrow(build, "class bigint, size bigint, members binary, bitmap binary").dropDuplicates(["class", "size"]), "members")
+    return materialize(texts.mapInArrow(build, "class bigint, size bigint, members binary, bitmap binary"), "members")
 
 
 def traverse(exhaustive: bool):

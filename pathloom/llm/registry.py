@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.llm import bpe, exact_dedup, fingerprint, mixing, near_dup, quality, substring_dedup, toxicity, url_filter
+from pathloom.llm import bpe, exact_dedup, fingerprint, mixing, near_dup, quality, substring_dedup, toxicity, url_filter, warc_fixity
 
-MODULES = [mixing, exact_dedup, bpe, url_filter, quality, toxicity, fingerprint, near_dup, substring_dedup]
+MODULES = [toxicity, substring_dedup, warc_fixity, near_dup, bpe, url_filter, mixing, exact_dedup, quality, fingerprint]
 
 
 def queries() -> dict:
