@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 CN_DIGITS = "零一二三四五六七八九"
 
@@ -31,7 +32,7 @@ def numerals_to_digits(s: str) -> str:
     return re.sub(f"[{CN_DIGITS}两十]+", value, s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalise_numerals(names: pd.Series) -> pd.Series:
     return names.map(lambda s: None if s is None else numerals_to_digits(s))
 
@@ -46,7 +47,7 @@ def _digits_aligned(part: Column, whole: Column) -> Column:
     return (at > 0) & ~cut_left & ~cut_right
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
 

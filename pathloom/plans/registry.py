@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pathloom.plans import base, joins, rows  # noqa: F401  modules register their queries
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1)
+    return base.QUERIES["flt03_validity"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
