@@ -59,7 +59,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 class _Remembered(dict):
     """Hashes of words already met by this worker; starts afresh when it has met very many."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -42,9 +42,11 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Shingles whose counts over all documents set the common order: the most frequent so many.
 FREQUENT = 65_536
 #: A shingle is counted where one batch of documents holds it so often, or in this share of the batch.
-COUNTED, COUNTED_SHARE = 3, 1 / 1024
+COUNTED, COUNTED_SHARE = 3, 1 / 256
 #: Buckets of more sets than this are cut into blocks of about BLOCK sets.
 SMALL, BLOCK = 512, 256
+#: Documents whose sets a worker holds at a time.
+TOGETHER = 512
 #: Sets in a leaf, and children of an inner node.
 LEAF, FANOUT = 8, 8
 #: Bits of a signature for each member of a set, and the least width.
@@ -202,11 +204,18 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
 # ---- Spark stages -----------------------------------------------------------------------------
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """So many documents at a time: what a worker holds does not depend on the session's batch size."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(start, TOGETHER)
+
+
 def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per document: doc_id, set size, class. And counts of the shingles that many documents share."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [shingles(t.as_py()) for t in batch.column("text")]
             n, classes = [len(s) for s in rows], [class_of(s) for s in rows]
             # Texts with one set count once in a batch.
@@ -245,7 +254,7 @@ def keyed(docs: DataFrame, frequent: DataFrame) -> DataFrame:
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        for batch in batches:
+        for batch in sliced(batches):
             if len(seen) > 1_000_000:
                 seen.clear()
             parts = []
@@ -382,11 +391,9 @@ def members_of(docs: DataFrame, sets: DataFrame, needed: DataFrame) -> DataFrame
     first = sets.filter("n > 0").join(needed.select("class", F.col("size").alias("n")).distinct(), ["class", "n"]).groupBy("class", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                rows = [shingles(t.as_py()) for t in batch.column("text").slice(start, 512)]
-                rows = [s for s in rows if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array([s.tobytes() for s in rows], pa.binary()), pa.array([signature(s).tobytes() for s in rows], pa.binary())], names=["class", "size", "members", "bitmap"])
+        for batch in sliced(batches):
+            rows = [s for s in (shingles(t.as_py()) for t in batch.column("text")) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array([s.tobytes() for s in rows], pa.binary()), pa.array([signature(s).tobytes() for s in rows], pa.binary())], names=["class", "size", "members", "bitmap"])
 
     texts = docs.select("doc_id", "text").hint("merge").join(first, "doc_id", "left_semi")
     return materialize(texts.mapInArrow(build, "class bigint, size bigint, members binary, bitmap binary"), "members")

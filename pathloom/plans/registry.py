@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.plans import base, joins, rows, sequences  # noqa: F401  modules register their queries
+from pathloom.plans import base, joins, network, operations, rows, sequences  # noqa: F401  modules register their queries
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.QUERIES["flt03_validity"](spark, sf_dir)
+    """The flagship: places within a walking budget of a node."""
+    return network.entry(spark, sf_dir)
 
 
 def queries() -> dict:
