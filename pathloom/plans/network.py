@@ -193,7 +193,7 @@ def _impact_sql() -> str:
     free = _walk_sql(_FROM.format("% 30 = 0")).replace("best AS", "before AS")
     hit = _walk_sql(_FROM.format("% 30 = 0"), cost="cost").replace("edges e", "slowed e").replace("best AS", "after AS")
     for k in range(DEPTH, -1, -1):
-        hit = hit.replace(f"d{k} ", f"h{k} ")
+        hit = hit.replace(f"d{k} ", f"h{k} ").replace(f"d{k})", f"h{k})")
     return f"""WITH {_BOUND}, {_SLOWED}, {NODES}, slowed AS (SELECT e.u, e.v, e.length * coalesce(x.factor, 1) AS cost FROM edges e LEFT JOIN x ON (x.u, x.v) = (e.u, e.v) WHERE NOT coalesce(closed, false)), {free}, {hit}
 SELECT b.source, b.node, round(b.dist, 4) AS before, round(a.dist, 4) AS after, a.dist IS NULL AS cut_off FROM before b LEFT JOIN after a USING (source, node)"""
 
