@@ -50,7 +50,7 @@ TOGETHER = 512
 #: Sets in a leaf, and children of an inner node.
 LEAF, FANOUT = 8, 8
 #: Bits of a signature for each member of a set, and the least width.
-BITS_EACH, LEAST_BITS = 4, 256
+BITS_EACH, LEAST_BITS = 2, 256
 
 _u = np.uint64
 _WEIGHTS = [_u(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
