@@ -30,13 +30,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, cost: str = "length", cutoff: float | None = None, rounds: int = 64, with_path: bool = False) -> DataFrame:
-    """source, node, dist (and path): least costs from every source at once, at most rounds hops.
+def shortest_paths(edges: DataFrame, sources: DataFrame, cost: str = "length", cutoff: float | None = None, rounds: int | None = None, with_path: bool = False) -> DataFrame:
+    """source, node, dist (and path): least costs from every source at once, over paths of any length.
 
     edges has u, v and the cost (smallest of parallel edges counts); sources has source and node. In
     each round only nodes that improved send on: the frontier joins the edges, the minimum of each
     (source, node) is taken before the shuffle, and what does not improve is dropped. Equal costs go
     to the lexicographically smaller path.
+
+    A cheapest path has at most as many edges as there are nodes with one into them; the round after
+    that improves nothing. Where it does (a cycle of negative cost), or at rounds if given, this raises.
     """
     slim = settle(edges.groupBy("u", "v").agg(F.min(cost).cast("double").alias("w")))
     trail = [F.array("node").alias("path")] if with_path else []
@@ -44,7 +47,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, cost: str = "length", c
     columns = ["dist", "path"] if with_path else ["dist"]
     best = settle(sources.select("source", "node", F.lit(0.0).alias("dist"), *trail))
     frontier = best
-    for _ in range(rounds):
+    bound = slim.select("v").distinct().count() + 1 if rounds is None else rounds
+    for _ in range(bound):
         reach = frontier.join(slim, F.col("node") == F.col("u"))
         longer = [F.concat("path", F.array("v")).alias("path")] if with_path else []
         sent = reach.select("source", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), *longer)
@@ -56,10 +60,10 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, cost: str = "length", c
         better_rows = least.join(known, ["source", "node"], "left").filter(F.col("__old").isNull() | (new < F.col("__old")))
         frontier = settle(better_rows.select("source", "node", *[F.col(f"new_{c}").alias(c) for c in columns]))
         if frontier.isEmpty():
-            break
+            return best
         kept = best.join(frontier.select("source", "node"), ["source", "node"], "left_anti")
         best = settle(kept.unionByName(frontier))
-    return best
+    raise RuntimeError(f"shortest paths did not settle in {bound} rounds")
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:

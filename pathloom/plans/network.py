@@ -11,6 +11,7 @@ from pathloom.operators import evaluation, graph, sequences, spatial
 from pathloom.plans.base import EDGES, EVENTS, HOPS, NODES, NOW, PLACES, all_edges, edges, events, nodes, places, query, read
 from pathloom.plans.joins import _LINES, lines, places_xy
 
+#: Hops that the SQL of the searches unrolls; the searches themselves go on until nothing improves.
 DEPTH = 8
 
 
@@ -39,7 +40,7 @@ SELECT id, name, node, round(dist + metres, 3) AS metres, round((dist + metres)
 def grf02_reachable_places(spark: SparkSession, d: str) -> DataFrame:
     """Places of some kinds within a walk of 1,500 m from a node, nearest first: bounded search, snap, rank."""
     open_edges = edges(spark, d).filter("slope <> 5")
-    reach = graph.shortest_paths(open_edges, sources(spark, d, "= 1"), cutoff=1500.0, rounds=DEPTH)
+    reach = graph.shortest_paths(open_edges, sources(spark, d, "= 1"), cutoff=1500.0)
     wanted = places(spark, d).filter(F.col("type").isin("PROMO", "SMALL")).select("id", "name", "lng", "lat")
     snapped = spatial.nearest(wanted, "id", nodes(spark, d), "node", 400.0)
     found = snapped.join(reach.select("node", "dist"), "node").join(wanted.select("id", "name"), "id").withColumn("total", F.col("dist") + F.col("distance"))
@@ -48,19 +49,19 @@ def grf02_reachable_places(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {EDGES}, {NODES}, {_walk_sql(_FROM.format("= 0"))} SELECT node, round(dist, 4) AS dist FROM best""")
 def grf01_single_source(spark, d):
-    return graph.shortest_paths(edges(spark, d), sources(spark, d, "= 0"), rounds=DEPTH).select("node", F.round("dist", 4).alias("dist"))
+    return graph.shortest_paths(edges(spark, d), sources(spark, d, "= 0")).select("node", F.round("dist", 4).alias("dist"))
 
 
 @query(f"""WITH {HOPS}, edges AS (SELECT v AS u, u AS v, min(quantity) * 10 AS length FROM hops GROUP BY 1, 2), {NODES}, {_walk_sql(_FROM.format("% 20 = 0"))} SELECT node, arg_min(source, (dist, source)) AS anchor, round(min(dist), 4) AS dist FROM best GROUP BY node""")
 def grf03_nearest_anchor(spark, d):
     reverse = edges(spark, d).select(F.col("v").alias("u"), F.col("u").alias("v"), "length")
-    best = graph.shortest_paths(reverse, sources(spark, d, "% 20 = 0"), rounds=DEPTH)
+    best = graph.shortest_paths(reverse, sources(spark, d, "% 20 = 0"))
     return best.groupBy("node").agg(F.min(F.struct("dist", "source")).alias("b")).select("node", F.col("b.source").alias("anchor"), F.round("b.dist", 4).alias("dist"))
 
 
 @query(f"""WITH {EDGES}, {NODES}, {_walk_sql(_FROM.format("% 16 = 0"))} SELECT source, node, round(dist, 4) AS dist FROM best WHERE node % 16 = 0""")
 def grf04_matrix(spark, d):
-    return graph.shortest_paths(edges(spark, d), sources(spark, d, "% 16 = 0"), rounds=DEPTH).filter("node % 16 = 0").select("source", "node", F.round("dist", 4).alias("dist"))
+    return graph.shortest_paths(edges(spark, d), sources(spark, d, "% 16 = 0")).filter("node % 16 = 0").select("source", "node", F.round("dist", 4).alias("dist"))
 
 
 def weighted(spark, d, weights: dict) -> DataFrame:
@@ -82,7 +83,7 @@ def grf05_recommend(spark, d):
         part = weighted(spark, d, w).select(shift("u"), shift("v"), "cost")
         start = sources(spark, d, "% 25 = 0").select((F.col("source") * 8 + k).alias("source"), (F.col("node") * 8 + k).alias("node"))
         tagged, starts = (part, start) if tagged is None else (tagged.unionByName(part), starts.unionByName(start))
-    best = graph.shortest_paths(tagged, starts, cost="cost", rounds=DEPTH, with_path=True).filter("size(path) > 1")
+    best = graph.shortest_paths(tagged, starts, cost="cost", with_path=True).filter("size(path) > 1")
     plain = best.select((F.col("source") / 8).cast("long").alias("source"), (F.col("node") / 8).cast("long").alias("node"), (F.col("node") % 8).alias("vector"), F.transform("path", lambda x: (x / 8).cast("long")).alias("path"))
     length = graph.path_edges(plain.withColumn("source", F.struct("source", "vector")), edges(spark, d)).groupBy("source", "node").agg(F.sum("length").alias("metres"))
     measured = length.select("source.source", "source.vector", "node", "metres")
@@ -94,7 +95,7 @@ def grf05_recommend(spark, d):
 @query(f"""WITH {EDGES}, {NODES}, {_walk_sql(_FROM.format("% 10 = 0"))}, legs AS (SELECT a.source AS origin, b.source AS via, b.node AS destination, a.dist + b.dist AS total FROM best a JOIN best b ON a.node = b.source WHERE b.node % 10 = 0 AND a.source <> b.source AND b.source <> b.node AND a.source <> b.node)
 SELECT origin, via, destination, round(total, 4) AS metres, round(total / d.dist, 6) AS detour FROM legs JOIN best d ON d.source = origin AND d.node = destination""")
 def grf06_via(spark, d):
-    best = graph.settle(graph.shortest_paths(edges(spark, d), sources(spark, d, "% 10 = 0"), rounds=DEPTH).filter("node % 10 = 0"))
+    best = graph.settle(graph.shortest_paths(edges(spark, d), sources(spark, d, "% 10 = 0")).filter("node % 10 = 0"))
     first = best.select(F.col("source").alias("origin"), F.col("node").alias("via"), F.col("dist").alias("a"))
     second = best.select(F.col("source").alias("via"), F.col("node").alias("destination"), F.col("dist").alias("b"))
     direct = best.select(F.col("source").alias("origin"), F.col("node").alias("destination"), "dist")
@@ -107,7 +108,7 @@ def grf06_via(spark, d):
 def grf07_tours(spark, d):
     """A tour of up to seven stops for each of four groups of nodes."""
     ship(spark)
-    best = graph.shortest_paths(edges(spark, d), sources(spark, d, "% 4 = 0"), rounds=DEPTH).filter("node % 4 = 0")
+    best = graph.shortest_paths(edges(spark, d), sources(spark, d, "% 4 = 0")).filter("node % 4 = 0")
     stops = F.col("source") % 16
     same = best.filter((F.col("source") % 16 == F.col("node") % 16) & (F.col("source") < 112) & (F.col("node") < 112))
     rows = same.select(stops.alias("tour"), F.col("source").alias("a"), F.col("node").alias("b"), "dist", stops.alias("first"), (F.col("node") * 7 % 11).alias("weight"))
@@ -201,9 +202,9 @@ SELECT b.source, b.node, round(b.dist, 4) AS before, round(a.dist, 4) AS after,
 @query(_impact_sql())
 def grf15_impact(spark, d):
     start = sources(spark, d, "% 30 = 0")
-    before = graph.shortest_paths(edges(spark, d), start, rounds=DEPTH)
+    before = graph.shortest_paths(edges(spark, d), start)
     hit = with_events(spark, d).withColumn("cost", F.col("length") * F.col("factor"))
-    after = graph.shortest_paths(hit, start, cost="cost", rounds=DEPTH).withColumnRenamed("dist", "after")
+    after = graph.shortest_paths(hit, start, cost="cost").withColumnRenamed("dist", "after")
     return before.join(after, ["source", "node"], "left").select("source", "node", F.round("dist", 4).alias("before"), F.round("after", 4).alias("after"), F.col("after").isNull().alias("cut_off"))
 
 
@@ -249,7 +250,7 @@ def grf21_od_matrix(spark, d):
 @query()
 def grf22_turn_by_turn(spark, d):
     """Instructions of the shortest routes from one node: edges of one road merge, a turn at each change."""
-    paths = graph.shortest_paths(edges(spark, d), sources(spark, d, "= 1"), rounds=DEPTH, with_path=True)
+    paths = graph.shortest_paths(edges(spark, d), sources(spark, d, "= 1"), with_path=True)
     steps = graph.path_edges(paths, edges(spark, d))
     n = nodes(spark, d)
     at = lambda k: n.select(F.col("node").alias(k), F.col("lng").alias(f"{k}x"), F.col("lat").alias(f"{k}y"))
@@ -267,7 +268,7 @@ def grf22_turn_by_turn(spark, d):
 @query(f"""WITH {EDGES}, {NODES}, {_walk_sql(_FROM.format("= 1"))} SELECT count(*) AS routes, round(sum(dist), 2) AS metres FROM best WHERE node <> source""")
 def grf23_path_geometry(spark, d):
     """Paths expand to edges whose lengths add up to their costs."""
-    paths = graph.shortest_paths(edges(spark, d), sources(spark, d, "= 1"), rounds=DEPTH, with_path=True)
+    paths = graph.shortest_paths(edges(spark, d), sources(spark, d, "= 1"), with_path=True)
     steps = graph.path_edges(paths, edges(spark, d))
     return steps.groupBy("source", "node").agg(F.sum("length").alias("m")).agg(F.count(F.lit(1)).alias("routes"), F.round(F.sum("m"), 2).alias("metres"))
 
