@@ -32,8 +32,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from pathloom.llm.common import materialize, shuffle_partitions, table, word_hashes
+from pathloom.llm.common import WORD, materialize, shuffle_partitions, table, word_hashes
 from pathloom.llm.components import components
 
 WORDS = 5
@@ -383,12 +384,19 @@ def buckets(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     return materialize(found.groupBy("large", "bucket", "class", "size").agg(F.max("rest").alias("rest")), "buckets")
 
 
-def members_of(docs: DataFrame, sets: DataFrame, needed: DataFrame) -> DataFrame:
+def irregular(sets: DataFrame) -> bool:
+    """Whether an id is null or names several rows, so that ids alone do not find a text."""
+    return not sets.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
+
+
+def members_of(docs: DataFrame, sets: DataFrame, needed: DataFrame, by_class: bool) -> DataFrame:
     """class, size, members, bitmap of the classes needed: from one document of each.
 
-    Rows that repeat an id repeat the class too, which only repeats pairs.
+    by_class: ids repeat or are null. A class without any id is then sought in all rows without one,
+    and what a repeated id brings in beside the class sought, or twice, is dropped.
     """
-    first = sets.filter("n > 0").join(needed.select("class", F.col("size").alias("n")).distinct(), ["class", "n"]).groupBy("class", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    needed = needed.select("class", "size").distinct()
+    first = sets.filter("n > 0").join(needed.withColumnRenamed("size", "n"), ["class", "n"]).groupBy("class", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -396,7 +404,12 @@ def members_of(docs: DataFrame, sets: DataFrame, needed: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array([s.tobytes() for s in rows], pa.binary()), pa.array([signature(s).tobytes() for s in rows], pa.binary())], names=["class", "size", "members", "bitmap"])
 
     texts = docs.select("doc_id", "text").hint("merge").join(first, "doc_id", "left_semi")
-    return materialize(texts.mapInArrow(build, "class bigint, size bigint, members binary, bitmap binary"), "members")
+    if by_class:
+        texts = texts.unionByName(docs.select("doc_id", "text").filter("doc_id is null"))
+    found = texts.mapInArrow(build, "class bigint, size bigint, members binary, bitmap binary")
+    if by_class:
+        found = found.join(needed, ["class", "size"], "left_semi").dropDuplicates(["class", "size"])
+    return materialize(found, "members")
 
 
 def traverse(exhaustive: bool):
@@ -529,10 +542,10 @@ def blocks_apart(rows: DataFrame) -> DataFrame:
     return placed.join(to, ["bucket", "block"])
 
 
-def find_links(docs: DataFrame, sets: DataFrame, frequent: DataFrame) -> DataFrame:
+def find_links(docs: DataFrame, sets: DataFrame, frequent: DataFrame, by_class: bool) -> DataFrame:
     """Verified links (a, size_a, b, size_b) between classes, enough to connect all that are linked."""
     rows = buckets(docs, frequent)
-    members = members_of(docs, sets, rows)
+    members = members_of(docs, sets, rows, by_class)
     bitmaps = members.select("class", "size", "bitmap")
     # First round: every set is its own component; a forest of likely links in each bucket or block.
     sizes = rows.filter("large").groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
@@ -555,29 +568,56 @@ def find_links(docs: DataFrame, sets: DataFrame, frequent: DataFrame) -> DataFra
     return links.unionByName(materialize(verify(materialize(pairs, "possible-pairs"), members), "more-links"))
 
 
+def place(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows (doc_id, n, class) of the documents; class, n, first, component, stays of each class of non-empty sets; irregular().
+
+    first: the class's smallest id. component: the smallest id of its group. stays: whether it is the
+    class that names the group. Groups are made of classes, so rows that share an id stay apart.
+    """
+    sets, frequent = describe(docs)
+    by_class = irregular(sets)
+    links = find_links(docs, sets, frequent, by_class)
+    # A class goes by its smallest id, then by itself, so that roots hold the ids asked for; one without ids comes last.
+    node = F.struct(F.col("first").isNull().cast("int").alias("none"), F.coalesce("first", F.lit(0)).alias("first"), "class", "n")
+    firsts = materialize(sets.filter("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("first")).withColumn("node", node), "classes")
+    named = lambda s: firsts.select(F.col("class").alias(s), F.col("n").alias(f"size_{s}"), F.col("node").alias(f"node_{s}"))
+    between = links.join(named("a"), ["a", "size_a"]).join(named("b"), ["b", "size_b"]).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    roots = components(between)
+    placed = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = placed.select("class", "n", "first", F.when(F.col("root.none") == 0, F.col("root.first")).alias("component"), (F.col("root") == F.col("node")).alias("stays"))
+    return sets, materialize(placed, "class-roots"), by_class
+
+
 def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    sets, frequent = describe(docs)
-    links = find_links(docs, sets, frequent)
-    # A class goes by its smallest id, so that roots are the ids asked for.
-    firsts = materialize(sets.filter("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("first")), "classes")
-    named = lambda s: firsts.select(F.col("class").alias(s), F.col("n").alias(f"size_{s}"), F.col("first").alias(f"first_{s}"))
-    by_id = links.join(named("a"), ["a", "size_a"]).join(named("b"), ["b", "size_b"]).select(F.col("first_a").alias("a"), F.col("first_b").alias("b")).filter("a is not null and b is not null")
-    roots = components(by_id)
-    placed = firsts.join(roots, firsts["first"] == roots["node"], "left").select("class", "n", F.coalesce("root", "first").alias("root"))
-    placed = materialize(placed, "class-roots")
-    return sets.hint("merge").join(placed, ["class", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    sets, placed, _ = place(docs)
+    return sets.hint("merge").join(placed, ["class", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def with_class(docs: DataFrame) -> DataFrame:
+    """docs with __class and __n of each text."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows = [shingles(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([class_of(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64())], names=[*batch.schema.names, "__class", "__n"])
+
+    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField("__class", LongType()), StructField("__n", LongType())]))
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id, with all columns."""
-    kept = materialize(cluster(docs).filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__id"), "n_shingles").count(), "kept-ids")
-    stay = docs.hint("merge").join(kept.select("__id", "count"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    if kept.filter("count > 1").isEmpty():
-        return stay.select(docs.columns)
-    # Rows that repeat an id: of equal texts one stays.
-    single, repeated = stay.filter("count = 1").select(docs.columns), stay.filter("count > 1").dropDuplicates(["__id", "text"]).select(docs.columns)
-    return single.unionByName(repeated)
+    """One document of each group of near duplicates, the one with the smallest id, with all columns.
+
+    Texts with empty sets all stay. Where several rows have the smallest id and one set, one of them stays.
+    """
+    sets, placed, by_class = place(docs)
+    kept = placed.filter("stays").select(F.col("first").alias("__id"), F.col("class").alias("__class"), F.col("n").alias("__n"))
+    if not by_class:
+        ids = materialize(kept.select("__id").unionByName(sets.filter("n = 0").select(F.col("doc_id").alias("__id"))), "kept-ids")
+        return docs.hint("merge").join(ids, F.col("doc_id") == F.col("__id")).select(docs.columns)
+    # Ids alone do not tell the rows apart: the set is part of the key.
+    chosen = with_class(docs.filter(F.coalesce("text", F.lit("")).rlike(WORD))).alias("d").join(kept.alias("k"), F.expr("d.__class = k.__class and d.__n = k.__n and d.doc_id <=> k.__id"), "left_semi")
+    return chosen.dropDuplicates(["__class", "__n"]).select(docs.columns).unionByName(docs.filter(~F.coalesce("text", F.lit("")).rlike(WORD)))
 
 
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
