@@ -2,8 +2,8 @@
 
 Pages that a rule fits seed their hosts: allowed ones with trust, blocked ones with distrust. Trust
 flows along host edges as personalised PageRank, distrust along the reversed edges; both run as one
-iteration of joins and sums over an aggregated edge table. A host whose distrust exceeds its trust
-is blocked, any other is allowed.
+iteration of joins and sums over an aggregated edge table, until the ranks have settled. A host whose
+distrust exceeds its trust is blocked, any other is allowed.
 
 Host edges are links between hosts, counted, and one edge each way between a host and the domain
 above it. Mass that reaches a host without edges out stays there.
@@ -23,9 +23,12 @@ from pathloom.llm.common import UPPER, materialize, table
 #: (verdict, rule): host, then path. The longest rule that fits decides.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING = 0.85
+#: Iterations that the SQL unrolls; propagate() goes on until the ranks have settled.
 ITERATIONS = 10
-#: Iterations between two writes to the shared folder.
+#: Iterations between two writes to the shared folder and looks at the change.
 WRITE_EVERY = 5
+#: Ranks have settled when they changed by less than this share of the seeds' mass, all together.
+TOLERANCE = 1e-9
 #: Decimals to which trust and distrust are compared, so that the order of sums never decides.
 DECIMALS = 12
 
@@ -72,22 +75,33 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return all_edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """kind, host, rank: trust along edges and distrust against them, from seeds (kind, host, mass)."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """kind, host, rank: trust along edges and distrust against them, from seeds (kind, host, mass).
+
+    Ends when the ranks have settled and the last iterations reached no host whose rank shows at DECIMALS.
+    Each iteration shrinks the change by the damping at least, so this comes to an end on any graph.
+    """
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = ways.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
     shares = materialize(ways.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out")).alias("share")), "host-shares")
     start = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("rank"))
     ranks = seeds.select("kind", "host", F.col("mass").alias("rank"))
-    for turn in range(iterations):
-        sent = shares.join(ranks, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
-        ranks = sent.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if (turn + 1) % WRITE_EVERY == 0:
-            ranks = materialize(ranks, "ranks")
-    return ranks
-
-
-def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+    enough = TOLERANCE * (seeds.agg(F.sum("mass")).first()[0] or 0.0)
+    while True:
+        before = ranks
+        for _ in range(WRITE_EVERY):
+            sent = shares.join(ranks, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
+            ranks = sent.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        ranks = materialize(ranks, "ranks")
+        both = ranks.select("kind", "host", "rank", F.lit(0.0).alias("was"), F.lit(0).alias("known")).unionByName(before.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"), F.lit(1).alias("known")))
+        hosts = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"), F.max("known").alias("known"))
+        new = (F.col("known") == 0) & (F.round("rank", DECIMALS) > 0)
+        change, reached = hosts.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("was"))), F.lit(0.0)), F.count_if(new)).first()
+        if change <= enough and not reached:
+            return ranks
+
+
+def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     host, path = url_parts(F.col("url"))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
@@ -98,7 +112,7 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, iterations: i
         .agg(F.count(F.lit(1)).cast("double").alias("mass"))
     )
     # Masses are page counts, not shares: the scale is common to trust and distrust, and only their order decides.
-    ranks = propagate(host_edges(pages), materialize(seeds, "seeds"), damping, iterations)
+    ranks = propagate(host_edges(pages), materialize(seeds, "seeds"), damping)
     of = lambda kind: F.round(F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)), DECIMALS)
     blocked = ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust")).filter("distrust > trust").select("host", F.lit("block").alias("by_graph"))
     return judged.join(materialize(blocked, "blocked-hosts"), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "by_graph", F.lit("allow")).alias("verdict"))
