@@ -1,0 +1,15 @@
+"""Queries over pairs of nodes take all pairs: as their SQL states without its choice by modulo."""
+
+import pytest
+from test_queries import QUERIES, SF, SQL, duck, rows  # noqa: F401
+from test_whole_network import CUT
+
+pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
+
+
+@pytest.mark.parametrize("name, choice", [("grf21_od_matrix", " AND (a.node * 31 + b.node * 17) % 10 = 0"), ("jon24_od_pairs", " WHERE a.node % 5 = 0 AND b.node % 5 = 0")])
+def test_all_pairs(spark, duck, name, choice):  # noqa: F811
+    assert choice in SQL[name]
+    found = QUERIES[name](spark, str(SF))
+    stated = duck.execute(SQL[name].replace(choice, "").replace(CUT, ""))
+    assert rows(found.columns, found.collect()) == rows([c[0] for c in stated.description], stated.fetchall())
