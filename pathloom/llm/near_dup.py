@@ -8,14 +8,17 @@ their roots; a pair of nodes is left as soon as its largest possible overlap is
 smallest that a link needs. What remains at the leaves is verified on the whole sets.
 
 Only which texts hang together is asked for, so sets already known to be linked need no second
-link. A first round verifies a forest of likely links in each bucket; a second one traverses the
-buckets that still hold sets of different components, and verifies every pair that the bounds
-allow. No link between different texts is lost; groups of near copies cost links in proportion to
-their size, not to its square.
-
-Large buckets (members that very many texts share) are cut into blocks: the first round deals their
-sets out twice by hash, the second builds one node for each block, joins the nodes, and traverses
-the pairs of blocks that remain. Texts with equal sets are one class throughout.
+link. A first round verifies a forest of likely links in each bucket. A second one takes the buckets
+that still hold sets of different components: it traverses them with wider bitmaps, keeps the sets
+that the bounds leave a partner in another component, verifies all pairs of those in place and sends
+on a forest of verified links. No link between different texts is lost, and what a task sends on is
+in proportion to the sets it was given, never to their pairs.
+
+Large buckets (members that very many texts share) are cut into blocks of sets of like size,
+component and sketch. The first round verifies links inside the blocks of one large bucket of each
+set. The second builds the upper levels of the tree as tables, a node for each block and for each
+sixteen nodes, and descends from the roots level by level with joins; a pair of nodes is left by the
+bounds, or when both hold one component only. Texts with equal sets are one class throughout.
 
 Defined results: a null or empty text has an empty set, links to nothing and is its own component;
 a text with fewer words than a shingle is one shingle; a null id never names a component unless
@@ -30,7 +33,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -50,8 +54,12 @@ SMALL, BLOCK = 512, 256
 TOGETHER = 512
 #: Sets in a leaf, and children of an inner node.
 LEAF, FANOUT = 8, 8
-#: Bits of a signature for each member of a set, and the least width.
-BITS_EACH, LEAST_BITS = 2, 256
+#: Children of a node above the blocks of a large bucket, as bits of the block's number.
+UPPER_BITS = 4
+#: Bits of a signature for each member of a set, in the first round and after it, and the least width.
+BITS_EACH, WIDE, LEAST_BITS = 2, 8, 256
+#: Members whose overlaps are counted at a time.
+COUNT_AT_ONCE = 16_384
 
 _u = np.uint64
 _WEIGHTS = [_u(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -85,14 +93,20 @@ def least_shared(n: int | np.ndarray) -> int | np.ndarray:
     return (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR
 
 
-def signature(members: np.ndarray) -> np.ndarray:
-    """Token bitmap; its width is a power of two, about BITS_EACH bits for each member."""
-    width = max(LEAST_BITS, 1 << int(BITS_EACH * len(members) - 1).bit_length())
+def signature(members: np.ndarray, each: int = BITS_EACH) -> np.ndarray:
+    """Token bitmap; its width is a power of two, about so many bits for each member."""
+    width = max(LEAST_BITS, 1 << int(each * len(members) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(members >> _u(7)) & _u(width - 1)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def sketch(members: np.ndarray) -> int:
+    """Sets with many common members mostly have the same, or nearly: four least hashes, 16 bits of each."""
+    least = [int((members * w).min() * _WEIGHTS[4]) >> 48 for w in _WEIGHTS[:4]]
+    return least[0] << 47 | least[1] << 31 | least[2] << 15 | least[3] >> 1
+
+
 def folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
     while bitmaps.shape[-1] > words:
         half = bitmaps.shape[-1] // 2
@@ -123,8 +137,8 @@ class Tree:
         return [np.arange(k * width, min(n, (k + 1) * width)) for k in node]
 
 
-def possible(a, i: np.ndarray, b, j: np.ndarray) -> np.ndarray:
-    """Whether nodes i and j can hold a linked pair, by sizes and largest possible overlap."""
+def bounds(a, i: np.ndarray, b, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether nodes i and j can hold a linked pair, by sizes and largest possible overlap; and that overlap."""
     lo_a, hi_a, most_a, extra_a, bits_a = (x[i] for x in a)
     lo_b, hi_b, most_b, extra_b, bits_b = (x[j] for x in b)
     fits = (DENOMINATOR * hi_a >= NUMERATOR * lo_b) & (DENOMINATOR * hi_b >= NUMERATOR * lo_a)
@@ -135,19 +149,19 @@ def possible(a, i: np.ndarray, b, j: np.ndarray) -> np.ndarray:
     lost_a = np.bitwise_count(bits_a).sum(1) - np.bitwise_count(fold_a).sum(1) if bits_a.shape[1] > words else 0
     lost_b = np.bitwise_count(bits_b).sum(1) - np.bitwise_count(fold_b).sum(1) if bits_b.shape[1] > words else 0
     overlap = np.minimum(np.minimum(most_a, most_b), np.minimum(extra_a + lost_a, extra_b + lost_b) + both)
-    return fits & ((NUMERATOR + DENOMINATOR) * overlap >= NUMERATOR * (lo_a + lo_b))
+    return fits & ((NUMERATOR + DENOMINATOR) * overlap >= NUMERATOR * (lo_a + lo_b)), overlap
 
 
-def dual_traversal(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets (places in a and b) that the bounds allow; a place pair once where a is b."""
+def dual_traversal(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of sets (places in a and b) that the bounds allow, and their largest overlaps; a place pair once where a is b."""
     same = a is b
     top = (len(a.levels) - 1, len(b.levels) - 1)
     i, j, la, lb = np.zeros(1, np.int64), np.zeros(1, np.int64), *top
     while True:
-        keep = possible(a.levels[la], i, b.levels[lb], j)
+        keep, overlap = bounds(a.levels[la], i, b.levels[lb], j)
         i, j = i[keep], j[keep]
         if not len(i) or (la == 0 and lb == 0):
-            return i, j
+            return i, j, overlap[keep]
         down_a, down_b = la > 0 and la >= lb, lb > 0 and lb >= la
         kids_a = a.children(la, i) if down_a else [np.array([x]) for x in i]
         kids_b = b.children(lb, j) if down_b else [np.array([x]) for x in j]
@@ -171,22 +185,47 @@ def forest(size: np.ndarray, rest: np.ndarray, bitmaps: list[np.ndarray], owner:
 
 
 def candidate_pairs(size, rest, bitmaps, component, side=None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the sets that may be linked and are of different components.
+    """Places of the sets that may be linked and are of different components, the likeliest pairs first.
 
     side: where given, only pairs between the two sides, or within side 0 if that is the only one.
     """
     trees = forest(size, rest, bitmaps, np.arange(len(size)))
-    found = [(a.owner[i], b.owner[j]) for x, a in enumerate(trees) for b in trees[x : x + 2] for i, j in [dual_traversal(a, b)]]
-    i, j = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+    found = [(a.owner[i], b.owner[j], overlap) for x, a in enumerate(trees) for b in trees[x:] for i, j, overlap in [dual_traversal(a, b)]]
+    i, j, overlap = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
     keep = component[i] != component[j]
     if side is not None and len(np.unique(side)) > 1:
         keep &= side[i] != side[j]
-    return i[keep], j[keep]
-
-
-def spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest among the pairs: those that join two trees of what came before."""
-    parent = list(range(n))
+    i, j, overlap = i[keep], j[keep], overlap[keep]
+    first = np.argsort(-overlap / (size[i] + size[j]), kind="stable")
+    return i[first], j[first]
+
+
+def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Common members of the sets at each pair of places, counted over a stretch of members at a time."""
+    where = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    members, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Members of one set only are in no overlap; the rest are numbered anew.
+    number = np.cumsum(times > 1) - 1
+    shared = times[at] > 1
+    where, at = where[shared], number[at[shared]]
+    order = np.argsort(at, kind="stable")
+    where, at = where[order], at[order]
+    both, n = np.zeros(len(i), np.int64), int(number[-1]) + 1
+    width = min(COUNT_AT_ONCE, -(-n // 64) * 64)
+    for lo in range(0, n, COUNT_AT_ONCE):
+        a, b = np.searchsorted(at, [lo, lo + COUNT_AT_ONCE])
+        has = np.zeros((len(sets), width), bool)
+        has[where[a:b], at[a:b] - lo] = True
+        bits = np.packbits(has, axis=1).view(np.uint64)
+        for k in range(0, len(i), COUNT_AT_ONCE):
+            x, y = i[k : k + COUNT_AT_ONCE], j[k : k + COUNT_AT_ONCE]
+            both[k : k + COUNT_AT_ONCE] += np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64)
+    return both
+
+
+def spanning(i: np.ndarray, j: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """A forest among the pairs, as places in them: those that join two trees of what came before. Equal labels are one tree."""
+    parent = {x: x for x in labels.tolist()}
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -195,11 +234,11 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
         return x
 
     kept = []
-    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+    for k, (x, y) in enumerate(zip(labels[i].tolist(), labels[j].tolist())):
         if (p := root(x)) != (q := root(y)):
             parent[p] = q
             kept.append(k)
-    return i[kept], j[kept]
+    return np.array(kept, np.int64)
 
 
 # ---- Spark stages -----------------------------------------------------------------------------
@@ -390,7 +429,7 @@ def irregular(sets: DataFrame) -> bool:
 
 
 def members_of(docs: DataFrame, sets: DataFrame, needed: DataFrame, by_class: bool) -> DataFrame:
-    """class, size, members, bitmap of the classes needed: from one document of each.
+    """class, size, members, bitmap, sketch of the classes needed: from one document of each.
 
     by_class: ids repeat or are null. A class without any id is then sought in all rows without one,
     and what a repeated id brings in beside the class sought, or twice, is dropped.
@@ -401,70 +440,107 @@ def members_of(docs: DataFrame, sets: DataFrame, needed: DataFrame, by_class: bo
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows = [s for s in (shingles(t.as_py()) for t in batch.column("text")) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array([s.tobytes() for s in rows], pa.binary()), pa.array([signature(s).tobytes() for s in rows], pa.binary())], names=["class", "size", "members", "bitmap"])
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64()), pa.array([s.tobytes() for s in rows], pa.binary()), pa.array([signature(s).tobytes() for s in rows], pa.binary()), pa.array([sketch(s) for s in rows], pa.int64())], names=["class", "size", "members", "bitmap", "sketch"])
 
     texts = docs.select("doc_id", "text").hint("merge").join(first, "doc_id", "left_semi")
     if by_class:
         texts = texts.unionByName(docs.select("doc_id", "text").filter("doc_id is null"))
-    found = texts.mapInArrow(build, "class bigint, size bigint, members binary, bitmap binary")
+    found = texts.mapInArrow(build, "class bigint, size bigint, members binary, bitmap binary, sketch bigint")
     if by_class:
         found = found.join(needed, ["class", "size"], "left_semi").dropDuplicates(["class", "size"])
     return materialize(found, "members")
 
 
-def traverse(exhaustive: bool):
-    """Over rows sorted by group: pairs of classes, a forest of likely ones or all that are possible."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+def by_group(work, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """work(group's rows) for each group of rows sorted by group; None is left out."""
 
-        def close(rows: pa.Table) -> list[np.ndarray]:
-            group = rows.column("group").to_numpy()
-            name, size, rest, component, side = (rows.column(c).to_numpy() for c in ("class", "size", "rest", "component", "side"))
-            bitmaps = rows.column("bitmap").to_pylist()
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
-            found = []
-            for lo, hi in zip(starts, [*starts[1:], len(group)]):
-                if hi - lo < 2:
-                    continue
-                maps = [np.frombuffer(b, np.uint64) for b in bitmaps[lo:hi]]
-                i, j = candidate_pairs(size[lo:hi], rest[lo:hi], maps, component[lo:hi], side[lo:hi])
-                if not exhaustive:
-                    i, j = spanning(i, j, hi - lo)
-                if len(i):
-                    found.append(np.stack([name[lo:hi][i], size[lo:hi][i], name[lo:hi][j], size[lo:hi][j]], axis=1))
-            return found
-
-        def out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if found:
-                rows = np.concatenate(found)
-                swap = rows[:, 0] > rows[:, 2]
-                rows[swap] = rows[swap][:, [2, 3, 0, 1]]
-                rows = np.unique(rows, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], names=["a", "size_a", "b", "size_b"])
+    def close(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        group = rows.column("group").to_numpy()
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
+        for lo, hi in zip(starts, [*starts[1:], len(group)]):
+            if hi - lo > 1 and (found := work(rows.slice(lo, hi - lo))) is not None:
+                yield found
 
-        for batch in batches:
-            held.append(batch)
-            whole = pa.Table.from_batches(held)
-            group = whole.column("group").to_numpy()
-            last = int(np.argmax(group == group[-1])) if len(group) else 0
-            if last:
-                yield from out(close(whole.slice(0, last)))
-                held = whole.slice(last).to_batches()
-        if held:
-            yield from out(close(pa.Table.from_batches(held)))
+    def merged(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := list(found):
+            yield from pa.Table.from_batches(found).combine_chunks().to_batches()
 
-    return pairs
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        whole = pa.Table.from_batches(held)
+        group = whole.column("group").to_numpy()
+        last = int(np.argmax(group == group[-1])) if len(group) else 0
+        if last:
+            yield from merged(close(whole.slice(0, last)))
+            held = whole.slice(last).to_batches()
+    if held:
+        yield from merged(close(pa.Table.from_batches(held)))
 
 
 PAIRS = "a bigint, size_a bigint, b bigint, size_b bigint"
 
 
-def dealt(rows: DataFrame, exhaustive: bool) -> DataFrame:
-    """Candidate pairs of rows (group, class, size, rest, bitmap, component, side), a group in a task."""
-    parts = shuffle_partitions(rows.sparkSession)
-    placed = rows.select("group", "class", "size", "rest", "bitmap", "component", "side").repartition(parts, "group").sortWithinPartitions("group", "side", "class")
-    return placed.mapInArrow(traverse(exhaustive), PAIRS)
+def pairs_of(name: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
+    if not len(i):
+        return None
+    rows = np.stack([name[i], size[i], name[j], size[j]], axis=1)
+    swap = rows[:, 0] > rows[:, 2]
+    rows[swap] = rows[swap][:, [2, 3, 0, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], names=["a", "size_a", "b", "size_b"])
+
+
+def numbers(rows: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [rows.column(c).to_numpy() for c in columns]
+
+
+def likely(rows: pa.Table) -> pa.RecordBatch | None:
+    """A forest of the likeliest pairs of a group's sets."""
+    name, size, rest = numbers(rows, "class", "size", "rest")
+    maps = [np.frombuffer(b.as_buffer(), np.uint64) for b in rows.column("bitmap")]
+    places = np.arange(len(name))
+    i, j = candidate_pairs(size, rest, maps, places)
+    kept = spanning(i, j, places)
+    return pairs_of(name, size, i[kept], j[kept])
+
+
+def undecided(rows: pa.Table) -> pa.RecordBatch | None:
+    """The sets of a group that the bounds leave a partner in another component."""
+    size, rest, component, side = numbers(rows, "size", "rest", "component", "side")
+    i, j = candidate_pairs(size, rest, [np.frombuffer(b.as_buffer(), np.uint64) for b in rows.column("bitmap")], component, side)
+    if not len(i):
+        return None
+    return rows.select(["group", "class", "size", "rest", "component", "side"]).take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()[0]
+
+
+def certain(rows: pa.Table) -> pa.RecordBatch | None:
+    """Links between components of a group's sets: traversed once more, verified on the whole sets, a forest of them."""
+    name, size, rest, component, side = numbers(rows, "class", "size", "rest", "component", "side")
+    sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in rows.column("members")]
+    i, j = candidate_pairs(size, rest, [signature(s, WIDE) for s in sets], component, side)
+    if not len(i):
+        return None
+    both = overlaps(sets, i, j)
+    linked = DENOMINATOR * both >= NUMERATOR * (size[i] + size[j] - both)
+    i, j = i[linked], j[linked]
+    kept = spanning(i, j, component)
+    return pairs_of(name, size, i[kept], j[kept])
+
+
+UNDECIDED = "group bigint, class bigint, size bigint, rest bigint, component bigint, side int"
+
+
+def dealt(rows: DataFrame, work, schema: str, payload: str) -> DataFrame:
+    """work over each group of rows (group, class, size, rest, component, side, and the payload), a group in a task."""
+    placed = rows.select("group", "class", "size", "rest", "component", F.col("side").cast("int").alias("side"), payload)
+    placed = placed.repartition(shuffle_partitions(rows.sparkSession), "group").sortWithinPartitions("group", "side", "class", "size")
+    return placed.mapInArrow(lambda batches: by_group(work, batches), schema)
+
+
+def verified(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Links of groups of rows without a payload."""
+    whole = rows.hint("merge").join(members.select("class", "size", "members"), ["class", "size"])
+    return dealt(whole, certain, PAIRS, "members")
 
 
 def verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -474,7 +550,7 @@ def verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("members_a"), batch.column("members_b")):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 shared = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(DENOMINATOR * shared >= NUMERATOR * (len(a) + len(b) - shared))
             yield batch.select(["a", "size_a", "b", "size_b"]).filter(pa.array(keep, pa.bool_()))
@@ -484,88 +560,195 @@ def verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return full.select("a", "size_a", "b", "size_b", "members_a", "members_b").mapInArrow(exact, PAIRS)
 
 
+def widened(members: DataFrame, needed: DataFrame) -> DataFrame:
+    """class, size, bitmap: wide bitmaps of the classes needed."""
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            maps = pa.array([signature(np.frombuffer(b.as_buffer(), np.uint64), WIDE).tobytes() for b in batch.column("members")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("size"), maps], names=["class", "size", "bitmap"])
+
+    found = members.select("class", "size", "members").hint("merge").join(needed.select("class", "size").distinct(), ["class", "size"], "left_semi")
+    return materialize(found.mapInArrow(wide, "class bigint, size bigint, bitmap binary"), "wide-bitmaps")
+
+
 def mixed(rows: DataFrame) -> DataFrame:
     """Buckets that hold more than one component."""
     return rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
 
 
-def blocks_apart(rows: DataFrame) -> DataFrame:
-    """Rows of large buckets, grouped by the pairs of blocks that may hold links between components.
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (bucket, class, size, rest, component, own, sketch) with block: their number within the bucket, from 0.
 
-    A component with many sets in a bucket has blocks of its own. Blocks of the bucket's largest
-    component are compared with other blocks only, never with each other.
+    Blocks are runs of at most BLOCK rows in order of own, size band and sketch, of one own each. The
+    order is made by a range sort, so a bucket is spread over tasks; the numbers of each task's runs
+    are added up afterwards.
+    """
+    # Sets whose bands are two apart cannot be linked.
+    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(DENOMINATOR / NUMERATOR))).cast("int")
+    order = ["bucket", "own", "band", "sketch", "class", "size"]
+    columns = ["bucket", "class", "size", "rest", "component"]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        bucket = own = None
+        block = held = 0
+        for batch in batches:
+            each = np.zeros(batch.num_rows, np.int64)
+            keys = np.stack(numbers(pa.Table.from_batches([batch]), "bucket", "own"), axis=1)
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else []
+            for lo, hi in zip(starts, [*starts[1:], len(keys)]):
+                if bucket != keys[lo, 0]:
+                    bucket, own, block, held = keys[lo, 0], keys[lo, 1], 0, 0
+                elif own != keys[lo, 1]:
+                    own, block, held = keys[lo, 1], block + (held > 0), 0
+                places = held + np.arange(hi - lo)
+                each[lo:hi] = block + places // BLOCK
+                block, held = block + (held + hi - lo) // BLOCK, (held + hi - lo) % BLOCK
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(np.full(len(each), part), pa.int64()), pa.array(each)], names=[*columns, "part", "seq"])
+
+    placed = rows.withColumn("band", band).repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    placed = materialize(placed.select(*columns, "own").mapInArrow(number, ", ".join(f"{c} bigint" for c in [*columns, "part", "seq"])), "sequences")
+    runs = placed.groupBy("bucket", "part").agg((F.max("seq") + 1).alias("runs"))
+    before = runs.withColumn("before", F.sum("runs").over(Window.partitionBy("bucket").orderBy("part")) - F.col("runs")).drop("runs")
+    return placed.hint("merge").join(before, ["bucket", "part"]).withColumn("block", F.col("before") + F.col("seq")).drop("part", "seq", "before")
+
+
+NODE = ["lo", "hi", "rest", "spare", "first", "last"]
+
+
+def upper_nodes(rows: DataFrame) -> DataFrame:
+    """bucket, node, words (of the bitmap), what NODE names, bits: rows merged by bucket, node and width.
+
+    lo, hi: range of sizes; rest: the most left to share; spare: the most members beyond bits; first,
+    last: range of components.
     """
-    counts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("here"))
-    largest = counts.groupBy("bucket").agg(F.max_by("component", F.struct("here", "component")).alias("main"), F.sum(F.when(F.col("here") < BLOCK // 2, F.col("here")).otherwise(0)).alias("loose"))
-    own = F.col("here") >= BLOCK // 2
-    spread = F.pmod(F.xxhash64("class", F.lit(3)), F.greatest(F.lit(1), F.ceil(F.when(own, F.col("here")).otherwise(F.col("loose")) / BLOCK)))
-    placed = rows.join(counts, ["bucket", "component"]).join(largest, "bucket").withColumn("block", F.xxhash64(F.when(own, F.col("component")).otherwise(F.lit(-1)), own, spread))
-    placed = materialize(placed.withColumn("is_main", own & (F.col("component") == F.col("main"))).drop("here", "main", "loose"), "blocks")
-
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One node for each block and signature width: size range, most left to share, OR of bitmaps."""
-        import itertools
-
-        def rows_of():
-            for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "is_main", "size", "rest", "bitmap")))
-
-        for (bucket, block, main), group in itertools.groupby(rows_of(), key=lambda r: r[:3]):
-            by_width: dict[int, list] = {}
-            for _, _, _, size, rest, bitmap in group:
-                bits = np.frombuffer(bitmap, np.uint64)
-                spare = size - int(np.bitwise_count(bits).sum())
-                node = by_width.setdefault(len(bits), [size, size, rest, spare, np.zeros(len(bits), np.uint64)])
-                node[0], node[1], node[2], node[3] = min(node[0], size), max(node[1], size), max(node[2], rest), max(node[3], spare)
-                node[4] |= bits
-            for lo, hi, rest, spare, bits in by_width.values():
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64()), "block": pa.array([block], pa.int64()), "is_main": pa.array([main]), "lo": pa.array([lo], pa.int64()), "hi": pa.array([hi], pa.int64()), "rest": pa.array([rest], pa.int64()), "spare": pa.array([spare], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        now = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                columns = list(zip(*held.values()))
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(held), pa.int64()), pa.array([now[1]] * len(held), pa.int64()), pa.array(list(held), pa.int64()), *[pa.array(c, pa.int64()) for c in columns[:6]], pa.array([b.tobytes() for b in columns[6]], pa.binary())], names=["bucket", "node", "words", *NODE, "bits"])
+
+        for batch in batches:
+            for bucket, node, lo, hi, rest, spare, first, last, bits in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", *NODE, "bits"))):
+                if now != (bucket, node):
+                    yield from out()
+                    held, now = {}, (bucket, node)
+                bits = np.frombuffer(bits, np.uint64)
+                have = held.get(len(bits))
+                if have is None:
+                    held[len(bits)] = [lo, hi, rest, spare, first, last, bits.copy()]
+                else:
+                    have[:6] = min(have[0], lo), max(have[1], hi), max(have[2], rest), max(have[3], spare), min(have[4], first), max(have[5], last)
+                    have[6] |= bits
+        yield from out()
 
     parts = shuffle_partitions(rows.sparkSession)
-    made = placed.select("bucket", "block", "is_main", "size", "rest", "bitmap").repartition(parts, "bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(nodes, "bucket bigint, block bigint, is_main boolean, lo bigint, hi bigint, rest bigint, spare bigint, bits binary")
-    made = materialize(made, "nodes")
-    side = lambda s: made.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in made.columns if c != "bucket"])
-    fits = (DENOMINATOR * F.col("hi_a") >= NUMERATOR * F.col("lo_b")) & (DENOMINATOR * F.col("hi_b") >= NUMERATOR * F.col("lo_a"))
-    pairs = side("a").filter("not is_main_a").join(side("b"), "bucket").filter(fits & (F.col("is_main_b") | (F.col("block_a") <= F.col("block_b"))))
+    schema = ", ".join(f"{c} bigint" for c in ["bucket", "node", "words", *NODE]) + ", bits binary"
+    placed = rows.select("bucket", "node", *NODE, "bits").repartition(parts, "bucket", "node").sortWithinPartitions("bucket", "node")
+    return materialize(placed.mapInArrow(merge, schema), "nodes")
+
+
+def with_spare(rows: DataFrame) -> DataFrame:
+    """Rows of sets with a bitmap as the lowest nodes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [int(np.bitwise_count(np.frombuffer(b.as_buffer(), np.uint64)).sum()) for b in batch.column("bits")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.int64())], names=[*batch.schema.names, "ones"])
+
+    rows = rows.select("bucket", F.col("block").alias("node"), F.col("size").alias("lo"), F.col("size").alias("hi"), "rest", F.col("component").alias("first"), F.col("component").alias("last"), F.col("bitmap").alias("bits"))
+    counted = rows.mapInArrow(count, StructType([*rows.schema.fields, StructField("ones", LongType())]))
+    return counted.withColumn("spare", F.col("lo") - F.col("ones"))
+
+
+def block_pairs(levels: list[DataFrame]) -> DataFrame:
+    """bucket, a, b: blocks that may hold links between components, found from the roots of each bucket down."""
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for row in batch.to_pylist():
-                a, b = ((np.array([row[f"lo_{s}"]]), np.array([row[f"hi_{s}"]]), np.array([row[f"rest_{s}"]]), np.array([row[f"spare_{s}"]]), np.frombuffer(row[f"bits_{s}"], np.uint64)[None]) for s in "ab")
-                keep.append(bool(possible(a, np.zeros(1, int), b, np.zeros(1, int))[0]))
-            yield batch.select(["bucket", "block_a", "block_b"]).filter(pa.array(keep, pa.bool_()))
+                x, y = (tuple(np.array([row[f"{c}_{s}"]]) for c in NODE[:4]) + (np.frombuffer(row[f"bits_{s}"], np.uint64)[None],) for s in "ab")
+                keep.append(bool(bounds(x, np.zeros(1, int), y, np.zeros(1, int))[0][0]))
+            yield batch.select(["bucket", "node_a", "words_a", "node_b", "words_b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = materialize(pairs.mapInArrow(prune, "bucket bigint, block_a bigint, block_b bigint").distinct(), "block-pairs")
-    group = F.xxhash64("bucket", "block_a", "block_b").alias("group")
-    to = left.select(group, "bucket", F.explode(F.expr("IF(block_a = block_b, array(named_struct('block', block_a, 'side', 0)), array(named_struct('block', block_a, 'side', 0), named_struct('block', block_b, 'side', 1)))")).alias("to")).select("group", "bucket", "to.block", "to.side")
-    return placed.join(to, ["bucket", "block"])
+    fits = (DENOMINATOR * F.col("hi_a") >= NUMERATOR * F.col("lo_b")) & (DENOMINATOR * F.col("hi_b") >= NUMERATOR * F.col("lo_a"))
+    apart = F.least("first_a", "first_b") < F.greatest("last_a", "last_b")
+    pairs = None
+    for level in reversed(levels):
+        side = lambda s: level.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in level.columns if c != "bucket"])  # noqa: B023, E731
+        if pairs is None:
+            found = side("a").join(side("b"), "bucket").filter("words_a <= words_b")  # roots: one for each bucket and width
+        else:
+            up = lambda s: [F.shiftright(f"node_{s}", UPPER_BITS).alias(f"up_{s}"), F.col(f"words_{s}").alias(f"of_{s}")]
+            above = pairs.select("bucket", *[F.col(f"{c}_{s}").alias(f"{n}_{s}") for s in "ab" for c, n in (("node", "up"), ("words", "of"))])
+            found = above.join(side("a").select("*", *up("a")), ["bucket", "up_a", "of_a"]).join(side("b").select("*", *up("b")), ["bucket", "up_b", "of_b"])
+            found = found.filter("up_a <> up_b or of_a <> of_b or node_a <= node_b")  # a node with itself: each pair of children once
+        found = found.filter(fits & apart)
+        schema = "bucket bigint, node_a bigint, words_a bigint, node_b bigint, words_b bigint"
+        columns = ["bucket", *[f"{c}_{s}" for s in "ab" for c in ("node", "words", *NODE, "bits")]]
+        pairs = materialize(found.select(columns).mapInArrow(prune, schema), "node-pairs")
+    return pairs.select("bucket", F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def blocks_apart(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of large buckets with wide bitmaps, grouped by the pairs of blocks that may hold links between components.
+
+    A component with many sets in a bucket has blocks of its own, which are never compared with each other.
+    """
+    here = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("here")).filter(F.col("here") >= BLOCK // 2).select("bucket", "component", F.col("component").alias("own"))
+    wide = widened(members, rows)
+    sketched = rows.join(here, ["bucket", "component"], "left").withColumn("own", F.coalesce("own", F.lit(0))).join(members.select("class", "size", "sketch"), ["class", "size"])
+    blocks = materialize(in_blocks(sketched), "blocks")
+    levels = [upper_nodes(with_spare(blocks.join(wide, ["class", "size"])))]
+    last = blocks.agg(F.max("block")).first()[0] or 0
+    while last:
+        last >>= UPPER_BITS
+        levels.append(upper_nodes(levels[-1].withColumn("node", F.shiftright("node", UPPER_BITS))))
+    group = F.xxhash64("bucket", "a", "b").alias("group")
+    sides = F.expr("IF(a = b, array(named_struct('block', a, 'side', 0)), array(named_struct('block', a, 'side', 0), named_struct('block', b, 'side', 1)))")
+    to = block_pairs(levels).select(group, "bucket", F.explode(sides).alias("to")).select("group", "bucket", "to.block", "to.side")
+    return blocks.join(to, ["bucket", "block"]).join(wide, ["class", "size"])
+
+
+def large_links(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Links inside blocks of large buckets: each set in one of its buckets, the largest, dealt by sketch and by hash."""
+    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("here"))
+    chosen = rows.join(counts, "bucket").groupBy("class", "size").agg(F.max_by(F.struct("bucket", "rest", "here"), F.struct("here", "bucket")).alias("in")).select("class", "size", "in.*")
+    chosen = materialize(chosen.join(members.select("class", "size", "sketch"), ["class", "size"]).withColumns({"component": F.col("class"), "own": F.lit(0).cast("bigint")}), "largest-buckets")
+    by_sketch = in_blocks(chosen).withColumn("group", F.xxhash64("bucket", "block"))
+    by_hash = chosen.withColumn("group", F.xxhash64("bucket", F.lit("hash"), F.pmod(F.xxhash64("class", "size"), F.ceil(F.col("here") / BLOCK))))
+    columns = ["group", "class", "size", "rest", "component", F.lit(0).alias("side")]
+    return verified(by_sketch.select(columns).unionByName(by_hash.select(columns)), members)
 
 
 def find_links(docs: DataFrame, sets: DataFrame, frequent: DataFrame, by_class: bool) -> DataFrame:
     """Verified links (a, size_a, b, size_b) between classes, enough to connect all that are linked."""
     rows = buckets(docs, frequent)
     members = members_of(docs, sets, rows, by_class)
-    bitmaps = members.select("class", "size", "bitmap")
-    # First round: every set is its own component; a forest of likely links in each bucket or block.
-    sizes = rows.filter("large").groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    twice = F.explode(F.array(F.lit(1), F.lit(2))).alias("deal")
-    large = rows.filter("large").join(sizes, "bucket").select("*", twice).withColumn("group", F.xxhash64("bucket", "deal", F.pmod(F.xxhash64("class", "deal"), F.col("blocks"))))
-    small = rows.filter("not large").withColumn("group", F.col("bucket"))
-    columns = ["group", "class", "size", "rest"]
-    first = small.select(columns).unionByName(large.select(columns)).join(bitmaps, ["class", "size"]).withColumns({"component": F.col("class"), "side": F.lit(0)})
-    links = materialize(verify(materialize(dealt(first, exhaustive=False), "likely-pairs"), members), "links")
+    any_large = not rows.filter("large").isEmpty()
+    # First round: every set is its own component; a forest of likely links in each bucket.
+    first = rows.filter("not large").withColumn("group", F.col("bucket")).join(members.select("class", "size", "bitmap"), ["class", "size"])
+    first = first.withColumns({"component": F.col("class"), "side": F.lit(0)})
+    links = materialize(verify(materialize(dealt(first, likely, PAIRS, "bitmap"), "likely-pairs"), members), "links")
+    if any_large:
+        links = links.unionByName(materialize(large_links(rows.filter("large"), members), "large-links"))
     # Second round: what is left between different components.
     known = components(links.select("a", "b"))
     labelled = rows.join(known.withColumnsRenamed({"node": "class", "root": "component"}), "class", "left").withColumn("component", F.coalesce("component", "class"))
     labelled = materialize(labelled, "labelled")
-    apart = labelled.join(mixed(labelled), "bucket", "left_semi")
-    small = apart.filter("not large").select(F.col("bucket").alias("group"), "class", "size", "rest", "component", F.lit(0).alias("side"))
-    pairs = dealt(small.join(bitmaps, ["class", "size"]), exhaustive=True)
-    large = materialize(apart.filter("large").join(bitmaps, ["class", "size"]), "large-apart")
-    if not large.isEmpty():
-        pairs = pairs.unionByName(dealt(blocks_apart(large), exhaustive=True))
-    return links.unionByName(materialize(verify(materialize(pairs, "possible-pairs"), members), "more-links"))
+    apart = labelled.hint("merge").join(mixed(labelled), "bucket", "left_semi")
+    small = materialize(apart.filter("not large").select(F.col("bucket").alias("group"), "class", "size", "rest", "component", F.lit(0).alias("side")), "small-apart")
+    left = dealt(small.join(widened(members, small), ["class", "size"]), undecided, UNDECIDED, "bitmap")
+    if any_large:
+        large = materialize(apart.filter("large").drop("large"), "large-apart")
+        left = left.unionByName(dealt(blocks_apart(large, members), undecided, UNDECIDED, "bitmap"))
+    return links.unionByName(materialize(verified(materialize(left, "undecided"), members), "more-links"))
 
 
 def place(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
