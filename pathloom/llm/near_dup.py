@@ -28,6 +28,7 @@ extra columns are carried by keep_documents and ignored elsewhere.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,7 +104,7 @@ def signature(members: np.ndarray, each: int = BITS_EACH) -> np.ndarray:
 
 def sketch(members: np.ndarray) -> int:
     """Sets with many common members mostly have the same, or nearly: four least hashes, 16 bits of each."""
-    least = [int((members * w).min() * _WEIGHTS[4]) >> 48 for w in _WEIGHTS[:4]]
+    least = (np.array([(members * w).min() for w in _WEIGHTS[:4]]) * _WEIGHTS[4] >> _u(48)).tolist()
     return least[0] << 47 | least[1] << 31 | least[2] << 15 | least[3] >> 1
 
 
@@ -428,8 +429,8 @@ def irregular(sets: DataFrame) -> bool:
     return not sets.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
 
 
-def members_of(docs: DataFrame, sets: DataFrame, needed: DataFrame, by_class: bool) -> DataFrame:
-    """class, size, members, bitmap, sketch of the classes needed: from one document of each.
+def members_of(docs: DataFrame, sets: DataFrame, needed: DataFrame, by_class: bool) -> str:
+    """The table of class, size, members, bitmap, sketch of the classes needed: from one document of each.
 
     by_class: ids repeat or are null. A class without any id is then sought in all rows without one,
     and what a repeated id brings in beside the class sought, or twice, is dropped.
@@ -448,7 +449,11 @@ def members_of(docs: DataFrame, sets: DataFrame, needed: DataFrame, by_class: bo
     found = texts.mapInArrow(build, "class bigint, size bigint, members binary, bitmap binary, sketch bigint")
     if by_class:
         found = found.join(needed, ["class", "size"], "left_semi").dropDuplicates(["class", "size"])
-    return materialize(found, "members")
+    # Several joins by class and size follow: bucketed by both, the sets are moved once.
+    spark, name = docs.sparkSession, f"members_{uuid.uuid4().hex[:12]}"
+    parts = shuffle_partitions(spark)
+    found.repartition(parts, "class", "size").write.format("parquet").bucketBy(parts, "class", "size").sortBy("class", "size").saveAsTable(name)
+    return name
 
 
 def by_group(work, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -730,10 +735,11 @@ def large_links(rows: DataFrame, members: DataFrame) -> DataFrame:
 def find_links(docs: DataFrame, sets: DataFrame, frequent: DataFrame, by_class: bool) -> DataFrame:
     """Verified links (a, size_a, b, size_b) between classes, enough to connect all that are linked."""
     rows = buckets(docs, frequent)
-    members = members_of(docs, sets, rows, by_class)
+    stored = members_of(docs, sets, rows, by_class)
+    members = docs.sparkSession.table(stored)
     any_large = not rows.filter("large").isEmpty()
     # First round: every set is its own component; a forest of likely links in each bucket.
-    first = rows.filter("not large").withColumn("group", F.col("bucket")).join(members.select("class", "size", "bitmap"), ["class", "size"])
+    first = rows.filter("not large").withColumn("group", F.col("bucket")).hint("merge").join(members.select("class", "size", "bitmap"), ["class", "size"])
     first = first.withColumns({"component": F.col("class"), "side": F.lit(0)})
     links = materialize(verify(materialize(dealt(first, likely, PAIRS, "bitmap"), "likely-pairs"), members), "links")
     if any_large:
@@ -748,7 +754,9 @@ def find_links(docs: DataFrame, sets: DataFrame, frequent: DataFrame, by_class:
     if any_large:
         large = materialize(apart.filter("large").drop("large"), "large-apart")
         left = left.unionByName(dealt(blocks_apart(large, members), undecided, UNDECIDED, "bitmap"))
-    return links.unionByName(materialize(verified(materialize(left, "undecided"), members), "more-links"))
+    links = links.unionByName(materialize(verified(materialize(left, "undecided"), members), "more-links"))
+    docs.sparkSession.sql(f"DROP TABLE {stored}")
+    return links
 
 
 def place(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
