@@ -1,27 +1,29 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue of its documents in shuffled order. A document's virtual start and finish
-times are the words of its source before and after it, divided by the source's target, so a source
-with a larger target is served faster. All documents share one virtual clock; the mix is what has
-been served when it stands at 1: by then the words served add up to the total budget, as the
-targets do. A source whose target exceeds its size is queued again, up to a number of repeats. The
-document in service when the budget is spent is taken in part.
-
-The running totals are distributed: the shuffle order cuts each source into blocks by the leading
-digits of its key, block totals are summed first, and windows run inside single blocks only.
+Every source is a queue of its documents in shuffled order. A document's virtual finish time is the
+words of its source up to and with it, divided by the source's target, so a source with a larger
+target is served faster. A source whose target exceeds its size is queued again, up to a number of
+repeats. All queued copies are sorted by finish time over all sources, and the mix ends where their
+words add up to the total budget, the words of all documents: when the clock stands at about 1. The
+copy that each source has in service at 1 is queued in two parts, what is served by then and one
+word more, so that a long document does not keep its source from its target.
+
+Running totals are distributed. Within a source the shuffle order is cut into blocks by the leading
+digits of its key; block totals are summed first, and windows run inside single blocks only. Over
+all sources a range sort by finish time does the same with its partitions.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is a source of its
-own, the last one; ties in the shuffle key (repeated ids) are served in order of size; an empty table gives
-an empty mix; sources without words get target 0; extra columns are carried by mix_documents and
-ignored elsewhere.
+own, the last one; rows that repeat an id are queued by their texts, and rows that repeat both are
+served one after the other; an empty table gives an empty mix; sources without words get target 0;
+extra columns are carried by mix_documents and ignored elsewhere.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import WORD, materialize, table
+from pathloom.llm.common import WORD, fresh, materialize, shuffle_partitions, table
 
 WEIGHT_CYCLE = (1, 2, 3)
 MAX_REPEATS = 3
@@ -29,10 +31,14 @@ MAX_REPEATS = 3
 BLOCK_DIGITS = 3
 
 
+def shuffle_key() -> Column:
+    """Order within a source: a hash of id and text, so reruns agree and rows without ids are dealt as well."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and the shuffle key: a hash of the id, so reruns agree."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
+    """doc_id, source, size in words, and the shuffle key."""
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), shuffle_key().alias("key"))
 
 
 def fill_targets(sources: DataFrame, cycle: tuple[int, ...], repeats: int) -> DataFrame:
@@ -55,11 +61,8 @@ def fill_targets(sources: DataFrame, cycle: tuple[int, ...], repeats: int) -> Da
     return levels.select("source", "source_size", F.round(F.least(F.col("cap"), F.coalesce(F.col("weight") * share, F.lit(0.0))), 6).alias("target"))
 
 
-def serve(docs: DataFrame, cycle: tuple[int, ...] = WEIGHT_CYCLE, repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, start.
-
-    start is the document's virtual start time in the first round of its queue.
-    """
+def queue(docs: DataFrame, cycle: tuple[int, ...], repeats: int) -> DataFrame:
+    """doc_id, source, key, size, source_size, target, before: the words of its source that are queued before each document."""
     rows = materialize(sized(docs).withColumn("block", F.substring("key", 1, BLOCK_DIGITS)), "sized")
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,36 +75,66 @@ def serve(docs: DataFrame, cycle: tuple[int, ...] = WEIGHT_CYCLE, repeats: int =
     joined = keyed(rows).hint("merge").join(starts, ["__none", "__source", "block"])
     inside = Window.partitionBy("__none", "__source", "block").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     queued = joined.withColumn("before", F.col("before_block") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    # Words served by virtual time 1, when the words of all sources together reach the budget.
-    budget = F.floor("target")
-    taken = sum(
-        (F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("source_size") * turn - F.col("before"))) for turn in range(repeats)),
-        F.lit(0),
-    )
-    start = F.when(F.col("target") > 0, F.col("before") / F.col("target")).otherwise(F.lit(0.0))
-    return queued.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), start.alias("start"))
+    return materialize(queued.select("doc_id", "source", "key", "size", "source_size", "target", "before"), "queued")
+
+
+def packets(queued: DataFrame, repeats: int) -> DataFrame:
+    """source, key, before, turn, words, finish: what is queued up to virtual time 1, and one word more of each source."""
+    turns = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("turn")
+    copies = queued.filter("size > 0").select("doc_id", "source", "key", "size", "source_size", "target", "before", turns)
+    copies = copies.withColumn("at", F.col("before") + F.col("turn") * F.col("source_size")).filter("at < target")
+    served = F.when(F.col("at") + F.col("size") <= F.col("target"), F.col("size")).otherwise(F.floor(F.col("target") - F.col("at")))
+    parts = F.array(F.struct("at", served.alias("words")), F.struct((F.col("at") + served).alias("at"), F.when(served == F.col("size"), 0).otherwise(1).cast("long").alias("words")))
+    split = copies.select("*", F.explode(parts).alias("part")).filter("part.words > 0")
+    finish = (F.col("part.at") + F.col("part.words")) / F.col("target")
+    return split.select("doc_id", "source", "key", "size", "source_size", "target", "before", "turn", F.col("part.words").alias("words"), finish.alias("finish"))
+
+
+def served(docs: DataFrame, cycle: tuple[int, ...], repeats: int) -> tuple[DataFrame, DataFrame]:
+    """The queue, and the packets in it that the budget covers, with taken: their words up to it."""
+    queued = queue(docs, cycle, repeats)
+    order = ["finish", F.col("source").isNull(), "source", "key", "before"]
+    ranged = packets(queued, repeats).repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.withColumn("part", F.spark_partition_id()), "by-finish-time")
+    # One row for each partition of the range sort.
+    totals = ranged.groupBy("part").agg(F.sum("words").alias("total"))
+    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("earlier"))
+    budget = queued.agg(F.sum("size")).first()[0] or 0
+    inside = F.sum("words").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
+    left = F.lit(budget) - F.col("earlier") - F.col("inside")
+    placed = ranged.withColumn("inside", inside).join(F.broadcast(before), "part")
+    taken = placed.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), left))).filter("taken > 0")
+    return queued, taken.drop("part", "inside", "earlier")
+
+
+def serve(docs: DataFrame, cycle: tuple[int, ...] = WEIGHT_CYCLE, repeats: int = MAX_REPEATS) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken."""
+    queued, taken = served(docs, cycle, repeats)
+    # Within a source, no two documents with words start at one place.
+    columns = ["doc_id", "source", "size", "source_size", "target"]
+    rows = queued.filter("size > 0").select(*columns, "before", F.lit(0).cast("long").alias("taken")).unionByName(taken.select(*columns, "before", "taken"))
+    found = rows.groupBy(*columns, "before").agg(F.sum("taken").alias("taken"))
+    return found.drop("before").unionByName(queued.filter("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
 
 
 def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = WEIGHT_CYCLE, repeats: int = MAX_REPEATS) -> DataFrame:
-    """The mix itself: each document as often as its queue served it, globally sorted by virtual time.
+    """The mix itself: each document as often as its queue served it, globally sorted by virtual finish time.
 
     The copy in service when the budget was spent holds only its served words, joined by spaces.
     """
-    served = serve(docs, cycle, repeats)
-    # doc_id may repeat: rows of one id are of equal standing, so each gets the mean of what they took.
-    plan = served.groupBy("doc_id", "size", "source").agg(F.avg("taken").cast("long").alias("__taken"), F.min("start").alias("__start"), F.first("source_size").alias("__round"), F.first("target").alias("__target"))
-    plan = plan.filter("__taken > 0").withColumnRenamed("doc_id", "__id").withColumnRenamed("size", "__size").withColumnRenamed("source", "__src")
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized_docs = docs.withColumn("__words", words)
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")) & F.col("source").eqNullSafe(F.col("__src"))
-    copies = sized_docs.hint("merge").join(plan, on).withColumn("__turn", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("__size")).cast("int") - 1)))
-    words_here = F.least(F.col("__size"), F.col("__taken") - F.col("__turn") * F.col("__size"))
-    text = F.when(words_here >= F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), words_here.cast("int")), " "))
-    finish = F.col("__start") + (F.col("__turn") * F.col("__round") + words_here) / F.col("__target")
-    mixed = copies.withColumns({"__finish": finish, "text": text})
+    key, own, of, words, finish, size = fresh(docs, "key", "own", "of", "words", "finish", "size")
+    queued, taken = served(docs, cycle, repeats)
+    copies = taken.groupBy("source", "key", "before", "turn", "size").agg(F.sum("taken").alias(words), F.max("finish").alias(finish))
+    copies = materialize(copies.withColumnsRenamed({"key": own, "source": of, "size": size}).drop("before", "turn"), "copies")
+    texts = docs.withColumn(key, shuffle_key())
+    if not queued.filter("size > 0").groupBy("source", "key").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates([key, "source"])  # equal rows are queued one by one, and need their text once
+    joined = texts.hint("merge").join(copies, (F.col(key) == F.col(own)) & F.col("source").eqNullSafe(F.col(of)))
+    text = F.when(F.col(words) >= F.col(size), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col(words).cast("int")), " "))
+    mixed = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return mixed.repartitionByRange("__finish", "doc_id").sortWithinPartitions("__finish", "doc_id").select(docs.columns)
+    return mixed.repartitionByRange(finish, "doc_id").sortWithinPartitions(finish, "doc_id").select(docs.columns)
 
 
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +144,7 @@ def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "op7_fair_mix": r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
@@ -125,14 +158,23 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, round(least(cap, coalesce(weight * (SELECT arg_min(level, ratio) FROM l WHERE level <= ratio), 0.0)), 6) AS target FROM l
 ), q AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.source, d.key, d.size, t.source_size, t.target,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), copies AS (
+  SELECT *, before + turn * source_size AS place, CASE WHEN before + turn * source_size + size <= target THEN size ELSE floor(target - (before + turn * source_size))::BIGINT END AS served
+  FROM q, (VALUES (0), (1), (2)) AS turns(turn) WHERE size > 0 AND before + turn * source_size < target
+), packets AS (
+  SELECT doc_id, source, key, before, served AS words, (place + served) / target AS finish FROM copies WHERE served > 0
+  UNION ALL SELECT doc_id, source, key, before, 1, (place + served + 1) / target FROM copies WHERE served < size
+), cut AS (
+  SELECT doc_id, source, before, greatest(0, least(words, (SELECT sum(size) FROM d)
+    - (sum(words) OVER (ORDER BY finish, source IS NULL, source, key, before ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words))) AS taken
+  FROM packets
+), given AS (
+  SELECT doc_id, source, before, sum(taken)::BIGINT AS taken FROM cut GROUP BY doc_id, source, before
 )
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, floor(target)::BIGINT - before))
-   + greatest(0, least(size, floor(target)::BIGINT - source_size - before))
-   + greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - before)))::BIGINT AS taken
-FROM q
+SELECT q.doc_id, q.size, q.source_size, q.target, CASE WHEN q.size > 0 THEN coalesce(g.taken, 0) ELSE 0 END::BIGINT AS taken
+FROM q LEFT JOIN given g ON q.doc_id IS NOT DISTINCT FROM g.doc_id AND q.source IS NOT DISTINCT FROM g.source AND q.before = g.before
 """
 }
