@@ -2,45 +2,51 @@
 
 A range condition alone would compare every pair. Here each row of one side falls into one cell and
 each row of the other is sent to the cells around it, so a pair meets only if it is near. Cells are
-as wide as the radius; a crowded cell makes a skewed equi-join, which AQE splits.
+as high as the radius and, in their band of latitude, at least as wide; a crowded cell makes a skewed
+equi-join, which AQE splits.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo
+from pathloom.operators.graph import settle
 
 #: Degrees of latitude for one metre, a little less than enough so that cells err on the large side.
 DEGREES_A_METRE = 1 / 110_000
 
 
-def cells(radius_m: float, max_lat: float = 60.0) -> tuple[float, float]:
-    """Cell width and height in degrees: at least the radius anywhere up to that latitude."""
-    high = radius_m * DEGREES_A_METRE
-    return high / math.cos(math.radians(max_lat)), high
+def cell_counts(band: Column, high: float) -> Column:
+    """Cells around the globe in a band of latitude: each at least as wide as the radius wherever the band is."""
+    top = F.least(F.lit(90.0), F.greatest(F.abs(band), F.abs(band + 1)) * high)
+    return F.greatest(F.lit(1), F.floor(F.lit(360.0 / high) * F.cos(F.radians(top))))
 
 
-def cell_of(lng: Column, lat: Column, size: tuple[float, float]) -> tuple[Column, Column]:
-    return F.floor(lng / size[0]), F.floor(lat / size[1])
+def cell_of(lng: Column, count: Column) -> Column:
+    return F.floor((lng + 180) / 360 * count)
 
 
-def around(df: DataFrame, lng: str, lat: str, size: tuple[float, float]) -> DataFrame:
-    """Each row once for its own cell and the eight about it."""
-    cx, cy = cell_of(F.col(lng), F.col(lat), size)
-    steps = F.array(*[F.struct((cx + dx).alias("cx"), (cy + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    return df.withColumn("__cell", F.explode(steps)).select("*", "__cell.cx", "__cell.cy").drop("__cell")
+def around(df: DataFrame, lng: str, lat: str, high: float) -> DataFrame:
+    """Each row once for its own cell and each other about it, across the meridian of 180 degrees as well."""
+    near = []
+    for dy in (-1, 0, 1):
+        band = F.floor(F.col(lat) / high) + dy
+        count = cell_counts(band, high)
+        near += [F.struct(F.pmod(cell_of(F.col(lng), count) + dx, count).alias("cx"), band.alias("cy")) for dx in (-1, 0, 1)]
+    return df.withColumn("__cell", F.explode(F.array_distinct(F.array(*near)))).select("*", "__cell.cx", "__cell.cy").drop("__cell")
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, distance=geo.haversine_m, inclusive: bool = True) -> DataFrame:
     """Pairs within radius_m, with their distance. Both sides have lng and lat; other names must differ."""
-    size = cells(radius_m)
-    cx, cy = cell_of(F.col("lng"), F.col("lat"), size)
-    a = left.withColumns({"cx": cx, "cy": cy}).withColumnsRenamed({"lng": "lng_a", "lat": "lat_a"})
-    b = around(right, "lng", "lat", size).withColumnsRenamed({"lng": "lng_b", "lat": "lat_b"})
+    high = radius_m * DEGREES_A_METRE
+    band = F.floor(F.col("lat") / high)
+    count = cell_counts(band, high)
+    a = left.withColumns({"cx": F.pmod(cell_of(F.col("lng"), count), count), "cy": band}).withColumnsRenamed({"lng": "lng_a", "lat": "lat_a"})
+    b = around(right, "lng", "lat", high).withColumnsRenamed({"lng": "lng_b", "lat": "lat_b"})
     pairs = a.join(b, ["cx", "cy"]).withColumn("distance", distance(F.col("lng_a"), F.col("lat_a"), F.col("lng_b"), F.col("lat_b")))
     return pairs.filter(F.col("distance") <= radius_m if inclusive else F.col("distance") < radius_m).drop("cx", "cy")
 
@@ -52,22 +58,27 @@ def near_pairs(points: DataFrame, key: str, radius_m: float) -> DataFrame:
     return radius_join(left, right, radius_m, inclusive=False).filter("a < b").select("a", "b", "distance")
 
 
-def nearest(points: DataFrame, point_key: str, targets: DataFrame, target_key: str, start_m: float = 100.0, rounds: int = 12) -> DataFrame:
+def nearest(points: DataFrame, point_key: str, targets: DataFrame, target_key: str, start_m: float = 100.0, rounds: int = 20) -> DataFrame:
     """point key, target key and distance of each point's nearest target, ties to the smaller key.
 
     Rings double until every point has found one: a hit within the radius cannot be beaten outside.
-    Points left over after the last round have no target within start_m * 2 ** (rounds - 1).
+    What is left is written after each ring. Points that have no target within the last ring, which
+    is wider than the earth unless rounds says otherwise, come back with nulls, and so do all points
+    where there are no targets.
     """
-    left, found, radius = points.select(point_key, "lng", "lat"), None, start_m
+    left, targets = points.select(point_key, "lng", "lat"), settle(targets.select(target_key, "lng", "lat"))
+    found, radius = [], start_m
     for _ in range(rounds):
-        hits = radius_join(left, targets.select(target_key, "lng", "lat"), radius, geo.equirect_m)
-        best = hits.groupBy(point_key).agg(F.min(F.struct("distance", target_key)).alias("best")).select(point_key, f"best.{target_key}", "best.distance")
-        found = best if found is None else found.unionByName(best)
-        left = left.join(best.select(point_key), point_key, "left_anti")
-        if left.isEmpty():
+        if left.isEmpty() or targets.isEmpty():
             break
+        hits = radius_join(left, targets, radius, geo.equirect_m)
+        best = hits.groupBy(point_key).agg(F.min(F.struct("distance", target_key)).alias("best")).select(point_key, f"best.{target_key}", "best.distance")
+        found.append(settle(best))
+        left = settle(left.join(found[-1].select(point_key), point_key, "left_anti"))
         radius *= 2
-    return found
+    key = targets.schema[target_key].dataType
+    none = left.select(point_key, F.lit(None).cast(key).alias(target_key), F.lit(None).cast("double").alias("distance"))
+    return reduce(DataFrame.unionByName, [*found, none])
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -82,22 +93,16 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: int
     return a.join(b, [*keys, "bucket"]).filter((F.col("start_a") < F.col("end_b")) & (F.col("start_b") < F.col("end_a")) & (F.col("bucket") == first)).drop("bucket")
 
 
-def polygon_sides(polygons: DataFrame) -> DataFrame:
-    """polygon, priority, x1, y1, x2, y2 from polygon, priority and ring (array of [x, y])."""
-    ring = F.col("ring")
-    closed = F.concat(F.array(F.element_at(ring, -1)), ring)
-    sides = F.arrays_zip(F.slice(closed, 1, F.size(ring)).alias("p"), ring.alias("q"))
-    return polygons.select("polygon", "priority", F.explode(sides).alias("s")).select("polygon", "priority", F.col("s.p")[0].alias("x1"), F.col("s.p")[1].alias("y1"), F.col("s.q")[0].alias("x2"), F.col("s.q")[1].alias("y2"))
-
-
-def points_in_polygons(points: DataFrame, key: str, polygons: DataFrame) -> DataFrame:
-    """Pairs (key, polygon, priority): sides meet points in bands of y, and crossings are counted."""
-    sides = polygon_sides(polygons)
-    span = 0.005
-    bands = sides.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / span), F.floor(F.greatest("y1", "y2") / span))))
-    placed = points.select(key, "lng", "lat").withColumn("band", F.floor(F.col("lat") / span))
-    hits = placed.join(bands, "band").filter(geo.crosses(F.col("lng"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    return hits.groupBy(key, "polygon", "priority").count().filter("count % 2 = 1").select(key, "polygon", "priority")
+def points_in_polygons(points: DataFrame, key: str, polygons: DataFrame, span: float = 0.005) -> DataFrame:
+    """Pairs (key, polygon, priority): points meet polygons in grid cells of their bounding boxes, then crossings of the ring are counted."""
+    xs, ys = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
+    steps = lambda v: F.sequence(F.floor(F.array_min(v) / span), F.floor(F.array_max(v) / span))
+    closed = F.arrays_zip(F.concat(F.slice("ring", -1, 1), F.expr("slice(ring, 1, size(ring) - 1)")).alias("p"), F.col("ring").alias("q"))
+    boxed = polygons.select("polygon", "priority", closed.alias("sides"), F.explode(steps(xs)).alias("cx"), steps(ys).alias("rows")).select("*", F.explode("rows").alias("cy")).drop("rows")
+    placed = points.select(key, "lng", "lat").withColumns({"cx": F.floor(F.col("lng") / span), "cy": F.floor(F.col("lat") / span)})
+    crossed = lambda s: geo.crosses(F.col("lng"), F.col("lat"), s["p"][0], s["p"][1], s["q"][0], s["q"][1])
+    inside = F.size(F.filter("sides", crossed)) % 2 == 1
+    return placed.join(boxed, ["cx", "cy"]).filter(inside).select(key, "polygon", "priority")
 
 
 def first_polygon(points: DataFrame, key: str, polygons: DataFrame) -> DataFrame:

@@ -34,9 +34,9 @@ def jon04_scalar_subquery(spark, d):
     return runs(spark, d).join(last, "task_id", "left").select("run_id", "source_turn")
 
 
-@query(f"""WITH {RUNS} SELECT DISTINCT priority, EXISTS (SELECT 1 FROM runs x WHERE x.priority = r.priority AND x.status = 'running' AND x.lease > {NOW} AND x.owner_id % 50 = 0) AS ready FROM runs r""")
+@query(f"""WITH {RUNS} SELECT DISTINCT priority, EXISTS (SELECT 1 FROM runs x WHERE x.priority = r.priority AND x.status = 'running' AND x.lease > {NOW} AND x.attempts = 0) AS ready FROM runs r""")
 def jon05_exists(spark, d):
-    fresh = (F.col("status") == "running") & (F.col("lease") > NOW) & (F.col("owner_id") % 50 == 0)
+    fresh = (F.col("status") == "running") & (F.col("lease") > NOW) & (F.col("attempts") == 0)
     return runs(spark, d).groupBy("priority").agg(F.bool_or(fresh).alias("ready"))
 
 
@@ -74,12 +74,12 @@ def jon08_override_merge(spark, d):
     return e.join(o, ["u", "v", "k"], "left").select("u", "v", "k", F.when(F.col("blocked") == 0, "all").when(F.col("blocked") == 1, "drive").otherwise("").alias("blocked_modes"), F.when(F.col("blocked") == 2, 3.0).otherwise(1.0).alias("walk_penalty"))
 
 
-@query(f"""WITH {EDGES}, r AS (SELECT u, v, ['walk', 'bike', 'drive'] AS supported, CASE (u + v) % 3 WHEN 0 THEN ['all'] WHEN 1 THEN ['drive'] ELSE ['bike', 'drive'] END AS blocked, CASE WHEN (u + v) % 2 = 0 THEN 'verified' ELSE 'pending' END AS status, CASE WHEN (u * v) % 3 > 0 THEN 'photo' END AS evidence FROM edges WHERE u % 3 = 0)
+@query(f"""WITH {EDGES}, r AS (SELECT u, v, ['walk', 'bike', 'drive'] AS supported, CASE (u + v) % 3 WHEN 0 THEN ['all'] WHEN 1 THEN ['drive'] ELSE ['bike', 'drive'] END AS blocked, CASE WHEN (u + v) % 2 = 0 THEN 'verified' ELSE 'pending' END AS status, CASE WHEN (u * 3 + v) % 5 > 0 THEN 'photo' END AS evidence FROM edges)
 SELECT u, v, array_to_string(list_sort(CASE WHEN list_contains(blocked, 'all') THEN ['walk', 'bike', 'drive'] ELSE blocked END), ',') AS blocked, array_to_string(list_sort(list_filter(supported, lambda m: NOT list_contains(blocked, m) AND NOT list_contains(blocked, 'all'))), ',') AS passable FROM r WHERE status = 'verified' AND evidence IS NOT NULL""")
 def jon09_reviewed_overlay(spark, d):
     words = lambda *w: F.array(*map(F.lit, w))
     k = (F.col("u") + F.col("v")) % 3
-    review = edges(spark, d).filter("u % 3 = 0").select("u", "v", F.when(k == 0, words("all")).when(k == 1, words("drive")).otherwise(words("bike", "drive")).alias("said"), F.when((F.col("u") + F.col("v")) % 2 == 0, "verified").otherwise("pending").alias("status"), F.when(F.col("u") * F.col("v") % 3 > 0, "photo").alias("evidence"))
+    review = edges(spark, d).select("u", "v", F.when(k == 0, words("all")).when(k == 1, words("drive")).otherwise(words("bike", "drive")).alias("said"), F.when((F.col("u") + F.col("v")) % 2 == 0, "verified").otherwise("pending").alias("status"), F.when((F.col("u") * 3 + F.col("v")) % 5 > 0, "photo").alias("evidence"))
     modes = words("walk", "bike", "drive")
     blocked = F.when(F.array_contains("said", "all"), modes).otherwise(F.col("said"))
     return review.filter("status = 'verified' and evidence is not null").select("u", "v", F.array_join(F.array_sort(blocked), ",").alias("blocked"), F.array_join(F.array_sort(F.array_except(modes, blocked)), ",").alias("passable"))
@@ -181,9 +181,9 @@ def jon16_near_steps(spark, d):
     return spatial.radius_join(roads, steps, 60.0).filter("not (su = v and sv = u)").select("u", "v").distinct()
 
 
-@query(f"""WITH {PLACES} SELECT a.id AS a, b.id AS b, round({_HAV.format(a='a.lat', b='b.lat', x='a.lng', y='b.lng')}, 4) AS metres FROM places a JOIN places b ON a.id < b.id AND abs(a.lat - b.lat) < 0.001 AND abs(a.lng - b.lng) < 0.001 WHERE {_HAV.format(a='a.lat', b='b.lat', x='a.lng', y='b.lng')} < 30""")
+@query(f"""WITH {PLACES} SELECT a.id AS a, b.id AS b, round({_HAV.format(a='a.lat', b='b.lat', x='a.lng', y='b.lng')}, 4) AS metres FROM places a JOIN places b ON a.id < b.id AND abs(a.lat - b.lat) < 0.002 AND abs(a.lng - b.lng) < 0.002 WHERE {_HAV.format(a='a.lat', b='b.lat', x='a.lng', y='b.lng')} < 100""")
 def jon17_near_pairs(spark, d):
-    return spatial.near_pairs(places(spark, d), "id", 30.0).select("a", "b", F.round("distance", 4).alias("metres"))
+    return spatial.near_pairs(places(spark, d), "id", 100.0).select("a", "b", F.round("distance", 4).alias("metres"))
 
 
 @query(f"""WITH {PLACES}, x AS (SELECT a.id, b.id AS other, {_HAV.format(a='a.lat', b='b.lat', x='a.lng', y='b.lng')} AS metres FROM places a JOIN places b ON a.name = b.name AND a.subcategory = b.subcategory AND a.id < b.id)
@@ -204,11 +204,11 @@ def jon19_zones(spark, d):
     return spatial.first_polygon(places(spark, d), "id", zones).withColumnRenamed("polygon", "zone")
 
 
-@query(f"""WITH {PLACES}, s AS (SELECT name, list_sort(list_distinct(list(subcategory))) AS ids FROM places WHERE id < 600 GROUP BY name), t AS (SELECT name AS target, list_sort(list_distinct(list(subcategory))) AS ids FROM places WHERE id >= 900 GROUP BY name)
+@query(f"""WITH {PLACES}, s AS (SELECT name, list_sort(list_distinct(list(subcategory))) AS ids FROM places WHERE scenery <= 25 GROUP BY name), t AS (SELECT name AS target, list_sort(list_distinct(list(subcategory))) AS ids FROM places WHERE scenery > 25 GROUP BY name)
 SELECT name, target, CASE WHEN name IS NULL THEN 'unused' WHEN target IS NULL THEN 'missing' ELSE 'matched' END AS status FROM s FULL JOIN t ON s.ids = t.ids""")
 def jon20_crosswalk(spark, d):
     keyed = lambda cond, name: places(spark, d).filter(cond).groupBy(F.col("name").alias(name)).agg(F.array_sort(F.collect_set("subcategory")).alias("ids"))
-    both = keyed("id < 600", "name").join(keyed("id >= 900", "target"), "ids", "full_outer")
+    both = keyed("scenery <= 25", "name").join(keyed("scenery > 25", "target"), "ids", "full_outer")
     return both.select("name", "target", F.when(F.col("name").isNull(), "unused").when(F.col("target").isNull(), "missing").otherwise("matched").alias("status"))
 
 
@@ -243,7 +243,7 @@ def jon23_as_of(spark, d):
     return sequences.as_of(c.filter("role = 'user'").select("conv_id", "turn"), states, ["conv_id"], "turn", ["before_turn", "before_length"])
 
 
-@query(f"""WITH {NODES} SELECT a.node AS origin, b.node AS destination, m.mode FROM nodes a JOIN nodes b ON a.node < b.node, (SELECT unnest(['walk', 'drive']) AS mode) m WHERE a.node % 5 = 0 AND b.node % 5 = 0""")
+@query(f"""WITH {NODES} SELECT a.node AS origin, b.node AS destination, m.mode FROM nodes a JOIN nodes b ON a.node < b.node, (SELECT unnest(['walk', 'drive']) AS mode) m""")
 def jon24_od_pairs(spark, d):
     """Every pair of nodes, in every mode: the product is the result asked for."""
     some = nodes(spark, d).select("node")

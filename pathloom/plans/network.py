@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo, routing
@@ -11,27 +11,25 @@ from pathloom.operators import evaluation, graph, sequences, spatial
 from pathloom.plans.base import EDGES, EVENTS, HOPS, NODES, NOW, PLACES, all_edges, edges, events, nodes, places, query, read
 from pathloom.plans.joins import _LINES, lines, places_xy
 
-#: Hops that the SQL of the searches unrolls; the searches themselves go on until nothing improves.
-DEPTH = 8
 
 
-def _walk_sql(start: str, cost: str = "length", where: str = "true", cutoff: float | None = None, depth: int = DEPTH) -> str:
-    """best(source, node, dist): least cost in at most depth hops, one table for each hop."""
-    limit = f" AND d.dist + e.{cost} <= {cutoff}" if cutoff is not None else ""
-    parts = [f"d0 AS ({start})"]
-    for k in range(1, depth + 1):
-        parts.append(f"d{k} AS (SELECT source, node, min(dist) AS dist FROM (SELECT * FROM d{k - 1} UNION ALL SELECT d.source, e.v, d.dist + e.{cost} FROM d{k - 1} d JOIN edges e ON e.u = d.node AND {where}{limit}) GROUP BY source, node)")
-    return ", ".join(parts) + f", best AS (SELECT * FROM d{depth})"
+def _walk_sql(start: str, cost: str = "length", where: str = "true", cutoff: float | None = None, name: str = "best", table: str = "edges") -> str:
+    """name(source, node, dist): least costs over paths of any length; a node that improves sends on."""
+    limit = f" AND b.dist + e.{cost} <= {cutoff}" if cutoff is not None else ""
+    return f"""{name}(source, node, dist) USING KEY (source, node) AS ({start} UNION SELECT b.source, e.v, min(b.dist + e.{cost}) FROM {name} b JOIN {table} e ON e.u = b.node AND {where}{limit}
+  LEFT JOIN recurring.{name} r ON r.source = b.source AND r.node = e.v WHERE r.dist IS NULL OR b.dist + e.{cost} < r.dist GROUP BY b.source, e.v)"""
 
 
-_FROM = "SELECT node AS source, node, 0.0::DOUBLE AS dist FROM nodes WHERE node {0}"
+_FROM = "SELECT node AS source, node, 0.0::DOUBLE AS dist FROM nodes WHERE {0}"
+#: Nodes that queries search from or between: those of some nations.
+ANCHORS, STOPS, HOMES, HIT = "nation = 19", "nation in (12, 13, 18)", "nation = 8", "nation = 20"
 
 
 def sources(spark, d, condition: str) -> DataFrame:
-    return nodes(spark, d).filter(f"node {condition}").select(F.col("node").alias("source"), "node")
+    return nodes(spark, d).filter(condition).select(F.col("node").alias("source"), "node")
 
 
-_REACH = f"""WITH {EDGES}, {NODES}, {PLACES}, {_walk_sql(_FROM.format("= 1"), where="e.slope <> 5", cutoff=1500.0)},
+_REACH = f"""WITH RECURSIVE {EDGES}, {NODES}, {PLACES}, {_walk_sql(_FROM.format("node = 1"), where="e.slope <> 5", cutoff=1500.0)},
 snap AS (SELECT id, type, name, node, metres FROM (SELECT p.id, p.type, p.name, n.node, sqrt(pow((n.lng - p.lng) * cos(radians(p.lat)) * 111320, 2) + pow((n.lat - p.lat) * 111320, 2)) AS metres, row_number() OVER (PARTITION BY p.id ORDER BY sqrt(pow((n.lng - p.lng) * cos(radians(p.lat)) * 111320, 2) + pow((n.lat - p.lat) * 111320, 2)), n.node) AS rn FROM places p, nodes n WHERE p.type IN ('PROMO', 'SMALL')) WHERE rn = 1)
 SELECT id, name, node, round(dist + metres, 3) AS metres, round((dist + metres) / 75, 1) AS minutes FROM snap JOIN best USING (node) WHERE dist + metres <= 1500 ORDER BY dist + metres, id LIMIT 50"""
 
@@ -40,28 +38,34 @@ SELECT id, name, node, round(dist + metres, 3) AS metres, round((dist + metres)
 def grf02_reachable_places(spark: SparkSession, d: str) -> DataFrame:
     """Places of some kinds within a walk of 1,500 m from a node, nearest first: bounded search, snap, rank."""
     open_edges = edges(spark, d).filter("slope <> 5")
-    reach = graph.shortest_paths(open_edges, sources(spark, d, "= 1"), cutoff=1500.0)
+    reach = graph.shortest_paths(open_edges, sources(spark, d, "node = 1"), cutoff=1500.0)
     wanted = places(spark, d).filter(F.col("type").isin("PROMO", "SMALL")).select("id", "name", "lng", "lat")
     snapped = spatial.nearest(wanted, "id", nodes(spark, d), "node", 400.0)
     found = snapped.join(reach.select("node", "dist"), "node").join(wanted.select("id", "name"), "id").withColumn("total", F.col("dist") + F.col("distance"))
     return found.filter("total <= 1500").orderBy("total", "id").limit(50).select("id", "name", "node", F.round("total", 3).alias("metres"), F.round(F.col("total") / 75, 1).alias("minutes"))
 
 
-@query(f"""WITH {EDGES}, {NODES}, {_walk_sql(_FROM.format("= 0"))} SELECT node, round(dist, 4) AS dist FROM best""")
+@query(f"""WITH RECURSIVE {EDGES}, {NODES}, {_walk_sql(_FROM.format("node = 0"))} SELECT node, round(dist, 4) AS dist FROM best""")
 def grf01_single_source(spark, d):
-    return graph.shortest_paths(edges(spark, d), sources(spark, d, "= 0")).select("node", F.round("dist", 4).alias("dist"))
+    return graph.shortest_paths(edges(spark, d), sources(spark, d, "node = 0")).select("node", F.round("dist", 4).alias("dist"))
 
 
-@query(f"""WITH {HOPS}, edges AS (SELECT v AS u, u AS v, min(quantity) * 10 AS length FROM hops GROUP BY 1, 2), {NODES}, {_walk_sql(_FROM.format("% 20 = 0"))} SELECT node, arg_min(source, (dist, source)) AS anchor, round(min(dist), 4) AS dist FROM best GROUP BY node""")
+@query(f"""WITH RECURSIVE {HOPS}, edges AS (SELECT v AS u, u AS v, min(quantity) * 10 AS length FROM hops GROUP BY 1, 2), {NODES}, {_walk_sql(_FROM.format(ANCHORS))} SELECT node, arg_min(source, (dist, source)) AS anchor, round(min(dist), 4) AS dist FROM best GROUP BY node""")
 def grf03_nearest_anchor(spark, d):
     reverse = edges(spark, d).select(F.col("v").alias("u"), F.col("u").alias("v"), "length")
-    best = graph.shortest_paths(reverse, sources(spark, d, "% 20 = 0"))
+    best = graph.shortest_paths(reverse, sources(spark, d, ANCHORS))
     return best.groupBy("node").agg(F.min(F.struct("dist", "source")).alias("b")).select("node", F.col("b.source").alias("anchor"), F.round("b.dist", 4).alias("dist"))
 
 
-@query(f"""WITH {EDGES}, {NODES}, {_walk_sql(_FROM.format("% 16 = 0"))} SELECT source, node, round(dist, 4) AS dist FROM best WHERE node % 16 = 0""")
+def between_stops(spark, d) -> DataFrame:
+    """source, node, dist between all stops."""
+    stops = sources(spark, d, STOPS)
+    return graph.shortest_paths(edges(spark, d), stops).join(stops.select("node"), "node", "left_semi")
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {NODES}, {_walk_sql(_FROM.format(STOPS))} SELECT source, node, round(dist, 4) AS dist FROM best WHERE node IN (SELECT node FROM nodes WHERE {STOPS})""")
 def grf04_matrix(spark, d):
-    return graph.shortest_paths(edges(spark, d), sources(spark, d, "% 16 = 0")).filter("node % 16 = 0").select("source", "node", F.round("dist", 4).alias("dist"))
+    return between_stops(spark, d).select("source", "node", F.round("dist", 4).alias("dist"))
 
 
 def weighted(spark, d, weights: dict) -> DataFrame:
@@ -81,7 +85,7 @@ def grf05_recommend(spark, d):
     for k, w in vectors:
         shift = lambda c, k=k: (F.col(c) * 8 + k).alias(c)
         part = weighted(spark, d, w).select(shift("u"), shift("v"), "cost")
-        start = sources(spark, d, "% 25 = 0").select((F.col("source") * 8 + k).alias("source"), (F.col("node") * 8 + k).alias("node"))
+        start = sources(spark, d, HOMES).select((F.col("source") * 8 + k).alias("source"), (F.col("node") * 8 + k).alias("node"))
         tagged, starts = (part, start) if tagged is None else (tagged.unionByName(part), starts.unionByName(start))
     best = graph.shortest_paths(tagged, starts, cost="cost", with_path=True).filter("size(path) > 1")
     plain = best.select((F.col("source") / 8).cast("long").alias("source"), (F.col("node") / 8).cast("long").alias("node"), (F.col("node") % 8).alias("vector"), F.transform("path", lambda x: (x / 8).cast("long")).alias("path"))
@@ -92,10 +96,10 @@ def grf05_recommend(spark, d):
     return fitting.groupBy("source", "node").agg(F.min("vector").alias("vector"), F.min_by("metres", "vector").alias("metres"), F.first("shortest").alias("shortest"))
 
 
-@query(f"""WITH {EDGES}, {NODES}, {_walk_sql(_FROM.format("% 10 = 0"))}, legs AS (SELECT a.source AS origin, b.source AS via, b.node AS destination, a.dist + b.dist AS total FROM best a JOIN best b ON a.node = b.source WHERE b.node % 10 = 0 AND a.source <> b.source AND b.source <> b.node AND a.source <> b.node)
+@query(f"""WITH RECURSIVE {EDGES}, {NODES}, {_walk_sql(_FROM.format(STOPS))}, legs AS (SELECT a.source AS origin, b.source AS via, b.node AS destination, a.dist + b.dist AS total FROM best a JOIN best b ON a.node = b.source WHERE b.node IN (SELECT source FROM best) AND a.source <> b.source AND b.source <> b.node AND a.source <> b.node)
 SELECT origin, via, destination, round(total, 4) AS metres, round(total / d.dist, 6) AS detour FROM legs JOIN best d ON d.source = origin AND d.node = destination""")
 def grf06_via(spark, d):
-    best = graph.settle(graph.shortest_paths(edges(spark, d), sources(spark, d, "% 10 = 0")).filter("node % 10 = 0"))
+    best = graph.settle(between_stops(spark, d))
     first = best.select(F.col("source").alias("origin"), F.col("node").alias("via"), F.col("dist").alias("a"))
     second = best.select(F.col("source").alias("via"), F.col("node").alias("destination"), F.col("dist").alias("b"))
     direct = best.select(F.col("source").alias("origin"), F.col("node").alias("destination"), "dist")
@@ -106,12 +110,15 @@ def grf06_via(spark, d):
 
 @query()
 def grf07_tours(spark, d):
-    """A tour of up to seven stops for each of four groups of nodes."""
+    """For each nation a tour of its seven nodes with the highest balances, as far as the budget allows."""
     ship(spark)
-    best = graph.shortest_paths(edges(spark, d), sources(spark, d, "% 4 = 0")).filter("node % 4 = 0")
-    stops = F.col("source") % 16
-    same = best.filter((F.col("source") % 16 == F.col("node") % 16) & (F.col("source") < 112) & (F.col("node") < 112))
-    rows = same.select(stops.alias("tour"), F.col("source").alias("a"), F.col("node").alias("b"), "dist", stops.alias("first"), (F.col("node") * 7 % 11).alias("weight"))
+    rank = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey"))
+    stops = graph.settle(read(spark, d, "supplier").withColumn("rank", rank).filter("rank <= 7").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("tour"), (F.col("s_suppkey") * 7 % 11).alias("weight")))
+    best = graph.shortest_paths(edges(spark, d), stops.select(F.col("node").alias("source"), "node"))
+    ends = stops.select(F.col("node").alias("source"), F.col("tour").alias("from"))
+    same = best.join(stops, "node").join(ends, "source").filter("from = tour")
+    first = F.min("source").over(Window.partitionBy("tour"))
+    rows = same.select("tour", F.col("source").alias("a"), F.col("node").alias("b"), "dist", first.alias("first"), "weight")
     return evaluation.tours(rows, budget=4000.0).select("tour", "seq", "stop", F.round("total", 3).alias("total"))
 
 
@@ -120,9 +127,9 @@ def grf08_components(spark, d):
     return graph.components(edges(spark, d), nodes(spark, d))
 
 
-@query(f"""WITH RECURSIVE {PLACES}, close AS (SELECT a.id AS u, b.id AS v FROM places a JOIN places b ON a.id <> b.id AND abs(a.lat - b.lat) < 0.0005 AND abs(a.lng - b.lng) < 0.0005 WHERE 2 * 6371000.0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))) < 20), reach AS (SELECT u AS node, u AS seen FROM close UNION SELECT r.node, c.v FROM reach r JOIN close c ON c.u = r.seen) SELECT node, min(seen) AS component FROM reach GROUP BY node""")
+@query(f"""WITH RECURSIVE {PLACES}, close AS (SELECT a.id AS u, b.id AS v FROM places a JOIN places b ON a.id <> b.id AND abs(a.lat - b.lat) < 0.002 AND abs(a.lng - b.lng) < 0.002 WHERE 2 * 6371000.0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))) < 100), reach AS (SELECT u AS node, u AS seen FROM close UNION SELECT r.node, c.v FROM reach r JOIN close c ON c.u = r.seen) SELECT node, min(seen) AS component FROM reach GROUP BY node""")
 def grf09_endpoint_clusters(spark, d):
-    pairs = graph.settle(spatial.near_pairs(places(spark, d), "id", 20.0).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    pairs = graph.settle(spatial.near_pairs(places(spark, d), "id", 100.0).select(F.col("a").alias("u"), F.col("b").alias("v")))
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     return graph.components(pairs, ends)
 
@@ -141,19 +148,24 @@ def grf11_chains(spark, d):
     return graph.expand_chains(edges(spark, d), starts)
 
 
+def near_lines(spark, d, reach: float) -> DataFrame:
+    """id, line, t, dist: places within reach of a line. Short pieces of lines meet places by cell, then comes the exact distance."""
+    l, wide = lines(spark, d), 2 * reach
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    samples = spatial.densify(l.withColumn("length", length), reach).select("line", F.floor(F.col("x") / wide).alias("cx"), F.floor(F.col("y") / wide).alias("cy")).distinct()
+    near = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    touched = samples.select("line", near.alias("c")).select("line", "c.cx", "c.cy").distinct()
+    pairs = touched.join(places_xy(spark, d).select("*", F.floor(F.col("px") / wide).alias("cx"), F.floor(F.col("py") / wide).alias("cy")), ["cx", "cy"]).join(l, "line")
+    t, dist = geo.segment_projection(*[F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")])
+    return pairs.withColumns({"t": t, "dist": dist}).filter(F.col("dist") <= reach)
+
+
 _PROJ = "greatest(0, least(1, coalesce(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0), 0)))"
 
 
 @query(f"""WITH {PLACES}, xy AS (SELECT id, (lng - 114.346::DOUBLE) * 95000 AS px, (lat - 30.517::DOUBLE) * 110000 AS py FROM places), {_LINES}, c AS (SELECT id, line, {_PROJ} AS t, x1, y1, x2, y2, px, py FROM xy, lines), m AS (SELECT id, line, t, sqrt(pow(px - (x1 + t * (x2 - x1)), 2) + pow(py - (y1 + t * (y2 - y1)), 2)) AS dist FROM c WHERE true), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(dist, 6), line) AS n FROM m WHERE dist <= 30) SELECT id, line, round(dist, 4) AS metres, round(t, 6) AS along FROM r WHERE n = 1""")
 def grf12_snap_to_edge(spark, d):
-    l, reach = lines(spark, d), 30.0
-    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
-    samples = spatial.densify(l.withColumn("length", length), reach).select("line", F.floor(F.col("x") / 60).alias("cx"), F.floor(F.col("y") / 60).alias("cy")).distinct()
-    near = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    touched = samples.select("line", near.alias("c")).select("line", "c.cx", "c.cy").distinct()
-    pairs = touched.join(places_xy(spark, d).select("*", F.floor(F.col("px") / 60).alias("cx"), F.floor(F.col("py") / 60).alias("cy")), ["cx", "cy"]).join(l, "line")
-    t, dist = geo.segment_projection(*[F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")])
-    hits = pairs.withColumns({"t": t, "dist": dist}).filter(F.col("dist") <= reach)
+    hits = near_lines(spark, d, 30.0)
     return hits.groupBy("id").agg(F.min(F.struct(F.round("dist", 6).alias("r"), "line", "dist", "t")).alias("b")).select("id", "b.line", F.round("b.dist", 4).alias("metres"), F.round("b.t", 6).alias("along"))
 
 
@@ -191,17 +203,15 @@ def grf14_apply_events(spark, d):
 
 
 def _impact_sql() -> str:
-    free = _walk_sql(_FROM.format("% 30 = 0")).replace("best AS", "before AS")
-    hit = _walk_sql(_FROM.format("% 30 = 0"), cost="cost").replace("edges e", "slowed e").replace("best AS", "after AS")
-    for k in range(DEPTH, -1, -1):
-        hit = hit.replace(f"d{k} ", f"h{k} ").replace(f"d{k})", f"h{k})")
-    return f"""WITH {_BOUND}, {_SLOWED}, {NODES}, slowed AS (SELECT e.u, e.v, e.length * coalesce(x.factor, 1) AS cost FROM edges e LEFT JOIN x ON (x.u, x.v) = (e.u, e.v) WHERE NOT coalesce(closed, false)), {free}, {hit}
-SELECT b.source, b.node, round(b.dist, 4) AS before, round(a.dist, 4) AS after, a.dist IS NULL AS cut_off FROM before b LEFT JOIN after a USING (source, node)"""
+    free = _walk_sql(_FROM.format(HIT), name="before_")
+    hit = _walk_sql(_FROM.format(HIT), cost="cost", name="after_", table="slowed")
+    return f"""WITH RECURSIVE {_BOUND}, {_SLOWED}, {NODES}, slowed AS (SELECT e.u, e.v, e.length * coalesce(x.factor, 1) AS cost FROM edges e LEFT JOIN x ON (x.u, x.v) = (e.u, e.v) WHERE NOT coalesce(closed, false)), {free}, {hit}
+SELECT b.source, b.node, round(b.dist, 4) AS before, round(a.dist, 4) AS after, a.dist IS NULL AS cut_off FROM before_ b LEFT JOIN after_ a USING (source, node)"""
 
 
 @query(_impact_sql())
 def grf15_impact(spark, d):
-    start = sources(spark, d, "% 30 = 0")
+    start = sources(spark, d, HIT)
     before = graph.shortest_paths(edges(spark, d), start)
     hit = with_events(spark, d).withColumn("cost", F.col("length") * F.col("factor"))
     after = graph.shortest_paths(hit, start, cost="cost").withColumnRenamed("dist", "after")
@@ -239,7 +249,7 @@ def grf20_topology_violations(spark, d):
 
 
 @query(f"""WITH RECURSIVE {EDGES}, {NODES}, both_ AS (SELECT u, v FROM edges WHERE highway <> 'steps' UNION SELECT v, u FROM edges WHERE highway <> 'steps'), reach AS (SELECT node, node AS seen FROM nodes UNION SELECT r.node, b.v FROM reach r JOIN both_ b ON b.u = r.seen), c AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
-SELECT (a.component = b.component) AS reachable, count(*) AS pairs FROM c a JOIN c b ON a.node < b.node AND (a.node * 31 + b.node * 17) % 10 = 0 GROUP BY 1""")
+SELECT (a.component = b.component) AS reachable, count(*) AS pairs FROM c a JOIN c b ON a.node < b.node GROUP BY 1""")
 def grf21_od_matrix(spark, d):
     """Reachability of all pairs from the sizes of components: one propagation, no search and no row for each pair."""
     sizes = graph.components(edges(spark, d).filter("highway <> 'steps'"), nodes(spark, d)).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
@@ -251,35 +261,31 @@ def grf21_od_matrix(spark, d):
 @query()
 def grf22_turn_by_turn(spark, d):
     """Instructions of the shortest routes from one node: edges of one road merge, a turn at each change."""
-    paths = graph.shortest_paths(edges(spark, d), sources(spark, d, "= 1"), with_path=True)
+    paths = graph.shortest_paths(edges(spark, d), sources(spark, d, "node = 1"), with_path=True)
     steps = graph.path_edges(paths, edges(spark, d))
     n = nodes(spark, d)
     at = lambda k: n.select(F.col("node").alias(k), F.col("lng").alias(f"{k}x"), F.col("lat").alias(f"{k}y"))
     placed = steps.join(at("u"), "u").join(at("v"), "v").withColumn("heading", geo.bearing(F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy")))
     runs = sequences.same_value_runs(placed, ["source", "node"], ["seq"], "road")
     legs = runs.groupBy("source", "node", "run").agg(F.first("road").alias("road"), F.round(F.sum("length"), 2).alias("metres"), F.min_by("heading", "seq").alias("into"), F.max_by("heading", "seq").alias("out_of"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("source", "node").orderBy("run")
     before, last = F.lag("out_of").over(w), F.lead("run").over(w).isNull()
     action = F.when(before.isNull(), "depart").otherwise(geo.turn_class(geo.turn_delta(before, F.col("into"))))
     return legs.select("source", "node", "run", "road", "metres", action.alias("action"), last.alias("arrives"))
 
 
-@query(f"""WITH {EDGES}, {NODES}, {_walk_sql(_FROM.format("= 1"))} SELECT count(*) AS routes, round(sum(dist), 2) AS metres FROM best WHERE node <> source""")
+@query(f"""WITH RECURSIVE {EDGES}, {NODES}, {_walk_sql(_FROM.format("node = 1"))} SELECT count(*) AS routes, round(sum(dist), 2) AS metres FROM best WHERE node <> source""")
 def grf23_path_geometry(spark, d):
     """Paths expand to edges whose lengths add up to their costs."""
-    paths = graph.shortest_paths(edges(spark, d), sources(spark, d, "= 1"), with_path=True)
+    paths = graph.shortest_paths(edges(spark, d), sources(spark, d, "node = 1"), with_path=True)
     steps = graph.path_edges(paths, edges(spark, d))
     return steps.groupBy("source", "node").agg(F.sum("length").alias("m")).agg(F.count(F.lit(1)).alias("routes"), F.round(F.sum("m"), 2).alias("metres"))
 
 
-@query(f"""WITH {PLACES}, {_LINES}, xy AS (SELECT id, (lng - 114.346::DOUBLE) * 95000 AS px, (lat - 30.517::DOUBLE) * 110000 AS py FROM places WHERE id % 20 = 0), c AS (SELECT id, line, {_PROJ} AS t, x1, y1, x2, y2, px, py FROM xy, lines) SELECT id, line, round(t, 6) AS along, round(sqrt(pow(px - (x1 + t * (x2 - x1)), 2) + pow(py - (y1 + t * (y2 - y1)), 2)), 4) AS across FROM c WHERE line % 50 = 0""")
+@query(f"""WITH {PLACES}, {_LINES}, xy AS (SELECT id, (lng - 114.346::DOUBLE) * 95000 AS px, (lat - 30.517::DOUBLE) * 110000 AS py FROM places), c AS (SELECT id, line, {_PROJ} AS t, x1, y1, x2, y2, px, py FROM xy, lines), m AS (SELECT id, line, t, sqrt(pow(px - (x1 + t * (x2 - x1)), 2) + pow(py - (y1 + t * (y2 - y1)), 2)) AS dist FROM c) SELECT id, line, round(t, 6) AS along, round(dist, 4) AS across FROM m WHERE dist <= 30""")
 def fun06_projection(spark, d):
-    """Stated places against stated lines."""
-    l = lines(spark, d).filter("line % 50 = 0")
-    t, dist = geo.segment_projection(*[F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")])
-    return places_xy(spark, d).filter("id % 20 = 0").join(F.broadcast(l)).select("id", "line", F.round(t, 6).alias("along"), F.round(dist, 4).alias("across"))
+    """Every place projected on every line within 30 m."""
+    return near_lines(spark, d, 30.0).select("id", "line", F.round("t", 6).alias("along"), F.round("dist", 4).alias("across"))
 
 
 @query(f"""WITH {_LINES}, g AS (SELECT *, greatest(1, ceil(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 250))::INTEGER AS n FROM lines), s AS (SELECT *, unnest(range(0, n + 1))::INTEGER AS seq FROM g) SELECT line, seq, round(x1 + (x2 - x1) * (seq::DOUBLE / n), 4) AS x, round(y1 + (y2 - y1) * (seq::DOUBLE / n), 4) AS y FROM s""")

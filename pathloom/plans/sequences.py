@@ -27,9 +27,9 @@ def agg03_most_common(spark, d):
     return places(spark, d).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).orderBy(F.desc("n"), "first").limit(25)
 
 
-@query(f"""WITH {PLACES} SELECT name, array_to_string(list_sort(list_distinct(list(type))), ',') AS types FROM places WHERE id % 7 < 2 GROUP BY name HAVING count(DISTINCT type) > 1""")
+@query(f"""WITH {PLACES} SELECT name, array_to_string(list_sort(list_distinct(list(type))), ',') AS types FROM places GROUP BY name HAVING count(DISTINCT type) > 1""")
 def agg04_alias_conflicts(spark, d):
-    return places(spark, d).filter("id % 7 < 2").groupBy("name").agg(F.array_sort(F.collect_set("type")).alias("types")).filter("size(types) > 1").withColumn("types", F.array_join("types", ","))
+    return places(spark, d).groupBy("name").agg(F.array_sort(F.collect_set("type")).alias("types")).filter("size(types) > 1").withColumn("types", F.array_join("types", ","))
 
 
 @query(f"""WITH {ALL_EDGES} SELECT highway, count(*) AS n, count_if(scenery IS NOT NULL) AS annotated, round(count_if(scenery IS NOT NULL) * 100.0::DOUBLE / count(*), 2) AS percent FROM all_edges GROUP BY highway""")
@@ -261,10 +261,10 @@ def top02_limit_before_filter(spark, d):
     return places(spark, d).filter(F.col("name").contains("bolt")).orderBy(F.desc("importance"), "id").limit(50).filter("type = 'PROMO' and scenery >= 10").select("id", "name", "type")
 
 
-@query(f"""WITH {PLACES}, s AS (SELECT subcategory, id, importance / 2000 AS score FROM places WHERE importance / 2000 >= 0.5), m AS (SELECT *, max(score) OVER (PARTITION BY subcategory) AS top FROM s) SELECT subcategory, id, round(score, 6) AS score, count(*) OVER (PARTITION BY subcategory) > 1 AS ambiguous FROM m WHERE score >= top - 0.005""")
+@query(f"""WITH {PLACES}, s AS (SELECT subcategory, id, importance / 1000 AS score FROM places WHERE importance / 1000 >= 0.5), m AS (SELECT *, max(score) OVER (PARTITION BY subcategory) AS top FROM s) SELECT subcategory, id, round(score, 6) AS score, count(*) OVER (PARTITION BY subcategory) > 1 AS ambiguous FROM m WHERE score >= top - 0.005""")
 def top03_ambiguity(spark, d):
     w = Window.partitionBy("subcategory")
-    s = places(spark, d).select("subcategory", "id", (F.col("importance") / 2000).alias("score")).filter("score >= 0.5").withColumn("top", F.max("score").over(w)).filter(F.col("score") >= F.col("top") - 0.005)
+    s = places(spark, d).select("subcategory", "id", (F.col("importance") / 1000).alias("score")).filter("score >= 0.5").withColumn("top", F.max("score").over(w)).filter(F.col("score") >= F.col("top") - 0.005)
     return s.select("subcategory", "id", F.round("score", 6).alias("score"), (F.count(F.lit(1)).over(w) > 1).alias("ambiguous"))
 
 
