@@ -47,6 +47,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Delete what materialize() wrote, once nothing reads it any more."""
+    for df in written:
+        jvm = df.sparkSession._jvm
+        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for columns of our own beside those of a table, whatever it has."""
     taken = {c.lower() for c in df.columns}

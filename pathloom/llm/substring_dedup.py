@@ -2,11 +2,12 @@
 
 A window is a run of WINDOW words. Its anchor is the smallest hash among the shorter word grams in
 it, so equal windows have equal anchors, and neighbouring windows mostly share one. The index has
-two levels, both made of immutable runs, bucketed and sorted by key:
+two levels, both made of immutable runs, tables bucketed and sorted by key that a later session opens again
+by the index's name:
 
 * anchors: every anchor seen, with the first document that held it;
-* windows: for each anchor that more than one document has held, the 128-bit hashes of all windows
-  with that anchor, each with the first document it starts in.
+* windows: for each anchor that more than one document has held, the 128-bit hashes of the words of
+  all windows with that anchor, each with the first document it starts in.
 
 A batch is reduced to its own anchors, which are merge-joined with the anchor runs. Only documents
 with a shared anchor are hashed window by window: those of the batch, and the earlier holder of an
@@ -15,7 +16,8 @@ verifies the candidates; a window whose first document has a smaller id is remov
 the batch becomes a new run, and runs are compacted into one when there are too many. Keys are
 unique in every run, so a passage in a third of all documents is one row of it.
 
-Batches must arrive in order of id. Defined results: a null text has no words; documents shorter
+Batches must arrive in order of id; what a batch only passes through is deleted when it has been read.
+Of texts with equal words, told by SHA-256, only the first is indexed. Defined results: a null text has no words; documents shorter
 than a window lose nothing; a null id neither removes nor loses words; rows that repeat an id are
 separate texts, none of them earlier than the other; an empty batch adds nothing; extra columns are
 ignored.
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import materialize, shuffle_partitions, table, word_hashes
+from pathloom.llm.common import discard, materialize, shuffle_partitions, table, word_hashes
 
 WINDOW = 50
 #: Words of the grams that anchors are chosen from: WINDOW - GRAM + 1 grams in a window.
@@ -44,7 +46,7 @@ MAX_RUNS = 2
 SEND = 100_000
 
 _u = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
 _hash = xxhash.xxh3_64_intdigest
 
 
@@ -70,7 +72,7 @@ def anchors(each: np.ndarray) -> np.ndarray:
     """The anchor of every window, in order."""
     if len(each) < WINDOW:
         return np.zeros(0, np.uint64)
-    grams = rolling(each, GRAM, _BASES[0])
+    grams = rolling(each, GRAM, _BASE)
     return np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1).min(axis=1)
 
 
@@ -96,6 +98,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, key bigint, n_words bigint, all_sha256 string, anchors array<bigint>")
 
 
+def window_hashes(words: list[bytes], place: np.ndarray) -> np.ndarray:
+    """The 128-bit hash of the words of each window, as two integers."""
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    found = b"".join(xxhash.xxh3_128_digest(line[a:b]) for a, b in zip(starts[place].tolist(), ends[place + WINDOW - 1].tolist()))
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
 def windows(texts: DataFrame) -> DataFrame:
     """h1, h2, doc_id, key, place: the windows whose anchors are among the row's list."""
 
@@ -108,11 +119,11 @@ def windows(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for doc_id, key, text, wanted in zip(*(batch.column(c) for c in ("doc_id", "key", "text", "wanted"))):
-                each = word_hashes(words_of(text.as_py()))
-                if len(each) < WINDOW:
+                words = words_of(text.as_py())
+                if len(words) < WINDOW:
                     continue
-                place = np.flatnonzero(np.isin(anchors(each).view(np.int64), np.array(wanted.as_py(), np.int64)))
-                h1, h2 = (rolling(each, WINDOW, base)[place].view(np.int64) for base in _BASES)
+                place = np.flatnonzero(np.isin(anchors(word_hashes(words)).view(np.int64), np.array(wanted.as_py(), np.int64)))
+                h1, h2 = window_hashes(words, place).T
                 n = len(place)
                 held.append((h1, h2, np.full(n, doc_id.as_py(), np.int64), np.full(n, key.as_py(), np.int64), place.astype(np.int32)))
                 size += n
@@ -146,16 +157,20 @@ def removed(texts: DataFrame) -> DataFrame:
 
 
 class Level:
-    """Immutable runs of unique keys, each a table bucketed and sorted by the first key column."""
+    """Immutable runs of unique keys, each a table bucketed by the key columns and sorted by them.
+
+    Runs are numbered in their names; the runs there are under a name are found again in the catalog.
+    """
 
     def __init__(self, spark: SparkSession, name: str, keys: list[str], values: list[str]):
         self.spark, self.name, self.keys, self.values = spark, name, keys, values
         self.buckets = max(16, shuffle_partitions(spark))
-        self.runs: list[str] = []
+        self.runs = sorted(r["tableName"] for r in spark.sql(f"SHOW TABLES LIKE '{name}_*'").collect())
 
     def _write(self, rows: DataFrame) -> str:
-        run = f"{self.name}_{uuid.uuid4().hex[:12]}"
-        rows.repartition(self.buckets, self.keys[0]).write.format("parquet").bucketBy(self.buckets, self.keys[0]).sortBy(*self.keys).saveAsTable(run)
+        number = int(self.runs[-1].rpartition("_")[2]) + 1 if self.runs else 0
+        run = f"{self.name}_{number:09d}"
+        rows.repartition(self.buckets, *self.keys).write.format("parquet").bucketBy(self.buckets, *self.keys).sortBy(*self.keys).saveAsTable(run)
         return run
 
     def lookup(self, rows: DataFrame) -> DataFrame:
@@ -173,7 +188,10 @@ class Level:
             self.compact()
 
     def compact(self) -> None:
-        """Merge all runs into one; of rows with one key, that of the newest run stays."""
+        """Merge all runs into one; of rows with one key, that of the newest run stays.
+
+        Until the old runs are gone the merged one, as the newest, answers first and says the same.
+        """
         if len(self.runs) < 2:
             return
         runs = [self.spark.table(run).withColumn("run", F.lit(n)) for n, run in enumerate(self.runs)]
@@ -187,6 +205,8 @@ class Level:
 
 
 class FingerprintIndex:
+    """name: of the index's tables; one that exists is opened, none makes an index of its own."""
+
     def __init__(self, spark: SparkSession, name: str | None = None):
         name = name or f"substrings_{uuid.uuid4().hex[:12]}"
         self.anchors = Level(spark, f"{name}_anchors", ["anchor"], ["first", "shared"])
@@ -197,23 +217,25 @@ class FingerprintIndex:
 
         Returns one row for each document of the batch: doc_id, n_words, n_removed, kept_sha256.
         """
+        if earlier is None and self.anchors.runs:
+            raise ValueError("the index holds documents: their texts are needed to find what the batch shares with them")
         signed = materialize(signatures(batch), "signatures")
         # Of texts with equal words, only the first needs its windows indexed.
         long = signed.filter(f"doc_id is not null and n_words >= {WINDOW}")
-        firsts = long.groupBy("key", "n_words").agg(F.min("doc_id").alias("first"))
-        marked = materialize(long.hint("merge").join(firsts, ["key", "n_words"]).select("doc_id", "key", "anchors", (F.col("first") < F.col("doc_id")).alias("copy")), "marked")
-        held = marked.filter("not copy").select(F.explode("anchors").alias("anchor"), "doc_id", "key").distinct()
-        held = materialize(held, "held")
+        firsts = long.groupBy("all_sha256").agg(F.min("doc_id").alias("first"))
+        marked = materialize(long.hint("merge").join(firsts, "all_sha256").select("doc_id", "key", "anchors", (F.col("first") < F.col("doc_id")).alias("copy")), "marked")
+        slim = materialize(signed.drop("anchors"), "digests")
+        discard(signed)
+        held = marked.filter("not copy").select(F.explode("anchors").alias("anchor"), "doc_id", "key")
 
-        own = materialize(held.groupBy("anchor").agg(F.min("doc_id").alias("own_first"), F.max("doc_id").alias("own_last")), "own-anchors")
+        own = held.groupBy("anchor").agg(F.min("doc_id").alias("own_first"), F.max("doc_id").alias("own_last"))
         looked = materialize(self.anchors.lookup(own), "looked-up")
         now_shared = (F.col("first").isNotNull() | (F.col("own_first") < F.col("own_last"))).cast("bigint")
         shared = looked.filter(now_shared == 1)
         # Runs are immutable: that an older anchor has become shared is told by a row in a later run.
         news = looked.filter("first is null or shared = 0").select("anchor", F.coalesce("first", "own_first").alias("first"), now_shared.alias("shared"))
         wanted = held.hint("merge").join(shared.select("anchor"), "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("wanted"))
-        sources = self._texts(batch, wanted, signed)
-        sources = materialize(sources, "candidates")
+        sources = materialize(self._texts(batch, wanted), "candidates")
         cut = materialize(windows(sources), "windows")
 
         firsts = cut.groupBy("h1", "h2").agg(F.min("doc_id").alias("own_first"))
@@ -224,17 +246,20 @@ class FingerprintIndex:
             older = earlier.select("doc_id", "text").hint("merge").join(again, "doc_id").withColumn("key", F.lit(0).cast("bigint"))
             history = windows(older).groupBy("h1", "h2").agg(F.min("doc_id").alias("own_first"))
             firsts = firsts.unionByName(history).groupBy("h1", "h2").agg(F.min("own_first").alias("own_first"))
-        firsts = materialize(self.windows.lookup(materialize(firsts, "own-windows")), "firsts")
+        firsts = materialize(self.windows.lookup(firsts), "firsts")
         first = F.coalesce("first", "own_first").alias("first")
         self.windows.append(firsts.filter("first is null").select("h1", "h2", first))
         self.anchors.append(news)
+        discard(looked)
 
         repeated = cut.hint("merge").join(firsts.select("h1", "h2", first), ["h1", "h2"]).filter("first < doc_id")
-        places = repeated.groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
+        places = materialize(repeated.groupBy("doc_id", "key").agg(F.collect_set("place").alias("places")), "places")
+        discard(cut, firsts)
         struck = removed(sources.select("doc_id", "key", "text").hint("merge").join(places, ["doc_id", "key"])).dropDuplicates(["doc_id", "key"])
         struck = materialize(struck, "struck")
-        copies = marked.filter("copy").select("doc_id", "key", F.lit(True).alias("copy")).distinct()
-        result = signed.hint("merge").join(struck, ["doc_id", "key"], "left").join(copies.hint("merge"), ["doc_id", "key"], "left")
+        copies = materialize(marked.filter("copy").select("doc_id", "key", F.lit(True).alias("copy")).distinct(), "copies")
+        discard(places, sources, marked)
+        result = slim.hint("merge").join(struck, ["doc_id", "key"], "left").join(copies.hint("merge"), ["doc_id", "key"], "left")
         return result.select(
             "doc_id",
             "n_words",
@@ -242,7 +267,7 @@ class FingerprintIndex:
             F.when(F.col("copy"), F.lit(joined_sha([]))).otherwise(F.coalesce("kept_sha256", "all_sha256")).alias("kept_sha256"),
         )
 
-    def _texts(self, batch: DataFrame, wanted: DataFrame, signed: DataFrame) -> DataFrame:
+    def _texts(self, batch: DataFrame, wanted: DataFrame) -> DataFrame:
         """Texts of the documents with shared anchors, each with its list of them."""
         ids = wanted.groupBy("doc_id").agg(F.flatten(F.collect_list("wanted")).alias("wanted"))
 

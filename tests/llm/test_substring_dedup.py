@@ -62,3 +62,13 @@ def test_empty_tables_null_ids_and_repeated_rows(spark):
     found = rows_of(dedup(spark.createDataFrame(rows, schema)).filter("doc_id is not null"))
     assert found == [(2, 60, 0, sha(passage)), (2, 60, 0, sha(passage)), (5, 61, 60, sha("more"))]
     assert dedup(spark.createDataFrame(rows, schema)).filter("doc_id is null and n_removed = 0").count() == 2
+
+
+def test_an_index_is_opened_again_by_its_name(spark):
+    docs = sorted(corpus(36, seed=8), key=lambda d: d[0])
+    first = rows_of(FingerprintIndex(spark, "kept_substrings").add(frame(spark, docs[:20])))
+    again = FingerprintIndex(spark, "kept_substrings")
+    assert len(again.anchors.runs) == 1
+    with pytest.raises(ValueError):
+        again.add(frame(spark, docs[20:]))
+    assert sorted(first + rows_of(again.add(frame(spark, docs[20:]), frame(spark, docs[:20])))) == without_repeats(docs)
