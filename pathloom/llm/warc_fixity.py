@@ -3,22 +3,22 @@
 Pages are written as WARC files by Spark's text writer, whose line separator is the one that ends a
 WARC record; layout follows the scan, so nothing is shuffled. An archive is read back file by file:
 every record gives its offset, length and SHA-256. These digests, in order of file and place, are
-the leaves of a tree; a node is the digest of its up to sixteen children, first within a file, then
-over ranges of files, up to one root. Two replicas are compared from their roots down, and only the
-children of nodes that differ are looked at, so a small fault in a large archive is found by a few
-small joins.
+the leaves of a tree; a node is the digest of its up to sixteen children, each with its number and
+the range of offsets that it covers, first within a file, then over ranges of files, up to one root.
+Two replicas are compared from their roots down, and only the children of nodes that differ are
+looked at, so a small fault in a large archive is found by a few small joins.
 
 Defined results: a null url is written as an empty one and a null html as an empty payload; a null
 id is written and read back as null; rows that repeat are records of their own; a record that is
-missing in one replica differs; where a file cannot be parsed on, its remaining bytes are one
-unreadable record; an empty table has no records, and two empty archives agree; extra columns are ignored.
+missing in one replica differs, one that only stands elsewhere in its file does not; where a file
+cannot be unpacked or parsed on, what is left of it is one unreadable record; an empty table has no records, and two empty archives agree; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -79,17 +79,40 @@ def parse(data: bytes) -> Iterator[tuple[int | None, int, int, bytes]]:
         at = stop + 4
 
 
+def unpack(data: bytes, step: int = 4096) -> tuple[bytes, bytes]:
+    """What gzip members hold, as far as they can be unpacked, and the packed bytes that cannot."""
+    out, at, member = [], 0, zlib.decompressobj(31)
+    while at < len(data):
+        before = member.copy()
+        try:
+            out.append(member.decompress(data[at : at + step]))
+        except zlib.error:
+            if step == 1:
+                return b"".join(out), data[at:]
+            # On by single bytes: what comes before the fault is not lost.
+            member, step = before, 1
+            continue
+        at += len(data[at : at + step]) - len(member.unused_data)
+        if member.eof:
+            member = zlib.decompressobj(31)
+    return b"".join(out), b""
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """The leaves of an archive: number in order of file and place, page_id, offset, length, digest."""
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content")):
-                task, part = map(int, re.search(r"part-(\d+)-.*-c(\d+)\.", name.as_py()).groups())
-                if part >= FILES_PER_TASK:
-                    raise ValueError("a task wrote more files than leaf numbers allow")
-                first = (task * FILES_PER_TASK + part) * RECORDS_PER_FILE
-                rows = [(first + k, *row) for k, row in enumerate(parse(gzip.decompress(content.as_py())))]
+                place = re.search(r"part-(\d+)-.*-c(\d+)\.", name.as_py())
+                if not place or int(place[2]) >= FILES_PER_TASK:
+                    raise ValueError(f"{name} does not have a place in an archive of this module: part-TASK-...-cFILE, fewer than {FILES_PER_TASK} files a task")
+                first = (int(place[1]) * FILES_PER_TASK + int(place[2])) * RECORDS_PER_FILE
+                text, lost = unpack(content.as_py())
+                found = list(parse(text))
+                if lost:
+                    found.append((None, len(text), len(lost), hashlib.sha256(lost).digest()))
+                rows = [(first + k, *row) for k, row in enumerate(found)]
                 if rows:
                     columns = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.binary())], names=["leaf", "page_id", "start", "length", "digest"])
@@ -99,15 +122,16 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def grow(leaves: DataFrame) -> list[DataFrame]:
-    """Levels of the tree, leaves first, each (node, digest); the last has the root only."""
-    levels = [leaves.select(F.col("leaf").alias("node"), "digest")]
+    """Levels of the tree, leaves first, each (node, digest, start, stop); the last has the root only."""
+    levels = [leaves.select(F.col("leaf").alias("node"), "digest", "start", (F.col("start") + F.col("length")).alias("stop"))]
     top = leaves.agg(F.max("leaf")).first()[0] or 0
     while top > 0:
         top >>= FANOUT_BITS
-        children = F.array_sort(F.collect_list(F.struct("node", "digest")))
-        joined = F.array_join(F.transform(children, lambda c: F.hex(c["digest"])), "")
+        children = F.array_sort(F.collect_list(F.struct("node", "start", "stop", "digest")))
+        joined = F.array_join(F.transform(children, lambda c: F.concat_ws(" ", c["node"], c["start"], c["stop"], F.hex(c["digest"]))), "\n")
         node = F.shiftright("node", FANOUT_BITS)
-        levels.append(materialize(levels[-1].groupBy(node.alias("parent")).agg(F.unhex(F.sha2(joined, 256)).alias("digest")).withColumnRenamed("parent", "node"), "merkle-level"))
+        parents = levels[-1].groupBy(node.alias("parent")).agg(F.unhex(F.sha2(joined, 256)).alias("digest"), F.min_by("start", "node").alias("start"), F.max_by("stop", "node").alias("stop"))
+        levels.append(materialize(parents.withColumnRenamed("parent", "node"), "merkle-level"))
     return levels
 
 
