@@ -15,7 +15,6 @@ every probability is the base rate (0 without rows); extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -104,9 +103,13 @@ def fit_linear(x: tuple[np.ndarray, np.ndarray], earlier: np.ndarray, y: np.ndar
     return w
 
 
-def fit_chain(rows: list[list[int]], y: np.ndarray, width: int, folds: np.ndarray) -> list[np.ndarray]:
-    """Each category's model on all rows; what it hands on while learning is out-of-fold."""
+def fit_chain(rows: list[list[int]], y: np.ndarray, width: int, folds: np.ndarray, allowed: np.ndarray | None = None) -> list[np.ndarray]:
+    """Each category's model on all rows; what it hands on while learning is out-of-fold.
+
+    allowed: for each fold, and last for all rows, which indicators were chosen without that fold; all if not given.
+    """
     x = csr(rows)
+    allowed = np.ones((FOLDS + 1, width), bool) if allowed is None else allowed
     handed = np.zeros((len(rows), 0))
     weights = []
     for k in range(y.shape[1]):
@@ -114,43 +117,62 @@ def fit_chain(rows: list[list[int]], y: np.ndarray, width: int, folds: np.ndarra
         for f in range(FOLDS):
             learn, test = folds != f, folds == f
             at = np.cumsum(learn) - 1
-            take = learn[x[0]]
+            known = allowed[f][x[1]]
+            take = learn[x[0]] & known
             w = fit_linear((at[x[0][take]], x[1][take]), handed[learn], y[learn, k], width)
-            z = np.bincount(x[0], w[x[1]], len(rows)) + handed @ w[width : width + k] + w[-1]
+            z = np.bincount(x[0][known], w[x[1][known]], len(rows)) + handed @ w[width : width + k] + w[-1]
             out[test] = sigmoid(z[test])
-        weights.append(fit_linear(x, handed, y[:, k], width))
+        known = allowed[FOLDS][x[1]]
+        w = fit_linear((x[0][known], x[1][known]), handed, y[:, k], width)
+        w[:width][~allowed[FOLDS]] = 0
+        weights.append(w)
         handed = np.column_stack([handed, out])
     return weights
 
 
-def choose_indicators(sample: DataFrame, limit: int = INDICATORS, support: int = SUPPORT) -> list[str]:
-    """Terms that toxic texts of the sample hold far more often than others."""
+def choose_indicators(sample: DataFrame, limit: int = INDICATORS, support: int = SUPPORT) -> tuple[list[str], np.ndarray]:
+    """Terms that toxic texts hold far more often than others, and in which choices they are.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = {0: Counter(), 1: Counter()}
-            for text, toxic in zip(batch.column("text"), batch.column("toxic")):
-                found[toxic.as_py()].update(terms(text.as_py() or ""))
-            all_terms = list(found[0].keys() | found[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(all_terms, pa.string()), pa.array([found[1][t] for t in all_terms], pa.int64()), pa.array([found[0][t] for t in all_terms], pa.int64())], names=["term", "toxic", "clean"])
+    One choice without each fold and one with all: what a fold's rows say decides nothing in the model
+    that rates them. Terms are counted for each fold; the counts of at most 8 * limit terms are looked at.
+    """
+    each = range(FOLDS)
 
-    # Clean texts matter only for terms that toxic ones hold often enough: a first count drops the long tail.
-    common = sample.filter("toxic = 1").select("text", "toxic").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t")).filter(F.col("t") >= support)
-    common = materialize(common.orderBy(F.desc("t"), "term").limit(8 * limit), "toxic-terms")
-    kept = {r["term"] for r in common.collect()}
+    def counts(kept: set | None):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found: dict[str, list[int]] = {}
+                for text, fold in zip(batch.column("text"), batch.column("fold").to_pylist()):
+                    held = terms(text.as_py() or "")
+                    for term in held if kept is None else held & kept:
+                        found.setdefault(term, [0] * FOLDS)[fold] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *[pa.array([c[k] for c in found.values()], pa.int64()) for k in each]], names=["term", *[f"n{k}" for k in each]])
 
-    def count_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: Counter = Counter()
-            for text in batch.column("text"):
-                found.update(terms(text.as_py() or "") & kept)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "clean"])
+        return count
+
+    def counted(rows: DataFrame, kept: set | None = None) -> DataFrame:
+        found = rows.select("text", "fold").mapInArrow(counts(kept), "term string, " + ", ".join(f"n{k} long" for k in each))
+        return found.groupBy("term").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in each])
 
-    clean = sample.filter("toxic = 0").select("text").mapInArrow(count_kept, "term string, clean long").groupBy("term").agg(F.sum("clean").alias("c"))
-    totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    odds = (F.col("t") / totals.get(1, 1)) / ((F.coalesce("c", F.lit(0)) + 0.5) / max(totals.get(0, 0), 1))
-    strong = common.join(clean, "term", "left").withColumn("odds", odds).filter("odds >= 8").orderBy(F.desc(F.log("odds") * F.sqrt("t")), "term").limit(limit)
-    return sorted(r["term"] for r in strong.select("term").collect())
+    # Clean texts matter only for terms that toxic ones hold often enough: a first count drops the long tail.
+    times = sum((F.col(f"n{k}") for k in each), F.lit(0))
+    common = counted(sample.filter("toxic = 1")).withColumn("t", times).filter(F.col("t") >= support).orderBy(F.desc("t"), "term").limit(8 * limit)
+    toxic = {r["term"]: [r[f"n{k}"] for k in each] for r in common.collect()}
+    clean = {r["term"]: [r[f"n{k}"] for k in each] for r in counted(sample.filter("toxic = 0"), set(toxic)).collect()}
+    rows_in = {(r["toxic"], r["fold"]): r["count"] for r in sample.groupBy("toxic", "fold").count().collect()}
+    words = sorted(toxic)
+    t = np.array([toxic[w] for w in words], np.int64).reshape(-1, FOLDS)
+    c = np.array([clean.get(w, [0] * FOLDS) for w in words], np.int64).reshape(-1, FOLDS)
+    size = {k: np.array([rows_in.get((k, f), 0) for f in each]) for k in (0, 1)}
+    allowed = np.zeros((FOLDS + 1, len(words)), bool)
+    for f in range(FOLDS + 1):
+        seen = np.arange(FOLDS) != f
+        ours, theirs = t[:, seen].sum(1), c[:, seen].sum(1)
+        odds = (ours / max(size[1][seen].sum(), 1)) / ((theirs + 0.5) / max(size[0][seen].sum(), 1))
+        strong = np.flatnonzero((ours >= support) & (odds >= 8))
+        allowed[f, strong[np.argsort(-np.log(odds[strong]) * np.sqrt(ours[strong]), kind="stable")][:limit]] = True
+    used = allowed.any(0)
+    return [w for w, u in zip(words, used) if u], allowed[:, used]
 
 
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = SAMPLE_ROWS) -> Chain:
@@ -162,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows
     conditions = [F.coalesce(F.expr(c), F.lit(False)).cast("int").alias(f"y{k}") for k, (_, c) in enumerate(categories)]
     labelled = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
     sample = materialize(labelled.select("text", "toxic", F.abs(F.xxhash64("doc_id") % FOLDS).cast("int").alias("fold"), F.array(*conditions).alias("y")), "toxicity-texts")
-    words = choose_indicators(sample)
+    words, allowed = choose_indicators(sample)
     chain = Chain(names, {t: i for i, t in enumerate(words)}, [])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows
     rows = sample.select("text", "fold", "y").mapInArrow(sparse, "fold int, y array<int>, x array<long>").collect()
     rows.sort(key=lambda r: (r["fold"], r["y"], r["x"]))  # tasks end in any order; sums of floats should not show it
     y = np.array([r["y"] for r in rows], dtype=np.float64).reshape(-1, len(names))
-    chain.weights = fit_chain([r["x"] for r in rows], y, len(words), np.array([r["fold"] for r in rows]))
+    chain.weights = fit_chain([r["x"] for r in rows], y, len(words), np.array([r["fold"] for r in rows], np.int64), allowed)
     return chain
 
 
