@@ -2,11 +2,12 @@
 
 Pages that a rule fits seed their hosts: allowed ones with trust, blocked ones with distrust. Trust
 flows along host edges as personalised PageRank, distrust along the reversed edges; both run as one
-iteration of joins and sums over an aggregated edge table, until the ranks have settled. A host whose
-distrust exceeds its trust is blocked, any other is allowed.
+iteration of joins and sums over an aggregated edge table, until the ranks have settled. Either side
+shares a mass of one among its seeds, by their pages, so that neither wins by having more of them. A
+host whose distrust exceeds THRESHOLD times its trust is blocked, any other is allowed.
 
 Host edges are links between hosts, counted, and one edge each way between a host and the domain
-above it. Mass that reaches a host without edges out stays there.
+above it. Mass that reaches a host without edges out counts there once and goes no further.
 
 Defined results: a null url, or one without "://", has an empty host and path and is allowed; a
 null html has no links; repeated rows are judged alike and count as separate seeds; hosts that no
@@ -15,7 +16,7 @@ seed reaches are allowed; an empty table gives an empty result; extra columns ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import UPPER, materialize, table
@@ -23,8 +24,10 @@ from pathloom.llm.common import UPPER, materialize, table
 #: (verdict, rule): host, then path. The longest rule that fits decides.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING = 0.85
-#: Iterations that the SQL unrolls; propagate() goes on until the ranks have settled.
-ITERATIONS = 10
+#: A host is blocked where its distrust exceeds so many times its trust.
+THRESHOLD = 1.0
+#: Iterations after which the SQL ends, when no more than 1e-11 of the mass moves; propagate() goes on until the ranks have settled.
+ITERATIONS = 160
 #: Iterations between two writes to the shared folder and looks at the change.
 WRITE_EVERY = 5
 #: Ranks have settled when they changed by less than this share of the seeds' mass, all together.
@@ -111,10 +114,11 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING) -> DataFrame:
         .groupBy(F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("kind"), "host")
         .agg(F.count(F.lit(1)).cast("double").alias("mass"))
     )
-    # Masses are page counts, not shares: the scale is common to trust and distrust, and only their order decides.
+    total = F.sum("mass").over(Window.partitionBy("kind"))
+    seeds = seeds.withColumn("mass", F.col("mass") / total)
     ranks = propagate(host_edges(pages), materialize(seeds, "seeds"), damping)
     of = lambda kind: F.round(F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)), DECIMALS)
-    blocked = ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust")).filter("distrust > trust").select("host", F.lit("block").alias("by_graph"))
+    blocked = ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust")).filter(F.col("distrust") > THRESHOLD * F.col("trust")).select("host", F.lit("block").alias("by_graph"))
     return judged.join(materialize(blocked, "blocked-hosts"), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "by_graph", F.lit("allow")).alias("verdict"))
 
 
@@ -123,17 +127,16 @@ def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    steps = "".join(
-        f""", r{k} AS (
-  SELECT kind, host, sum(rank) AS rank FROM (
-    SELECT sh.kind, sh.dst AS host, sh.share * r.rank * {DAMPING} AS rank FROM shares sh JOIN r{k - 1} r ON r.kind = sh.kind AND r.host = sh.src
-    UNION ALL SELECT kind, host, rank * {1 - DAMPING} FROM r0) GROUP BY kind, host
+    # moved: what is left of each seed's mass after so many steps; a rank is the damped sum over them.
+    steps = f""", moved(step, kind, host, mass) AS (
+  SELECT 0, kind, host, mass FROM seeds
+  UNION ALL SELECT m.step + 1, m.kind, sh.dst, sum(m.mass * sh.share) * {DAMPING} FROM moved m JOIN shares sh ON sh.kind = m.kind AND sh.src = m.host WHERE m.step < {ITERATIONS} GROUP BY m.step, m.kind, sh.dst
+), ranks AS (
+  SELECT kind, host, sum(CASE WHEN step < {ITERATIONS} THEN {1 - DAMPING} ELSE 1 END * mass) AS rank FROM moved GROUP BY kind, host
 )"""
-        for k in range(1, ITERATIONS + 1)
-    )
     return (
         r"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, html, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
   FROM pages
@@ -161,13 +164,14 @@ WITH p AS (
   SELECT 'trust' AS kind, src, dst, weight FROM edges UNION ALL SELECT 'distrust', dst, src, weight FROM edges
 ), shares AS (
   SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS share FROM ways
-), r0 AS (
-  SELECT CASE WHEN ruled = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*)::DOUBLE AS rank FROM j WHERE ruled IS NOT NULL AND host <> '' GROUP BY 1, 2
+), seeds AS (
+  SELECT CASE WHEN ruled = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*)::DOUBLE / (sum(count(*)) OVER (PARTITION BY CASE WHEN ruled = 'allow' THEN 'trust' ELSE 'distrust' END))::DOUBLE AS mass
+  FROM j WHERE ruled IS NOT NULL AND host <> '' GROUP BY 1, 2
 )"""
         + steps
         + f""", blocked AS (
-  SELECT host FROM r{ITERATIONS} GROUP BY host
-  HAVING round(sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END), {DECIMALS}) > round(sum(CASE WHEN kind = 'trust' THEN rank ELSE 0 END), {DECIMALS})
+  SELECT host FROM ranks GROUP BY host
+  HAVING round(sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END), {DECIMALS}) > {THRESHOLD} * round(sum(CASE WHEN kind = 'trust' THEN rank ELSE 0 END), {DECIMALS})
 )
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' END, 'allow') AS verdict FROM j
 """

@@ -45,6 +45,8 @@ def brute(pages, damping=url_filter.DAMPING, iterations=url_filter.ITERATIONS):
     ranks = {}
     for kind, says in (("trust", "allow"), ("distrust", "block")):
         seeds = Counter(parts[p][0] for p in parts if ruled[p][1] == says and parts[p][0])
+        pages_in_all = sum(seeds.values())
+        seeds = {h: n / pages_in_all for h, n in seeds.items()}
         ways = defaultdict(dict)
         for (a, b), w in edges.items():
             src, dst = (a, b) if kind == "trust" else (b, a)
