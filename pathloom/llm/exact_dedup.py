@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import ascii_lower, materialize, shuffle_partitions, table
+from pathloom.llm.common import ascii_lower, fresh, materialize, shuffle_partitions, table
 
 INDEX_SCHEMA = "digest binary, keep_id bigint"
 
@@ -51,10 +51,10 @@ class DigestIndex:
         # Written first: the optimiser would otherwise move the anti-join below the aggregate,
         # and deal out every row of a large group instead of one for each task.
         firsts = materialize(batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "batch-digests")
-        fresh = firsts.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
-        fresh = materialize(fresh.repartition(self.buckets, "digest"), "fresh-digests")
-        self._write(fresh)
-        return fresh
+        new = firsts.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
+        new = materialize(new.repartition(self.buckets, "digest"), "fresh-digests")
+        self._write(new)
+        return new
 
     def compact(self) -> None:
         """Rewrite as one sorted file per bucket, under a new table that then takes the name."""
@@ -101,15 +101,16 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     Kept (id, digest) pairs come from the index; only where such a pair repeats are whole rows
     compared, so that exactly one row of each group is left.
     """
+    sha, kept_id, kept_sha, n = fresh(docs, "sha", "kept_id", "kept_sha", "n")
     decided = materialize(dedup(docs).filter("kept").groupBy("doc_id", "text_sha256").count(), "kept-digests")
-    marked = docs.withColumn("__sha", F.lower(F.hex(digest(F.col("text")))))
-    keys = decided.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha"), F.col("count").alias("__n"))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha"))
+    marked = docs.withColumn(sha, F.lower(F.hex(digest(F.col("text")))))
+    keys = decided.select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha), F.col("count").alias(n))
+    on = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha))
     if decided.filter("count > 1").isEmpty():
-        return marked.hint("merge").join(keys, on, "left_semi").drop("__sha")
+        return marked.hint("merge").join(keys, on, "left_semi").drop(sha)
     kept = marked.hint("merge").join(keys, on)
-    single = kept.filter("__n = 1").select(docs.columns)
-    return single.unionByName(kept.filter("__n > 1").dropDuplicates(["__id", "__sha"]).select(docs.columns))
+    single = kept.filter(F.col(n) == 1).select(docs.columns)
+    return single.unionByName(kept.filter(F.col(n) > 1).dropDuplicates([kept_id, sha]).select(docs.columns))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from pathloom.llm.common import WORD, materialize, shuffle_partitions, table, word_hashes
+from pathloom.llm.common import WORD, fresh, materialize, shuffle_partitions, table, word_hashes
 from pathloom.llm.components import components
 
 WORDS = 5
@@ -785,15 +785,15 @@ def cluster(docs: DataFrame) -> DataFrame:
     return sets.hint("merge").join(placed, ["class", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def with_class(docs: DataFrame) -> DataFrame:
-    """docs with __class and __n of each text."""
+def with_class(docs: DataFrame, name: str, n: str) -> DataFrame:
+    """docs with the class and set size of each text."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows = [shingles(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([class_of(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64())], names=[*batch.schema.names, "__class", "__n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([class_of(s) for s in rows], pa.int64()), pa.array([len(s) for s in rows], pa.int64())], names=[*batch.schema.names, name, n])
 
-    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField("__class", LongType()), StructField("__n", LongType())]))
+    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(name, LongType()), StructField(n, LongType())]))
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
@@ -802,13 +802,15 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     Texts with empty sets all stay. Where several rows have the smallest id and one set, one of them stays.
     """
     sets, placed, by_class = place(docs)
-    kept = placed.filter("stays").select(F.col("first").alias("__id"), F.col("class").alias("__class"), F.col("n").alias("__n"))
+    kept_id, name, n = fresh(docs, "kept_id", "class", "n")
+    kept = placed.filter("stays").select(F.col("first").alias(kept_id), F.col("class").alias(name), F.col("n").alias(n))
     if not by_class:
-        ids = materialize(kept.select("__id").unionByName(sets.filter("n = 0").select(F.col("doc_id").alias("__id"))), "kept-ids")
-        return docs.hint("merge").join(ids, F.col("doc_id") == F.col("__id")).select(docs.columns)
+        ids = materialize(kept.select(kept_id).unionByName(sets.filter("n = 0").select(F.col("doc_id").alias(kept_id))), "kept-ids")
+        return docs.hint("merge").join(ids, F.col("doc_id") == F.col(kept_id)).select(docs.columns)
     # Ids alone do not tell the rows apart: the set is part of the key.
-    chosen = with_class(docs.filter(F.coalesce("text", F.lit("")).rlike(WORD))).alias("d").join(kept.alias("k"), F.expr("d.__class = k.__class and d.__n = k.__n and d.doc_id <=> k.__id"), "left_semi")
-    return chosen.dropDuplicates(["__class", "__n"]).select(docs.columns).unionByName(docs.filter(~F.coalesce("text", F.lit("")).rlike(WORD)))
+    on = (F.col(f"d.{name}") == F.col(f"k.{name}")) & (F.col(f"d.{n}") == F.col(f"k.{n}")) & F.col("d.doc_id").eqNullSafe(F.col(f"k.{kept_id}"))
+    chosen = with_class(docs.filter(F.coalesce("text", F.lit("")).rlike(WORD)), name, n).alias("d").join(kept.alias("k"), on, "left_semi")
+    return chosen.dropDuplicates([name, n]).select(docs.columns).unionByName(docs.filter(~F.coalesce("text", F.lit("")).rlike(WORD)))
 
 
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

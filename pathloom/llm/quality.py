@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import materialize, table
+from pathloom.llm.common import fresh, materialize, table
 
 #: At most so many labelled rows are learned from, those with the smallest hashes of their ids.
 SAMPLE_ROWS = 20_000
@@ -223,7 +223,8 @@ def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     def quality(text):
         return _scores(model, text)
 
-    return docs.withColumn("__score", quality("text")).filter(F.col("__score") >= threshold).drop("__score")
+    (score,) = fresh(docs, "score")
+    return docs.withColumn(score, quality("text")).filter(F.col(score) >= threshold).drop(score)
 
 
 def _scores(model: AdditiveModel, text):
