@@ -60,3 +60,29 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str], order: str) -
 
 def backoff(failures: Column, first: float = 0.5, most: float = 30.0) -> Column:
     return F.least(F.lit(most), first * F.pow(F.lit(2.0), failures - 1))
+
+
+def insert_returning(rows: DataFrame, natural_key: list[str], now: int) -> DataFrame:
+    """Rows as they are inserted: with a made id, from their natural key, and the moment of their creation.
+
+    A made id needs no counter that all writers share, and inserting again gives the same one.
+    """
+    made = F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in natural_key]), 256), 1, 32)
+    return rows.select(made.alias("id"), F.lit(now).cast("long").alias("created"), *rows.columns)
+
+
+def apply_changes(stored: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored rows after the changes, and the outcome (id, outcome) of each change.
+
+    stored: id, version, value. changes: id, op (create, update or delete), expected, value; one for an
+    id at most. An update or delete applies only to the version that it expects.
+    """
+    asked = changes.select("id", "op", "expected", F.col("value").alias("new"))
+    both = stored.join(asked, "id", "full_outer")
+    there, fits = F.col("version").isNotNull(), F.col("version") == F.col("expected")
+    outcome = F.when(F.col("op") == "create", F.when(there, "exists").otherwise("applied")).otherwise(F.when(~there, "missing").when(fits, "applied").otherwise("conflict"))
+    done = both.withColumn("outcome", F.when(F.col("op").isNotNull(), outcome))
+    applied = F.coalesce(F.col("outcome") == "applied", F.lit(False))
+    kept = done.filter((there & ~(applied & (F.col("op") == "delete"))) | (applied & (F.col("op") == "create")))
+    after = kept.select("id", F.when(applied, F.coalesce("version", F.lit(0)) + 1).otherwise(F.col("version")).alias("version"), F.when(applied, F.col("new")).otherwise(F.col("value")).alias("value"))
+    return after, done.filter("outcome is not null").select("id", "outcome")

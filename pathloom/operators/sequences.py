@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +89,12 @@ def numbered(df: DataFrame, by: list[str], order: list, name: str = "seq") -> Da
 
 def cumulative(df: DataFrame, by: list[str], order: list, value: str, name: str) -> DataFrame:
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def stable_union(branches: list[DataFrame], keys: list[str], order: str) -> DataFrame:
+    """All branches' rows, of equal keys the first: by branch, then by the order column. branch is added, from 0."""
+    tagged = [b.withColumn("branch", F.lit(n)) for n, b in enumerate(branches)]
+    whole = reduce(DataFrame.unionByName, tagged)
+    rest = [c for c in whole.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct("branch", order)).alias("row")
+    return whole.groupBy(*keys).agg(first).select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest])

@@ -288,6 +288,20 @@ def fun06_projection(spark, d):
     return near_lines(spark, d, 30.0).select("id", "line", F.round("t", 6).alias("along"), F.round("dist", 4).alias("across"))
 
 
+@query(f"""WITH {PLACES}, {_LINES}, g AS (SELECT *, greatest(1, ceil(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 250))::INTEGER AS n FROM lines), s AS (SELECT line, x1, y1, x2, y2, n, unnest(range(0, n + 1))::INTEGER AS seq FROM g), p AS (SELECT line, x1 + (x2 - x1) * (seq::DOUBLE / n) AS x, y1 + (y2 - y1) * (seq::DOUBLE / n) AS y FROM s),
+xy AS (SELECT (lng - 114.346::DOUBLE) * 95000 AS px, (lat - 30.517::DOUBLE) * 110000 AS py FROM places), c AS (SELECT line, EXISTS (SELECT 1 FROM xy WHERE pow(px - x, 2) + pow(py - y, 2) <= 3600) AS near FROM p) SELECT line, count(*) AS samples, count_if(near) AS covered FROM c GROUP BY line""")
+def evl16_coverage(spark, d):
+    """How many of the points every 250 m of a line have a place within 60 m: places go to the cells around them."""
+    reach = 60.0
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    points = spatial.densify(lines(spark, d).withColumn("length", length), 250.0)
+    cell = lambda x, y, i=0, j=0: F.struct((F.floor(F.col(x) / reach) + i).alias("cx"), (F.floor(F.col(y) / reach) + j).alias("cy"))
+    sent = places_xy(spark, d).select("px", "py", F.explode(F.array(*[cell("px", "py", i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("cell"))
+    near = points.withColumn("cell", cell("x", "y")).join(sent, "cell").filter(F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2) <= reach * reach)
+    covered = near.select("line", "seq").distinct().withColumn("near", F.lit(True))
+    return points.join(covered, ["line", "seq"], "left").groupBy("line").agg(F.count(F.lit(1)).alias("samples"), F.count("near").alias("covered"))
+
+
 @query(f"""WITH {_LINES}, g AS (SELECT *, greatest(1, ceil(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 250))::INTEGER AS n FROM lines), s AS (SELECT *, unnest(range(0, n + 1))::INTEGER AS seq FROM g) SELECT line, seq, round(x1 + (x2 - x1) * (seq::DOUBLE / n), 4) AS x, round(y1 + (y2 - y1) * (seq::DOUBLE / n), 4) AS y FROM s""")
 def fun07_densify(spark, d):
     length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))

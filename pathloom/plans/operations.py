@@ -108,6 +108,32 @@ def dml03_cancel(spark, d):
     return runs(spark, d).filter(s.isin("queued", "running")).select("run_id", F.when(s == "queued", "cancelled").otherwise(s).alias("status"), ((s == "running") | F.col("cancel_requested")).alias("cancel_requested"))
 
 
+@query(f"""WITH {RUNS} SELECT substr(sha256(owner_id::VARCHAR || '|' || run_id::VARCHAR), 1, 32) AS id, {NOW}::BIGINT AS created, owner_id, run_id FROM runs WHERE status = 'needs_review'""")
+def dml01_insert_returning(spark, d):
+    return queue.insert_returning(runs(spark, d).filter("status = 'needs_review'").select("owner_id", "run_id"), ["owner_id", "run_id"], NOW)
+
+
+_CHANGES = f"""{RUNS}, stored AS (SELECT run_id AS id, 1 + attempts AS version, status AS value FROM runs WHERE priority <> '1-URGENT'), changes AS (SELECT run_id AS id, CASE WHEN status = 'queued' THEN 'create' WHEN status = 'failed' THEN 'delete' ELSE 'update' END AS op, 1 + task_revision AS expected, 'seen' AS value FROM runs WHERE status <> 'completed'),
+x AS (SELECT id, s.version, s.value, c.op, CASE WHEN c.op IS NULL THEN NULL WHEN c.op = 'create' THEN CASE WHEN s.version IS NULL THEN 'applied' ELSE 'exists' END WHEN s.version IS NULL THEN 'missing' WHEN s.version = c.expected THEN 'applied' ELSE 'conflict' END AS outcome, c.value AS new FROM stored s FULL JOIN changes c USING (id))"""
+
+
+def stored_changes(spark, d):
+    r = runs(spark, d)
+    stored = r.filter("priority <> '1-URGENT'").select(F.col("run_id").alias("id"), (F.col("attempts") + 1).alias("version"), F.col("status").alias("value"))
+    op = F.when(F.col("status") == "queued", "create").when(F.col("status") == "failed", "delete").otherwise("update")
+    return queue.apply_changes(stored, r.filter("status <> 'completed'").select(F.col("run_id").alias("id"), op.alias("op"), (F.col("task_revision") + 1).alias("expected"), F.lit("seen").alias("value")))
+
+
+@query(f"""WITH {_CHANGES} SELECT id, CASE WHEN outcome = 'applied' THEN coalesce(version, 0) + 1 ELSE version END AS version, CASE WHEN outcome = 'applied' THEN new ELSE value END AS value FROM x WHERE (version IS NOT NULL AND NOT (coalesce(outcome, '') = 'applied' AND op = 'delete')) OR (outcome = 'applied' AND op = 'create')""")
+def dml08_stored_after_changes(spark, d):
+    return stored_changes(spark, d)[0]
+
+
+@query(f"""WITH {_CHANGES} SELECT outcome, count(*) AS changes FROM x WHERE outcome IS NOT NULL GROUP BY outcome""")
+def dml08_outcomes(spark, d):
+    return stored_changes(spark, d)[1].groupBy("outcome").agg(F.count(F.lit(1)).alias("changes"))
+
+
 @query(f"""WITH {RUNS}, l AS (SELECT status AS worker, run_id % 50 AS shard, max(run_id) AS run_id, arg_max(priority, run_id) AS priority FROM runs WHERE run_id % 2 = 1 GROUP BY ALL), o AS (SELECT status AS worker, run_id % 50 AS shard, max(run_id) AS run_id, arg_max(priority, run_id) AS priority FROM runs WHERE run_id % 2 = 0 GROUP BY ALL)
 SELECT worker, shard, coalesce(l.run_id, o.run_id) AS run_id, coalesce(l.priority, o.priority) AS priority FROM o FULL JOIN l USING (worker, shard)""")
 def dml02_upsert(spark, d):

@@ -311,6 +311,14 @@ def top09_bounded_listing(spark, d):
     return runs(spark, d).filter("status = 'failed'").orderBy(F.desc("created"), "run_id").limit(200).select("run_id", "created")
 
 
+@query(f"""WITH {PLACES}, b AS (SELECT id, 0 AS branch, importance FROM places WHERE type = 'PROMO' UNION ALL SELECT id, 1, importance FROM places WHERE contains(name, 'ring') UNION ALL SELECT id, 2, importance FROM places WHERE scenery >= 40), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY branch, importance) AS n FROM b) SELECT id, branch, importance FROM r WHERE n = 1""")
+def set01_stable_union(spark, d):
+    """Three searches in order; a place that several find stays with the first."""
+    p = places(spark, d).select("id", "importance", "type", "name", "scenery")
+    found = [p.filter(c).select("id", "importance") for c in ("type = 'PROMO'", "contains(name, 'ring')", "scenery >= 40")]
+    return sequences.stable_union(found, ["id"], "importance").select("id", "branch", "importance")
+
+
 @query("""SELECT p_name AS name, arg_min(p_type, p_partkey) AS first, count(DISTINCT p_type)::INTEGER AS distinct_types FROM part GROUP BY p_name""")
 def set02_ordered_distinct(spark, d):
     return read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min_by("p_type", "p_partkey").alias("first"), F.count_distinct("p_type").cast("int").alias("distinct_types"))

@@ -81,3 +81,9 @@ def write_edges(edges: DataFrame, path: str, kind: str = "csv") -> None:
     """u, v, k, length (one decimal), highway, road of each edge as CSV or JSON lines."""
     rows = edges.select("u", "v", "k", F.round("length", 1).alias("length"), "highway", "road")
     (rows.write.mode("overwrite").option("header", True).csv if kind == "csv" else rows.write.mode("overwrite").json)(path)
+
+
+def write_with_summary(df: DataFrame, path: str, *measures: Column) -> None:
+    """A table as CSV, and the measures over all of it as one JSON row in a folder beside it."""
+    df.write.mode("overwrite").option("header", True).csv(f"{path}/rows")
+    df.agg(*measures).write.mode("overwrite").json(f"{path}/summary")
