@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import UPPER, materialize, table
+from pathloom.llm.common import UPPER, discard, materialize, table
 
 #: (verdict, rule): host, then path. The longest rule that fits decides.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -30,6 +30,8 @@ THRESHOLD = 1.0
 ITERATIONS = 160
 #: Iterations between two writes to the shared folder and looks at the change.
 WRITE_EVERY = 5
+#: Edges for each task that an iteration runs: a small graph is not spread over all shuffle partitions.
+EDGES_A_TASK, LEAST_TASKS = 250_000, 4
 #: Ranks have settled when they changed by less than this share of the seeds' mass, all together.
 TOLERANCE = 1e-9
 #: Decimals to which trust and distrust are compared, so that the order of sums never decides.
@@ -87,19 +89,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> D
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = ways.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
     shares = materialize(ways.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out")).alias("share")), "host-shares")
+    tasks = max(LEAST_TASKS, -(-shares.count() // EDGES_A_TASK))
     start = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("rank"))
-    ranks = seeds.select("kind", "host", F.col("mass").alias("rank"))
+    ranks = first = seeds.select("kind", "host", F.col("mass").alias("rank"))
     enough = TOLERANCE * (seeds.agg(F.sum("mass")).first()[0] or 0.0)
     while True:
         before = ranks
         for _ in range(WRITE_EVERY):
             sent = shares.join(ranks, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
-            ranks = sent.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            ranks = sent.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank")).coalesce(tasks)
         ranks = materialize(ranks, "ranks")
         both = ranks.select("kind", "host", "rank", F.lit(0.0).alias("was"), F.lit(0).alias("known")).unionByName(before.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"), F.lit(1).alias("known")))
         hosts = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"), F.max("known").alias("known"))
         new = (F.col("known") == 0) & (F.round("rank", DECIMALS) > 0)
         change, reached = hosts.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("was"))), F.lit(0.0)), F.count_if(new)).first()
+        if before is not first:
+            discard(before)
         if change <= enough and not reached:
             return ranks
 
