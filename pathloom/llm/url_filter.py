@@ -30,7 +30,7 @@ THRESHOLD = 1.0
 ITERATIONS = 160
 #: Iterations between two writes to the shared folder and looks at the change.
 WRITE_EVERY = 5
-#: Edges for each task that an iteration runs: a small graph is not spread over all shuffle partitions.
+#: Edges for each task that an iteration runs: a small graph is not spread over all shuffle partitions, neither read from as many files.
 EDGES_A_TASK, LEAST_TASKS = 250_000, 4
 #: Ranks have settled when they changed by less than this share of the seeds' mass, all together.
 TOLERANCE = 1e-9
@@ -90,6 +90,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> D
     out = ways.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
     shares = materialize(ways.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out")).alias("share")), "host-shares")
     tasks = max(LEAST_TASKS, -(-shares.count() // EDGES_A_TASK))
+    shares, seeds = shares.coalesce(tasks), seeds.coalesce(tasks)
     start = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("rank"))
     ranks = first = seeds.select("kind", "host", F.col("mass").alias("rank"))
     enough = TOLERANCE * (seeds.agg(F.sum("mass")).first()[0] or 0.0)
@@ -100,7 +101,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> D
             ranks = sent.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank")).coalesce(tasks)
         ranks = materialize(ranks, "ranks")
         both = ranks.select("kind", "host", "rank", F.lit(0.0).alias("was"), F.lit(0).alias("known")).unionByName(before.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"), F.lit(1).alias("known")))
-        hosts = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"), F.max("known").alias("known"))
+        hosts = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"), F.max("known").alias("known")).coalesce(tasks)
         new = (F.col("known") == 0) & (F.round("rank", DECIMALS) > 0)
         change, reached = hosts.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("was"))), F.lit(0.0)), F.count_if(new)).first()
         if before is not first:
