@@ -17,9 +17,9 @@ def jon01_equi_chain(spark, d):
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("o_orderkey").alias("run_id"), F.col("c_name").alias("owner"), F.col("n_name").alias("nation"))
 
 
-@query(f"""WITH {RUNS} SELECT r.run_id, m.turn, substr(m.text, 1, 20) AS said FROM runs r LEFT JOIN conversations m ON m.conv_id = r.task_id AND m.role = 'user' AND m.turn = r.task_revision""")
+@query(f"""WITH {RUNS} SELECT r.run_id, m.turn, m.text AS said FROM runs r LEFT JOIN conversations m ON m.conv_id = r.task_id AND m.role = 'user' AND m.turn = r.task_revision""")
 def jon02_left_join_with_conditions(spark, d):
-    m = read(spark, d, "conversations").filter("role = 'user'").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("task_revision"), "turn", F.substring("text", 1, 20).alias("said"))
+    m = read(spark, d, "conversations").filter("role = 'user'").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("task_revision"), "turn", F.col("text").alias("said"))
     return runs(spark, d).join(m, ["task_id", "task_revision"], "left").select("run_id", "turn", "said")
 
 
