@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.llm import bpe, exact_dedup, fingerprint, mixing, near_dup, quality, substring_dedup, toxicity, url_filter, warc_fixity
+from pathloom.llm import bpe, exact_dedup, filter_audit, fingerprint, mixing, near_dup, quality, substring_dedup, toxicity, url_filter, warc_fixity
 
-MODULES = [toxicity, substring_dedup, warc_fixity, near_dup, bpe, url_filter, mixing, exact_dedup, quality, fingerprint]
+MODULES = [toxicity, substring_dedup, warc_fixity, near_dup, bpe, url_filter, mixing, exact_dedup, quality, fingerprint, filter_audit]
 
 
 def queries() -> dict:
