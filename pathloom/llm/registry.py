@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.llm import bpe, collocations, exact_dedup, filter_audit, fingerprint, mixing, near_dup, quality, substring_dedup, toxicity, url_filter, warc_fixity
+from pathloom.llm import bpe, collocations, exact_dedup, filter_audit, fingerprint, mixing, near_dup, quality, rans, substring_dedup, toxicity, url_filter, warc_fixity
 
-MODULES = [toxicity, substring_dedup, warc_fixity, near_dup, bpe, url_filter, mixing, exact_dedup, quality, fingerprint, filter_audit, collocations]
+MODULES = [toxicity, substring_dedup, warc_fixity, near_dup, bpe, url_filter, mixing, exact_dedup, quality, fingerprint, filter_audit, collocations, rans]
 
 
 def queries() -> dict:
