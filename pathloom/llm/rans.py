@@ -21,6 +21,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,61 +38,126 @@ END_ID = 2
 SCALE_BITS, LEAST_STATE = 20, 1 << 31
 LANES, BLOCK_IDS = 32, 32_768
 #: Blocks coded side by side, ids after which a segment ends, bytes of text for each task that writes.
-ABREAST, SEGMENT_IDS, PART_BYTES = 128, 4_000_000, 64_000_000
+ABREAST, SEGMENT_IDS, PART_BYTES = 64, 2_000_000, 64_000_000
 #: Words whose ids a worker remembers, and words encoded in one call.
-REMEMBERED, TOGETHER = 400_000, 4096
+REMEMBERED, TOGETHER = 700_000, 256
+#: Marks that part from the letters before them; letters below this character do not change their kind, but for one.
+MARKS, PLAIN_BELOW, DOTTED = ".,;:!?", "\u0180", "\u0130"
+WORD_END = "</w>"
+#: A byte that UTF-8 does not have, for the end of a text; what stands for it in a text that has it all the same.
+END, REPLACED = b"\xff", b"\xef\xbf\xbd"
+#: 1: small ASCII letters, 2: marks, 3: white space.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[ord("a") : ord("z") + 1] = 1
+_KINDS[[ord(m) for m in MARKS]] = 2
+_KINDS[[9, 10, 11, 12, 13, 32]] = 3
 SEGMENTS = "part int, segment int, first long, n_ids long, n_docs long, data binary"
 DIGESTS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 _HEADER = struct.Struct("<4sHBBIIQII")
 
 
+def plain(word: str) -> bool:
+    """Whether a word is letters that stay single letters in any normal form and case: one match of the pattern."""
+    return word.isalpha() and (word.isascii() or (max(word) < PLAIN_BELOW and DOTTED not in word))
+
+
+class Growing:
+    """An array that numbers are appended to."""
+
+    def __init__(self, kind):
+        self.held, self.size = np.zeros(1024, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.size + more.size > self.held.size:
+            self.held = np.resize(self.held, 2 * (self.size + more.size))
+        self.held[self.size : self.size + more.size] = more
+        self.size += more.size
+
+
+def small_words(text: bytes) -> bytes:
+    """A text with the same ids, of fewer different words: ASCII letters small, a single mark parted from the letter before it."""
+    if b"<|" in text:
+        return text
+    text = text.lower()
+    kinds = _KINDS[np.frombuffer(text, np.uint8)]
+    at = np.flatnonzero((kinds[1:-1] == 2) & (kinds[:-2] == 1) & (kinds[2:] == 3)) + 1
+    return np.insert(np.frombuffer(text, np.uint8), at, 32).tobytes() if at.size else text
+
+
 class WordCoder:
     """Ids of texts by a tokenizer that drops white space: its words are encoded once and remembered.
 
     White space ends every match of the tokenizer's pattern, so what lies between is encoded by
-    itself. ids of all remembered words lie in one array, from which texts are gathered.
+    itself. A plain word with one mark of punctuation behind it has the ids of the word and of the
+    mark. New plain words are encoded many at a time: each is one match, whose last id is one that
+    ends a word. ids of all words met lie in one array, from which texts are gathered. Word 0 stands
+    for the end of a text.
     """
 
     def __init__(self, blob: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.marks = {mark: self._apart([mark])[0] for mark in MARKS}
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start, self.length, self.flat = (np.zeros(0, np.int64) for _ in range(3))
+        self.known = {END: 0}
+        self.start, self.length, self.flat = Growing(np.int64), Growing(np.int64), Growing(np.uint32)
+        self.start.extend(np.zeros(1, np.int64))
+        self.length.extend(np.ones(1, np.int64))
+        self.flat.extend(np.array([END_ID], np.uint32))
 
-    def _learn(self, words: list[bytes]) -> None:
-        lists = []
+    def _apart(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for k in range(0, len(words), TOGETHER) for e in self.tokenizer.encode_batch_fast(words[k : k + TOGETHER], add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[list[int]]:
+        out = []
         for k in range(0, len(words), TOGETHER):
-            lists += [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[k : k + TOGETHER]], add_special_tokens=False)]
+            some = words[k : k + TOGETHER]
+            ids = self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            out += [ids[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(some) and cuts[-1] == len(ids) else self._apart(some)
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        order, stems, marks, other = [[], []], [], [], []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            mark = text[-1] if text[-1] in MARKS else ""
+            stem = text[:-1] if mark else text
+            if plain(stem):
+                order[0].append(word)
+                stems.append(stem)
+                marks.append(mark)
+            else:
+                order[1].append(word)
+                other.append(text)
+        lists = [ids + self.marks[mark] if mark else ids for ids, mark in zip(self._together(stems), marks)] + self._apart(other)
+        words = order[0] + order[1]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.start = np.concatenate([self.start, self.flat.size + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in lists for i in x), np.int64, int(lengths.sum()))])
+        self.start.extend(self.flat.size + np.cumsum(lengths) - lengths)
+        self.length.extend(lengths)
+        self.flat.extend(np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())))
 
     def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END_ID, and the number of each text's ids."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        words = [text.split() for text in texts]
-        missing = set().union(*words).difference(self.known)
+        parts = [small_words(text.replace(END, REPLACED) if END in text else text) for text in texts]
+        words = b"".join(chain.from_iterable((p, b" \xff ") for p in parts)).split()
+        missing = set(words).difference(self.known)
         if missing:
             self._learn(list(missing))
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((self.known[w] for own in words for w in own), np.int64, int(n.sum()))
-        length = self.length[at]
-        ends = np.cumsum(np.append(0, length))
-        bounds = np.append(0, np.cumsum(n))
-        counts = ends[bounds[1:]] - ends[bounds[:-1]] + 1
-        place = np.arange(ends[-1]) - np.repeat(ends[:-1] - self.start[at], length)
-        out = np.full(int(counts.sum()), END_ID, np.uint32)
-        last = np.zeros(out.size, bool)
-        last[np.cumsum(counts) - 1] = True
-        out[~last] = self.flat[place]
-        return out, counts
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        length = self.length.held[at]
+        upto = np.cumsum(length)
+        place = np.arange(upto[-1] if upto.size else 0) - np.repeat(upto - length - self.start.held[at], length)
+        return self.flat.held[place], np.diff(upto[at == 0], prepend=0)
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -157,8 +223,10 @@ def _decode(data: list[bytes], steps: int, freq: np.ndarray, low: np.ndarray, sy
 
 def pack_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     """Header, documents (null flags, ids, lengths), table, directory of blocks, blocks."""
-    seen, symbols, occurs = np.unique(ids, return_inverse=True, return_counts=True)
-    freq = scaled(occurs)
+    occurs = np.bincount(ids)
+    seen = np.flatnonzero(occurs)
+    symbols = (np.cumsum(occurs > 0) - 1).astype(np.int32)[ids]
+    freq = scaled(occurs[seen])
     low = np.cumsum(freq) - freq
     sizes = np.full(-(-ids.size // BLOCK_IDS), BLOCK_IDS)
     sizes[-1] = ids.size - BLOCK_IDS * (sizes.size - 1)
