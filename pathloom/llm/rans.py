@@ -18,6 +18,7 @@ encoded whole and stay in one segment; an empty table writes no segment; other c
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -44,6 +45,9 @@ REMEMBERED, TOGETHER = 700_000, 256
 #: Marks that part from the letters before them; letters below this character do not change their kind, but for one.
 MARKS, PLAIN_BELOW, DOTTED = ".,;:!?", "\u0180", "\u0130"
 WORD_END = "</w>"
+#: How a tokenizer is built whose words can be encoded by themselves.
+WORD_STEPS = [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A byte that UTF-8 does not have, for the end of a text; what stands for it in a text that has it all the same.
 END, REPLACED = b"\xff", b"\xef\xbf\xbd"
 #: 1: small ASCII letters, 2: marks, 3: white space.
@@ -84,20 +88,35 @@ def small_words(text: bytes) -> bytes:
     return np.insert(np.frombuffer(text, np.uint8), at, 32).tobytes() if at.size else text
 
 
+class Words(dict):
+    """Numbers of words; a new word gets the next one and waits to be learned."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordCoder:
     """Ids of texts by a tokenizer that drops white space: its words are encoded once and remembered.
 
     White space ends every match of the tokenizer's pattern, so what lies between is encoded by
     itself. A plain word with one mark of punctuation behind it has the ids of the word and of the
-    mark. New plain words are encoded many at a time: each is one match, whose last id is one that
-    ends a word. ids of all words met lie in one array, from which texts are gathered. Word 0 stands
-    for the end of a text.
+    mark. New plain words are encoded many at a time, small and without the steps that leave them as
+    they are: each is one match, whose last id is one that ends a word. ids of all words met lie in
+    one array, from which texts are gathered. Word 0 stands for the end of a text. Texts of a
+    tokenizer of another build are encoded as they are.
     """
 
     def __init__(self, blob: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob)
+        build = json.loads(blob)
+        steps = [[x["type"] for x in (build[k] or {}).get(inner, ())] for k, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.by_words = steps == WORD_STEPS and all("<|" in t["content"] for t in build["added_tokens"]) and build["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == WORD_PATTERN
+        build |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *(build["pre_tokenizer"] or {}).get("pretokenizers", [])[1:]]}}
+        self.quick = Tokenizer.from_str(json.dumps(build)) if self.by_words else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -105,7 +124,8 @@ class WordCoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = {END: 0}
+        self.known = Words({END: 0})
+        self.known.new = []
         self.start, self.length, self.flat = Growing(np.int64), Growing(np.int64), Growing(np.uint32)
         self.start.extend(np.zeros(1, np.int64))
         self.length.extend(np.ones(1, np.int64))
@@ -114,46 +134,59 @@ class WordCoder:
     def _apart(self, words: list[str]) -> list[list[int]]:
         return [e.ids for k in range(0, len(words), TOGETHER) for e in self.tokenizer.encode_batch_fast(words[k : k + TOGETHER], add_special_tokens=False)]
 
-    def _together(self, words: list[str]) -> list[list[int]]:
-        out = []
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain small words one after the other, and how many each has."""
+        flat, lengths = [], []
         for k in range(0, len(words), TOGETHER):
             some = words[k : k + TOGETHER]
-            ids = self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            out += [ids[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(some) and cuts[-1] == len(ids) else self._apart(some)
-        return out
+            ids = np.array(self.quick.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if cuts.size != len(some) or cuts[-1] != ids.size:
+                apart = self._apart(some)
+                ids, cuts = np.fromiter(chain.from_iterable(apart), np.uint32), np.cumsum([len(x) for x in apart])
+            flat.append(ids)
+            lengths.append(np.diff(cuts, prepend=0))
+        return np.concatenate([np.zeros(0, np.uint32), *flat]), np.concatenate([np.zeros(0, np.int64), *lengths])
 
     def _learn(self, words: list[bytes]) -> None:
-        order, stems, marks, other = [[], []], [], [], []
-        for word in words:
+        """Ids of new words; the numbers of words follow their order."""
+        simple = np.fromiter(map(bytes.isalpha, words), bool, len(words))
+        marks, other = [], []
+        stems = b" ".join(w for w, s in zip(words, simple) if s).decode().lower().split()
+        for word in (w for w, s in zip(words, simple) if not s):
             text = word.decode("utf-8", "replace")
             mark = text[-1] if text[-1] in MARKS else ""
             stem = text[:-1] if mark else text
-            if plain(stem):
-                order[0].append(word)
-                stems.append(stem)
-                marks.append(mark)
-            else:
-                order[1].append(word)
-                other.append(text)
-        lists = [ids + self.marks[mark] if mark else ids for ids, mark in zip(self._together(stems), marks)] + self._apart(other)
-        words = order[0] + order[1]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.start.extend(self.flat.size + np.cumsum(lengths) - lengths)
-        self.length.extend(lengths)
-        self.flat.extend(np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())))
+            marks.append(mark if plain(stem) else None)
+            (other if marks[-1] is None else stems).append(text if marks[-1] is None else stem.lower())
+        flat, lengths = self._together(stems)
+        n = int(simple.sum())
+        cut = int(lengths[:n].sum())
+        together, apart = iter(np.split(flat[cut:], np.cumsum(lengths[n:])[:-1])), iter(self._apart(other))
+        lists = [next(apart) if mark is None else [*next(together).tolist(), *self.marks.get(mark, ())] for mark in marks]
+        own = np.empty(len(words), np.int64)
+        own[simple], own[~simple] = lengths[:n], [len(x) for x in lists]
+        place = np.empty(len(words), np.int64)
+        place[simple] = np.cumsum(lengths[:n]) - lengths[:n]
+        place[~simple] = cut + np.cumsum(own[~simple]) - own[~simple]
+        self.start.extend(self.flat.size + place)
+        self.length.extend(own)
+        self.flat.extend(flat[:cut])
+        self.flat.extend(np.fromiter(chain.from_iterable(lists), np.uint32))
 
     def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END_ID, and the number of each text's ids."""
+        if not self.by_words:
+            lists = [[*ids, END_ID] for ids in self._apart([text.decode("utf-8", "replace") for text in texts])]
+            return np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
         if len(self.known) > REMEMBERED:
             self.forget()
         parts = [small_words(text.replace(END, REPLACED) if END in text else text) for text in texts]
         words = b"".join(chain.from_iterable((p, b" \xff ") for p in parts)).split()
-        missing = set(words).difference(self.known)
-        if missing:
-            self._learn(list(missing))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
         length = self.length.held[at]
         upto = np.cumsum(length)
         place = np.arange(upto[-1] if upto.size else 0) - np.repeat(upto - length - self.start.held[at], length)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -42,6 +43,26 @@ def test_against_the_library(spark, tmp_path, library):
     assert lists[found[1][1]][:-1] == library.encode(DOCS[4][1], add_special_tokens=False).ids
 
 
+def test_words_have_the_ids_of_whole_texts(library):
+    rng = random.Random(1)
+    letters = "aAbİıſKéÉŉ'’.,;:!?s tTdlĹͅक़ﬁ²Ⅷ9<|>  \x1c\n\tİǅßẞΣς"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as held:
+        one = rans.WordCoder(held.read())
+    assert one.by_words
+    ids, n = one.encode_all([t.encode() for t in texts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_another_build_encodes_texts_as_they_are():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as held:
+        one = rans.WordCoder(held.read())
+    whole = Tokenizer.from_file(path)
+    ids, n = one.encode_all([b"a  b\n c", b""])
+    assert not one.by_words and ids.tolist() == [*whole.encode("a  b\n c", add_special_tokens=False).ids, 2, 2] and n.tolist()[-1] == 1
+
+
 def test_several_parts_segments_and_blocks(spark, tmp_path, library, monkeypatch):
     for name, value in (("PART_BYTES", 3000), ("SEGMENT_IDS", 700), ("BLOCK_IDS", 64), ("ABREAST", 3)):
         monkeypatch.setattr(rans, name, value)
