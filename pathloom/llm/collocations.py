@@ -1,6 +1,6 @@
 """Collocations: phrases of two or three words that occur more often than their parts suggest.
 
-Counting goes level by level. Words are counted outright; a longer phrase is a candidate only if
+Texts are tokenised once, into slices that later passes read. Counting goes level by level. Words are counted outright; a longer phrase is a candidate only if
 all its parts may be frequent (Apriori), which fixed-size bit maps tell: one of frequent shorter
 phrases, and one of hash buckets whose total over all documents reaches the least count. Neither
 drops a frequent phrase. The candidates get a minimal perfect hash, in shards; every mapper counts
@@ -41,7 +41,7 @@ ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 BREAK = b"\xff"
 TO_MARKS = bytes.maketrans(ENDS + BLANKS, BREAK * len(ENDS) + b" " * len(BLANKS))
 #: Bytes of text that a mapper tokenises at a time, words it remembers, buckets it gathers before it emits them.
-SLICE_BYTES, REMEMBERED, GATHERED = 2_000_000, 300_000, 4_000_000
+SLICE_BYTES, REMEMBERED, GATHERED = 1_000_000, 200_000, 1_500_000
 #: Words of the corpus for each bucket, and the least and most buckets (as powers of two): 2^30 bits are 128 MB.
 WORDS_A_BUCKET, FEWEST_BITS, MOST_BITS = 4, 16, 30
 BLOCK_BITS = 16
@@ -52,6 +52,11 @@ SUMS = "block int, task int, at binary, counts binary"
 RANK_PARTS = 64
 
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    """Two 64-bit hashes of each word, as two rows."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2).T
+
+
 class Lexicon(dict):
     """Numbers of the words met by a mapper, and their hashes; 0 is the break between pieces."""
 
@@ -62,20 +67,17 @@ class Lexicon(dict):
     def forget(self) -> None:
         self.clear()
         self[BREAK] = 0
-        self._a, self._b, self.a, self.b = [], [], np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+        self.words, self.hashes = [BREAK], np.zeros((2, 1), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
-        self._a.append(xxhash.xxh3_64_intdigest(word))
-        self._b.append(xxhash.xxh3_64_intdigest(word, 1))
+        self.words.append(word)
         return number
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self._a:
-            self.a = np.concatenate([self.a, np.array(self._a, np.uint64)])
-            self.b = np.concatenate([self.b, np.array(self._b, np.uint64)])
-            self._a, self._b = [], []
+        if len(self.words) > self.hashes.shape[1]:
+            self.hashes = np.concatenate([self.hashes, hashes(self.words[self.hashes.shape[1] :])], axis=1)
         return out
 
 
@@ -83,37 +85,50 @@ def seeds(lang: bytes) -> tuple[np.uint64, np.uint64]:
     return np.uint64(xxhash.xxh3_64_intdigest(lang, 2)), np.uint64(xxhash.xxh3_64_intdigest(lang, 3))
 
 
-def key(seed, hashes: list[np.ndarray]) -> np.ndarray:
+def key(seed, parts: list[np.ndarray]) -> np.ndarray:
     """Hash of a sequence of words from theirs."""
-    return reduce(lambda so_far, h: mix(so_far + h * ODD), hashes[1:], mix(hashes[0] + seed))
+    return reduce(lambda so_far, h: mix(so_far + h * ODD), parts[1:], mix(parts[0] + seed))
 
 
 class Slice:
-    """Words of some texts of one language, and the keys of their phrases."""
+    """Some texts of one language: numbers of their words in order, the words, and keys of their phrases."""
 
-    def __init__(self, lang: bytes, words: list[bytes], lexicon: Lexicon):
-        self.lang, self.words, self.ids = lang, words, lexicon.numbers(words)
-        self.seeds, self.hashes = seeds(lang), (lexicon.a[self.ids], lexicon.b[self.ids])
-        self.inside = self.ids != 0
+    def __init__(self, lang: bytes, ids: np.ndarray, words: list[bytes], hashed: np.ndarray):
+        self.lang, self.ids, self.words, self.hashed = lang, ids, words, hashed
+        self.seeds, self.inside = seeds(lang), ids != 0
         self._keys: dict = {}
 
     def whole(self, width: int) -> np.ndarray:
         """Whether a phrase of this width starts at each place."""
-        n = max(0, len(self.words) - width + 1)
+        n = max(0, self.ids.size - width + 1)
         return reduce(np.logical_and, [self.inside[k : k + n] for k in range(width)])
 
     def keys(self, width: int, side: int) -> np.ndarray:
         if (width, side) not in self._keys:
-            h = self.hashes[side]
-            n = max(0, h.size - width + 1)
             if width == 1:
-                self._keys[1, side] = mix(h + self.seeds[side])
+                self._keys[1, side] = mix(self.hashed[side] + self.seeds[side])[self.ids]
             else:
-                self._keys[width, side] = mix(self.keys(width - 1, side)[:n] + h[width - 1 : width - 1 + n] * ODD)
+                h, n = (self.hashed[side] * ODD)[self.ids], max(0, self.ids.size - width + 1)
+                self._keys[width, side] = mix(self.keys(width - 1, side)[:n] + h[width - 1 : width - 1 + n])
         return self._keys[width, side]
 
+    def row(self) -> tuple:
+        """lang, words, ids to store: only the words that occur, numbered anew."""
+        seen = np.bincount(self.ids, minlength=1) > 0
+        seen[0] = True
+        local = np.cumsum(seen) - 1
+        return self.lang, b" ".join([self.words[i] for i in np.flatnonzero(seen)[1:].tolist()]), local[self.ids].astype(np.uint32).tobytes()
+
+
+def stored_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
+    """Slices from rows (lang, words, ids)."""
+    for batch in batches:
+        for lang, words, ids in zip(*[batch.column(c) for c in ("lang", "words", "ids")]):
+            own = [BREAK, *words.as_py().split(b" ")]
+            yield Slice(lang.as_py(), np.frombuffer(ids.as_py(), np.uint32), own, hashes(own))
+
 
-def slices(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, full: Callable[[], Iterator] = lambda: iter(())) -> Iterator:
+def slices(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, full: Callable[[], Iterator]) -> Iterator:
     """Slices of all rows (lang, text as binary); what full() yields is passed on before the lexicon is emptied."""
     held: dict[bytes, list[bytes]] = {}
     size = 0
@@ -122,7 +137,8 @@ def slices(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, full: Callable[[
         for lang, texts in held.items():
             words = BREAK.join(texts).lower().translate(TO_MARKS).replace(BREAK, b" \xff ").split()
             if words:
-                yield Slice(lang, words, lexicon)
+                ids = lexicon.numbers(words)
+                yield Slice(lang, ids, lexicon.words, lexicon.hashes)
             if len(lexicon) > REMEMBERED:
                 yield from full()
                 lexicon.forget()
@@ -231,20 +247,23 @@ _SUM_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
 def first_pass(docs: DataFrame, bits: int) -> DataFrame:
-    """Counts of words by language and mapper, and bucket counts of all pairs of words."""
+    """Tokenised slices, counts of words by language and mapper, and bucket counts of all pairs of words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, pairs, counts = Lexicon(), Buckets(bits, MIN_COUNT), {}
-        names, types = ["lang", "word", "n", "block", "task", "at", "counts"], [pa.binary(), pa.binary(), pa.int64(), *_SUM_TYPES]
-        sums = lambda rows: _record([(None, None, None, *r) for r in rows], names, types)
+        names = ["lang", "words", "ids", "word", "n", "block", "task", "at", "counts"]
+        types = [pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), *_SUM_TYPES]
+        sums = lambda rows: _record([(None, None, None, None, None, *r) for r in rows], names, types)
 
         def full() -> Iterator[pa.RecordBatch]:
-            words = list(lexicon)
             for lang, n in counts.items():
-                for k in range(0, len(n), 50_000):
-                    hit = k + np.flatnonzero(n[k : k + 50_000])
-                    hit = hit[hit > 0]
-                    yield _record([(lang, words[i], int(n[i]), None, None, None, None) for i in hit], names, types)
+                hit = np.flatnonzero(n)
+                hit = hit[hit > 0]
+                for k in range(0, hit.size, 50_000):
+                    some = hit[k : k + 50_000]
+                    empty = pa.nulls(some.size, pa.binary())
+                    columns = [pa.array([lang] * some.size, pa.binary()), empty, empty, pa.array([lexicon.words[i] for i in some.tolist()], pa.binary()), pa.array(n[some], pa.int64()), *[pa.nulls(some.size, t) for t in _SUM_TYPES]]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
             counts.clear()
 
         for part in slices(batches, lexicon, full):
@@ -256,25 +275,26 @@ def first_pass(docs: DataFrame, bits: int) -> DataFrame:
             if before is not None:
                 n[: len(before)] += before
             counts[part.lang] = n
+            yield _record([(*part.row(), None, None, None, None, None, None)], names, types)
             yield sums(pairs.add(part.keys(2, 0)[part.whole(2)]))
         yield sums(pairs.take())
 
-    return _texts(docs).mapInArrow(scan, f"lang binary, word binary, n long, {SUMS}")
+    return _texts(docs).mapInArrow(scan, f"lang binary, words binary, ids binary, word binary, n long, {SUMS}")
 
 
-def discover(docs: DataFrame, width: int, shorter, buckets, onward: int | None = None) -> DataFrame:
+def discover(tokens: DataFrame, width: int, shorter, buckets, onward: int | None = None) -> DataFrame:
     """Phrases of this width that may be frequent: their parts are in shorter (bit maps by width), their bucket in buckets.
 
     With onward, also bucket counts of the phrases one word longer whose parts may be frequent.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, longer = Lexicon(), Buckets(onward or FEWEST_BITS, MIN_COUNT)
+        longer = Buckets(onward or FEWEST_BITS, MIN_COUNT)
         names, types = ["lang", "phrase", "a", "b", "block", "task", "at", "counts"], [pa.binary(), pa.binary(), pa.int64(), pa.int64(), *_SUM_TYPES]
         sums = lambda rows: _record([(None, None, None, None, *r) for r in rows], names, types)
         #: Keys emitted lately, by their low bits: most repetitions end here, the rest in distinct().
         lately = np.zeros(1 << 18, np.uint64)
-        for part in slices(batches, lexicon):
+        for part in stored_slices(batches):
             good = has(shorter.value, part.keys(width - 1, 0))
             safe = part.whole(width)
             safe = safe & good[: safe.size] & good[1 : safe.size + 1]
@@ -290,11 +310,13 @@ def discover(docs: DataFrame, width: int, shorter, buckets, onward: int | None =
             at, b, low = at[first], b[first], (a & np.uint64(lately.size - 1)).astype(np.int64)
             new = lately[low] != a
             lately[low[new]] = a[new]
-            rows = [(part.lang, b" ".join(part.words[i : i + width]), x, y) for i, x, y in zip(at[new].tolist(), a[new].view(np.int64).tolist(), b[new].view(np.int64).tolist())]
-            yield _record([(*r, None, None, None, None) for r in rows], names, types)
+            spans = zip(*[part.ids[at[new] + k].tolist() for k in range(width)])
+            phrases = [b" ".join([part.words[i] for i in span]) for span in spans]
+            columns = [pa.array([part.lang] * len(phrases), pa.binary()), pa.array(phrases, pa.binary()), pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64)), *[pa.nulls(len(phrases), t) for t in _SUM_TYPES]]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
         yield sums(longer.take())
 
-    return _texts(docs).mapInArrow(scan, f"lang binary, phrase binary, a long, b long, {SUMS}")
+    return tokens.mapInArrow(scan, f"lang binary, phrase binary, a long, b long, {SUMS}")
 
 
 def keyed(phrases: DataFrame, width: int, parts: list[tuple[int, int]]) -> DataFrame:
@@ -307,9 +329,9 @@ def keyed(phrases: DataFrame, width: int, parts: list[tuple[int, int]]) -> DataF
             langs = {lang: seeds(bytes(lang)) for lang in set(rows["lang"])}
             out = {}
             for k, (start, stop) in enumerate(parts):
-                for side, hashes in enumerate((lexicon.a, lexicon.b)):
+                for side, hashed in enumerate(lexicon.hashes):
                     seed = np.array([langs[x][side] for x in rows["lang"]], np.uint64)
-                    out[f"{'ab'[side]}{k}"] = key(seed, [hashes[ids[:, j]] for j in range(start, stop)]).view(np.int64) if len(rows) else np.zeros(0, np.int64)
+                    out[f"{'ab'[side]}{k}"] = key(seed, [hashed[ids[:, j]] for j in range(start, stop)]).view(np.int64) if len(rows) else np.zeros(0, np.int64)
             yield rows.assign(**out)
             if len(lexicon) > REMEMBERED:
                 lexicon.forget()
@@ -336,7 +358,7 @@ class Level:
     def fill(self, tallied: Callable[[object], DataFrame], tasks: int) -> Level:
         """Sum what tallied makes of each group: SUMS rows whose block is a shard and whose places are its slots."""
         for one, n in self.groups():
-            shipped = self.spark.sparkContext.broadcast(one.dump())
+            shipped = self.spark.sparkContext.broadcast(one)
             sums = tree_sum(tallied(shipped), tasks)
             total = np.zeros(n, np.int64)
             for row in sums.toLocalIterator():
@@ -350,11 +372,10 @@ class Level:
         """rows with the count of the key in columns a and b, by slot; 0 where it is no key."""
         rows = rows.withColumn(into, F.lit(0).cast("long"))
         for (one, _), counts in zip(self.groups(), self.counts):
-            shipped = self.spark.sparkContext.broadcast((one.dump(), counts))
+            shipped = self.spark.sparkContext.broadcast((one, counts))
 
             def look(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-                blob, by_slot = shipped.value
-                held = Group.load(blob)
+                held, by_slot = shipped.value
                 for part in batches:
                     slot = held.slots(part[a].to_numpy(np.int64).view(np.uint64), part[b].to_numpy(np.int64).view(np.uint64))
                     found = np.append(by_slot, 0)[slot]
@@ -374,20 +395,20 @@ def _shard_rows(held: Group, total: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield _record(rows, ["block", "task", "at", "counts"], _SUM_TYPES)
 
 
-def occurrences(docs: DataFrame, width: int, buckets) -> Callable:
-    """Counts of the occurrences in docs: each mapper counts slots into an array of its own."""
+def occurrences(tokens: DataFrame, width: int, buckets) -> Callable:
+    """Counts of the occurrences in all slices: each mapper counts slots into an array of its own."""
 
     def tallied(shipped) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, lexicon = Group.load(shipped.value), Lexicon()
+            held = shipped.value
             total = np.zeros(held.first[-1], np.int64)
-            for part in slices(batches, lexicon):
+            for part in stored_slices(batches):
                 at = np.flatnonzero(part.whole(width) & has(buckets.value, part.keys(width, 0)))
                 slot = held.slots(part.keys(width, 0)[at], part.keys(width, 1)[at])
                 total += np.bincount(slot[slot >= 0], minlength=total.size)
             yield from _shard_rows(held, total)
 
-        return _texts(docs).mapInArrow(scan, SUMS)
+        return tokens.mapInArrow(scan, SUMS)
 
     return tallied
 
@@ -397,7 +418,7 @@ def stated(rows: DataFrame, count: str) -> Callable:
 
     def tallied(shipped) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = Group.load(shipped.value)
+            held = shipped.value
             total = np.zeros(held.first[-1], np.int64)
             for part in batches:
                 slot = held.slots(*[part.column(c).to_numpy().view(np.uint64) for c in ("a0", "b0")])
@@ -443,6 +464,7 @@ def mine(docs: DataFrame, top: int = TOP) -> DataFrame:
     bits = min(MOST_BITS, max(FEWEST_BITS, math.ceil(math.log2(octets / 6 / WORDS_A_BUCKET + 1))))
 
     first = materialize(first_pass(docs, bits), "words-and-buckets")
+    tokens = first.filter("ids is not null").select("lang", "words", "ids")
     words = materialize(first.filter("word is not null").groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("f")), "words")
     pairs = _bucket_map(first, bits, tasks, spark)
     frequent = materialize(keyed(words.filter(F.col("f") >= MIN_COUNT), 1, [(0, 1)]), "frequent-words")
@@ -451,10 +473,10 @@ def mine(docs: DataFrame, top: int = TOP) -> DataFrame:
     shorter, buckets, found = _map_of(frequent, bits, spark), pairs, []
     for width in range(2, LONGEST + 1):
         last = width == LONGEST
-        scanned = materialize(discover(docs, width, shorter, buckets, None if last else bits), "discovered")
+        scanned = materialize(discover(tokens, width, shorter, buckets, None if last else bits), "discovered")
         candidates = materialize(scanned.filter("phrase is not null").select("lang", "phrase", "a", "b").distinct(), "candidates")
-        longer = None if last else _bucket_map(scanned, bits, tasks, spark)
-        level = Level(candidates, candidates.count()).fill(occurrences(docs, width, buckets), tasks)
+        longer = None if last else _bucket_map(scanned, bits, max(tasks, _tasks(tokens)), spark)
+        level = Level(candidates, candidates.count()).fill(occurrences(tokens, width, buckets), max(tasks, _tasks(tokens)))
         counted = materialize(level.read(candidates, "a", "b", "f").filter(F.col("f") >= MIN_COUNT).select("lang", "phrase", "f", F.col("a").alias("a0"), F.col("b").alias("b0")), "frequent-phrases")
         levels.append(level)
         # The cuts of each phrase: the counts of both sides, read from the levels of their widths.

@@ -9,7 +9,6 @@ by expectation; more keys mean more groups, each looked up in a pass of its own.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,19 +131,6 @@ class Group:
             left = left[~hit]
         return out
 
-    def dump(self) -> bytes:
-        held = io.BytesIO()
-        np.savez(held, **{k: v for k, v in vars(self).items() if isinstance(v, np.ndarray)}, scalars=np.array([self.shards, self.levels]))
-        return held.getvalue()
-
-    @classmethod
-    def load(cls, blob: bytes) -> Group:
-        out = cls.__new__(cls)
-        held = np.load(io.BytesIO(blob))
-        vars(out).update({k: held[k] for k in held.files if k != "scalars"})
-        out.shards, out.levels = map(int, held["scalars"])
-        return out
-
 
 def groups_of(shards: int) -> list[range]:
     """Shards that are looked up together."""
