@@ -36,12 +36,12 @@ from pathloom.llm.common import fresh, table, work_path
 MAGIC, VERSION = b"PLRS", 1
 END_ID = 2
 #: Scale of the table of frequencies; least state; ids of a block and its interleaved coders.
-SCALE_BITS, LEAST_STATE = 20, 1 << 31
+SCALE_BITS, LEAST_STATE = 18, 1 << 31
 LANES, BLOCK_IDS = 32, 32_768
 #: Blocks coded side by side, ids after which a segment ends, bytes of text for each task that writes.
 ABREAST, SEGMENT_IDS, PART_BYTES = 64, 2_000_000, 64_000_000
 #: Words whose ids a worker remembers, and words encoded in one call.
-REMEMBERED, TOGETHER = 700_000, 256
+REMEMBERED, TOGETHER = 450_000, 256
 #: Marks that part from the letters before them; letters below this character do not change their kind, but for one.
 MARKS, PLAIN_BELOW, DOTTED = ".,;:!?", "\u0180", "\u0130"
 WORD_END = "</w>"
@@ -181,8 +181,7 @@ class WordCoder:
             return np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
         if len(self.known) > REMEMBERED:
             self.forget()
-        parts = [small_words(text.replace(END, REPLACED) if END in text else text) for text in texts]
-        words = b"".join(chain.from_iterable((p, b" \xff ") for p in parts)).split()
+        words = small_words(b"".join(chain.from_iterable((text.replace(END, REPLACED) if END in text else text, b" \xff ") for text in texts))).split()
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         if self.known.new:
             self._learn(self.known.new)
@@ -238,7 +237,7 @@ def _decode(data: list[bytes], steps: int, freq: np.ndarray, low: np.ndarray, sy
     streams = [np.frombuffer(d, "<u4", offset=8 * LANES) for d in data]
     flat = np.concatenate([*streams, np.zeros(1, np.uint32)]).astype(np.uint64)
     at = np.append(0, np.cumsum([x.size for x in streams]))[:-1]
-    out = np.empty((blocks, steps, LANES), np.int64)
+    out = np.empty((blocks, steps, LANES), symbol.dtype)
     f_all, c_all = freq.astype(np.uint64), low.astype(np.uint64)
     mask = np.uint64((1 << SCALE_BITS) - 1)
     for t in range(steps):
@@ -301,7 +300,7 @@ class Segment:
             raise ValueError("the segment's directory is damaged")
         self.doc_ids = [int(i) if k else None for k, i in zip(known, ids)]
         self.low = np.cumsum(self.freq.astype(np.int64)) - self.freq
-        self.symbol = np.repeat(np.arange(kinds), self.freq)
+        self.symbol = np.repeat(np.arange(kinds, dtype=np.min_scalar_type(kinds)), self.freq)
         self.payload = data[at:]
 
     def block(self, k: int) -> bytes:
