@@ -228,7 +228,7 @@ def bit_map(sums: DataFrame, bits: int, least: int) -> np.ndarray:
 
     out = np.zeros(1 << (bits - 3), np.uint8)
     width = 1 << (BLOCK_BITS - 3)
-    for row in sums.mapInPandas(pack, "block int, flags binary").toLocalIterator():
+    for row in sums.mapInPandas(pack, "block int, flags binary").collect():
         out[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["flags"], np.uint8)
     return out
 
@@ -319,26 +319,27 @@ def discover(tokens: DataFrame, width: int, shorter, buckets, onward: int | None
     return tokens.mapInArrow(scan, f"lang binary, phrase binary, a long, b long, {SUMS}")
 
 
-def keyed(phrases: DataFrame, width: int, parts: list[tuple[int, int]]) -> DataFrame:
-    """The rows of phrases (lang, phrase, as binary) with the keys a0, b0, a1, b1 ... of these ranges of their words."""
+def part_keys(rows: pd.DataFrame, width: int, parts: list[tuple[int, int]]) -> pd.DataFrame:
+    """The keys a0, b0, a1, b1 ... of these ranges of the words of rows (lang, phrase, as binary)."""
+    words = sorted({w for p in rows["phrase"] for w in bytes(p).split(b" ")})
+    number, hashed = {w: k for k, w in enumerate(words)}, hashes(words)
+    ids = np.fromiter((number[w] for p in rows["phrase"] for w in bytes(p).split(b" ")), np.int64).reshape(-1, width)
+    own = {lang: seeds(bytes(lang)) for lang in set(rows["lang"])}
+    out = {}
+    for side, name in enumerate("ab"):
+        seed = np.array([own[x][side] for x in rows["lang"]], np.uint64)
+        for k, (start, stop) in enumerate(parts):
+            out[f"{name}{k}"] = key(seed, [hashed[side][ids[:, j]] for j in range(start, stop)]).view(np.int64)
+    return rows.assign(**out)
+
+
+def keyed(words: DataFrame) -> DataFrame:
+    """Rows of words (lang, phrase, as binary) with their keys a0, b0."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon()
-        for rows in batches:
-            ids = lexicon.numbers([w for p in rows["phrase"] for w in bytes(p).split(b" ")]).reshape(-1, width)
-            langs = {lang: seeds(bytes(lang)) for lang in set(rows["lang"])}
-            out = {}
-            for k, (start, stop) in enumerate(parts):
-                for side, hashed in enumerate(lexicon.hashes):
-                    seed = np.array([langs[x][side] for x in rows["lang"]], np.uint64)
-                    out[f"{'ab'[side]}{k}"] = key(seed, [hashed[ids[:, j]] for j in range(start, stop)]).view(np.int64) if len(rows) else np.zeros(0, np.int64)
-            yield rows.assign(**out)
-            if len(lexicon) > REMEMBERED:
-                lexicon.forget()
+        return (part_keys(rows, 1, [(0, 1)]) for rows in batches if len(rows))
 
-    added = ", ".join(f"a{k} long, b{k} long" for k in range(len(parts)))
-    kinds = ", ".join(f"{n} {t}" for n, t in phrases.dtypes)
-    return phrases.mapInPandas(read, f"{kinds}, {added}")
+    return words.mapInPandas(read, ", ".join(f"{n} {t}" for n, t in words.dtypes) + ", a0 long, b0 long")
 
 
 class Level:
@@ -361,28 +362,44 @@ class Level:
             shipped = self.spark.sparkContext.broadcast(one)
             sums = tree_sum(tallied(shipped), tasks)
             total = np.zeros(n, np.int64)
-            for row in sums.toLocalIterator():
+            for row in sums.collect():
                 at, counts = unpack(row["at"], row["counts"])
                 total[one.first[one.local[row["block"]]] + at] = counts
             self.counts.append(total)
             shipped.destroy()
         return self
 
-    def read(self, rows: DataFrame, a: str, b: str, into: str) -> DataFrame:
-        """rows with the count of the key in columns a and b, by slot; 0 where it is no key."""
-        rows = rows.withColumn(into, F.lit(0).cast("long"))
-        for (one, _), counts in zip(self.groups(), self.counts):
-            shipped = self.spark.sparkContext.broadcast((one, counts))
 
-            def look(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-                held, by_slot = shipped.value
-                for part in batches:
-                    slot = held.slots(part[a].to_numpy(np.int64).view(np.uint64), part[b].to_numpy(np.int64).view(np.uint64))
-                    found = np.append(by_slot, 0)[slot]
-                    yield part.assign(**{into: part[into].to_numpy(np.int64) + found})
+def read_counts(rows: DataFrame, lookups: list[tuple[Level, str, str, str]], width: int = 0, parts: list[tuple[int, int]] | None = None) -> DataFrame:
+    """rows with counts by slot: for each (level, a, b, into), of the key in the columns a and b; 0 where it is none.
 
-            rows = rows.mapInPandas(look, rows.schema)
-        return rows
+    With parts, the keys are those of ranges of the phrase's words. Levels of several groups are read
+    in as many passes, each written before the next, so that a worker holds one group of each level.
+    """
+    into = [name for *_, name in lookups]
+    rows = rows.withColumns({name: F.lit(0).cast("long") for name in into})
+    columns, levels = rows.columns, list({id(level): level for level, *_ in lookups}.values())
+    for turn in range(max(len(level.parts) for level in levels)):
+        held = {id(level): (slot_index.group(level.index, level.parts[turn], level.shards), level.counts[turn]) for level in levels if turn < len(level.parts)}
+        shipped = rows.sparkSession.sparkContext.broadcast(held)
+        wanted = [(id(level), a, b, name) for level, a, b, name in lookups if id(level) in held]
+
+        def look(batches: Iterator[pd.DataFrame], shipped=shipped, wanted=wanted) -> Iterator[pd.DataFrame]:
+            for part in batches:
+                if not len(part):
+                    continue
+                keys = part_keys(part, width, parts) if parts else part
+                found = {}
+                for level, a, b, name in wanted:
+                    group, by_slot = shipped.value[level]
+                    slot = group.slots(keys[a].to_numpy(np.int64).view(np.uint64), keys[b].to_numpy(np.int64).view(np.uint64))
+                    found[name] = part[name].to_numpy(np.int64) + np.append(by_slot, 0)[slot]
+                yield part.assign(**found)[columns]
+
+        if turn:
+            rows = materialize(rows, "counts-by-slot")
+        rows = rows.mapInPandas(look, rows.schema)
+    return rows
 
 
 def _shard_rows(held: Group, total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -467,7 +484,7 @@ def mine(docs: DataFrame, top: int = TOP) -> DataFrame:
     tokens = first.filter("ids is not null").select("lang", "words", "ids")
     words = materialize(first.filter("word is not null").groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("f")), "words")
     pairs = _bucket_map(first, bits, tasks, spark)
-    frequent = materialize(keyed(words.filter(F.col("f") >= MIN_COUNT), 1, [(0, 1)]), "frequent-words")
+    frequent = materialize(keyed(words.filter(F.col("f") >= MIN_COUNT)), "frequent-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     levels = [Level(frequent.select(F.col("a0").alias("a"), F.col("b0").alias("b")), frequent.count()).fill(stated(frequent, "f"), _tasks(frequent))]
     shorter, buckets, found = _map_of(frequent, bits, spark), pairs, []
@@ -477,13 +494,12 @@ def mine(docs: DataFrame, top: int = TOP) -> DataFrame:
         candidates = materialize(scanned.filter("phrase is not null").select("lang", "phrase", "a", "b").distinct(), "candidates")
         longer = None if last else _bucket_map(scanned, bits, max(tasks, _tasks(tokens)), spark)
         level = Level(candidates, candidates.count()).fill(occurrences(tokens, width, buckets), max(tasks, _tasks(tokens)))
-        counted = materialize(level.read(candidates, "a", "b", "f").filter(F.col("f") >= MIN_COUNT).select("lang", "phrase", "f", F.col("a").alias("a0"), F.col("b").alias("b0")), "frequent-phrases")
+        counted = materialize(read_counts(candidates, [(level, "a", "b", "f")]).filter(F.col("f") >= MIN_COUNT).select("lang", "phrase", "f", F.col("a").alias("a0"), F.col("b").alias("b0")), "frequent-phrases")
         levels.append(level)
         # The cuts of each phrase: the counts of both sides, read from the levels of their widths.
-        cut = keyed(counted.select("lang", "phrase", "f"), width, [side for k in range(1, width) for side in ((0, k), (k, width))])
-        for k in range(1, width):
-            cut = levels[k - 1].read(cut, f"a{2 * k - 2}", f"b{2 * k - 2}", f"l{k}")
-            cut = levels[width - k - 1].read(cut, f"a{2 * k - 1}", f"b{2 * k - 1}", f"r{k}")
+        sides = [side for k in range(1, width) for side in ((0, k), (k, width))]
+        lookups = [(levels[stop - start - 1], f"a{n}", f"b{n}", f"{'lr'[n % 2]}{n // 2 + 1}") for n, (start, stop) in enumerate(sides)]
+        cut = read_counts(counted.select("lang", "phrase", "f"), lookups, width, sides)
         best = F.least(*[F.struct(_score("f", f"l{k}", f"r{k}").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in range(1, width)]) if width > 2 else F.struct(_score("f", "l1", "r1").alias("score"), F.lit(1).alias("k"), F.col("l1").alias("l"), F.col("r1").alias("r"))
         found.append(materialize(cut.withColumn("best", best).select("lang", F.col("phrase").cast("string").alias("phrase"), F.col("f").alias("a"), "best.l", "best.r", "best.score"), "cuts"))
         for used in (shorter, buckets):

@@ -9,8 +9,6 @@ by expectation; more keys mean more groups, each looked up in a pass of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,21 +63,17 @@ def shards_for(keys: int) -> int:
 
 
 def shard_of(a: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(a) % np.uint64(shards)).astype(np.int64)
+    return a.view(np.int64) % shards
 
 
 def build_shards(keys: DataFrame, shards: int) -> DataFrame:
     """INDEX_SCHEMA of the distinct keys a, b (bigint): one task holds one shard at a time."""
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield rows.assign(shard=shard_of(rows["a"].to_numpy(np.int64).view(np.uint64), shards).astype("int32"))
-
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sizes, bits, stored = build(rows["a"].to_numpy(np.int64).view(np.uint64), rows["b"].to_numpy(np.int64).view(np.uint64))
         return pd.DataFrame({"shard": [key[0]], "n": [len(rows)], "sizes": [sizes.tobytes()], "bits": [bits.tobytes()], "stored": [stored.tobytes()]})
 
-    return keys.select("a", "b").mapInPandas(deal, "a long, b long, shard int").groupBy("shard").applyInPandas(one, INDEX_SCHEMA)
+    return keys.select("a", "b", F.pmod("a", F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInPandas(one, INDEX_SCHEMA)
 
 
 class Group:
