@@ -42,6 +42,8 @@ BREAK = b"\xff"
 TO_MARKS = bytes.maketrans(ENDS + BLANKS, BREAK * len(ENDS) + b" " * len(BLANKS))
 #: Bytes of text that a mapper tokenises at a time, words it remembers, buckets it gathers before it emits them.
 SLICE_BYTES, REMEMBERED, GATHERED = 1_000_000, 200_000, 1_500_000
+#: Keys (as a power of two) that a mapper remembers to have emitted.
+LATELY_BITS = 20
 #: Words of the corpus for each bucket, and the least and most buckets (as powers of two): 2^30 bits are 128 MB.
 WORDS_A_BUCKET, FEWEST_BITS, MOST_BITS = 4, 16, 30
 BLOCK_BITS = 16
@@ -293,7 +295,7 @@ def discover(tokens: DataFrame, width: int, shorter, buckets, onward: int | None
         names, types = ["lang", "phrase", "a", "b", "block", "task", "at", "counts"], [pa.binary(), pa.binary(), pa.int64(), pa.int64(), *_SUM_TYPES]
         sums = lambda rows: _record([(None, None, None, None, *r) for r in rows], names, types)
         #: Keys emitted lately, by their low bits: most repetitions end here, the rest in distinct().
-        lately = np.zeros(1 << 18, np.uint64)
+        lately = np.zeros(1 << LATELY_BITS, np.uint64)
         for part in stored_slices(batches):
             good = has(shorter.value, part.keys(width - 1, 0))
             safe = part.whole(width)
@@ -418,11 +420,16 @@ def occurrences(tokens: DataFrame, width: int, buckets) -> Callable:
     def tallied(shipped) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = shipped.value
-            total = np.zeros(held.first[-1], np.int64)
+            total, found = np.zeros(held.first[-1], np.uint32), []
             for part in stored_slices(batches):
                 at = np.flatnonzero(part.whole(width) & has(buckets.value, part.keys(width, 0)))
                 slot = held.slots(part.keys(width, 0)[at], part.keys(width, 1)[at])
-                total += np.bincount(slot[slot >= 0], minlength=total.size)
+                found.append(slot[slot >= 0].astype(np.int32))
+                if sum(x.size for x in found) >= GATHERED:
+                    total += np.bincount(np.concatenate(found), minlength=total.size).astype(np.uint32)
+                    found = []
+            if found:
+                total += np.bincount(np.concatenate(found), minlength=total.size).astype(np.uint32)
             yield from _shard_rows(held, total)
 
         return tokens.mapInArrow(scan, SUMS)

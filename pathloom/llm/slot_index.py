@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD_KEYS = 50_000
-GROUP_KEYS = 4_000_000
+GROUP_KEYS = 2_000_000
 #: Bits of a level for each key that reaches it.
 GAMMA = 2.0
 GOLDEN = 0x9E3779B97F4A7C15
