@@ -47,5 +47,16 @@ def test_single_source_query_follows_long_roads(spark, tmp_path):
     """Each order is one hop of the chain."""
     lines = [(k, n, 1, k + n - 1, q) for k in range(12) for n, q in ((1, 1.0), (2, 1.0))]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    spark.createDataFrame([(k,) for k in range(14)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, 0) for k in range(14)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
     assert sorted(map(tuple, network.grf01_single_source(spark, str(tmp_path)).collect())) == [(k, 10.0 * k) for k in range(13)]
+
+
+def test_components_of_long_chains_settle_in_few_rounds(spark):
+    rng = random.Random(2)
+    names = rng.sample(range(10_000), 1_300)
+    chain, other, alone = names[:1000], names[1000:1299], names[1299]
+    hops = [*zip(chain, chain[1:]), *zip(other[1:], other), (other[0], other[0])]
+    rng.shuffle(hops)
+    found = graph.components(spark.createDataFrame(hops, "u long, v long"), spark.createDataFrame([(n,) for n in names], "node long"), rounds=20)
+    want = {n: min(part) for part in (chain, other, [alone]) for n in part}
+    assert {r["node"]: r["component"] for r in found.collect()} == want
