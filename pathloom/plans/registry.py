@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.plans import base, fusion, joins, network, operations, rows, sequences  # noqa: F401  modules register their queries
+from pathloom.plans import base, fusion, joins, network, operations, rows, sequences, streams  # noqa: F401  modules register their queries
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
