@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.functions import geo
+
 
 def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -111,25 +113,61 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.distinct().groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def expand_chains(edges: DataFrame, starts: DataFrame, max_edges: int = 40, max_length: float = 600.0) -> DataFrame:
-    """chain, seq, u, v: from each start edge (chain, u, v, length, road) on through nodes of degree two.
+def _onward(edges: DataFrame, most_turn: float) -> DataFrame:
+    """p, c, n and the edge taken: how a walk that came from p goes on through c, where that is a node of degree two."""
+    through = degrees(edges).filter("degree = 2").select(F.col("node").alias("c"))
+    there = edges.select(F.col("u").alias("p"), F.col("v").alias("c"), F.col("x1").alias("px"), F.col("y1").alias("py"))
+    back = edges.select(F.col("v").alias("p"), F.col("u").alias("c"), F.col("x2").alias("px"), F.col("y2").alias("py"))
+    ways = there.unionByName(back).distinct().join(through, "c")
+    out = edges.select(F.col("u").alias("c"), F.col("v").alias("n"), "k", "x1", "y1", "x2", "y2", "length", "road")
+    into, turned = geo.bearing(F.col("px"), F.col("py"), F.col("x1"), F.col("y1")), geo.bearing(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    steps = ways.join(out, "c").filter("n <> p").withColumn("turn", F.round(F.abs(geo.turn_delta(into, turned)), 9))
+    best = steps.groupBy("p", "c").agg(F.min(F.struct("turn", "n", "k", "length", "road")).alias("e"))
+    return best.filter((F.col("e.turn") <= most_turn) & (F.col("e.length") > 0)).select("p", "c", "e.n", "e.k", "e.length", "e.road")
+
+
+def _joins(before: Column, after: Column) -> Column:
+    """Whether names meet: unnamed stretches go with any."""
+    return before.isNull() | after.isNull() | (before == after)
+
 
-    Stops at a junction, at another road's edge, after so many edges or metres. Where a node of degree
-    two offers parallel edges, the shortest is taken.
+def expand_chains(edges: DataFrame, starts: DataFrame, max_edges: int = 40, max_length: float = 600.0, max_turn: float = 100.0) -> DataFrame:
+    """chain, seq, u, v, k, length: each start edge and the road on both sides of it, from one end to the other.
+
+    A walk goes on through nodes of degree two, taking the edge that turns least; it ends at a
+    junction, at another road's name, at a turn above max_turn, or where its share of the edges or
+    metres is used up: what the start leaves of either is halved between the two directions.
+
+    Walks are found by pointer doubling: stretches of 1, 2, 4 and more steps are joined end to end,
+    then each walk takes the longest that fits, so that rounds grow with the logarithm of max_edges.
+    edges: u, v, k, length, road, x1, y1, x2, y2; starts: chain and the same key u, v, k.
     """
-    through = degrees(edges).filter("degree = 2").select(F.col("node").alias("u"))
-    onward = settle(edges.groupBy("u", "v", "road").agg(F.min("length").alias("length")).join(through, "u", "left_semi"))
-    tip = settle(starts.select("chain", F.lit(0).alias("seq"), "u", "v", "length", "road", F.col("length").alias("total")))
-    chains = tip
-    for seq in range(1, max_edges):
-        t = tip.select("chain", F.col("u").alias("from"), F.col("v").alias("at"), F.col("road").alias("named"), "total")
-        steps = t.join(onward, F.col("at") == F.col("u")).filter("v <> from and road = named").withColumn("sum", F.col("total") + F.col("length")).filter(F.col("sum") <= max_length)
-        pick = steps.groupBy("chain").agg(F.min(F.struct("length", "v", "u", "road", "sum")).alias("n"))
-        tip = settle(pick.select("chain", F.lit(seq).alias("seq"), "n.u", "n.v", "n.length", "n.road", F.col("n.sum").alias("total")))
-        if tip.isEmpty():
-            break
-        chains = chains.unionByName(tip)
-    return chains.select("chain", "seq", "u", "v", "length")
+    ahead, behind = (max_edges - 1) // 2, max_edges - 1 - (max_edges - 1) // 2
+    step = F.struct(F.col("c").alias("u"), F.col("n").alias("v"), "k", "length")
+    level = _onward(edges, max_turn).filter(F.col("length") <= max_length / 2).select("p", "c", F.col("c").alias("to_p"), F.col("n").alias("to_c"), F.col("length").alias("metres"), F.col("road").alias("first"), F.col("road").alias("last"), F.array(step).alias("path"))
+    levels = [settle(level)]
+    while 2 ** len(levels) <= behind:
+        left, right = levels[-1], levels[-1]
+        right = right.select(F.col("p").alias("to_p"), F.col("c").alias("to_c"), F.col("to_p").alias("end_p"), F.col("to_c").alias("end_c"), F.col("metres").alias("more"), F.col("first").alias("next_first"), F.col("last").alias("next_last"), F.col("path").alias("rest"))
+        both = left.join(right, ["to_p", "to_c"]).filter(_joins(F.col("last"), F.col("next_first")) & (F.col("metres") + F.col("more") <= max_length / 2))
+        levels.append(settle(both.select("p", "c", F.col("end_p").alias("to_p"), F.col("end_c").alias("to_c"), (F.col("metres") + F.col("more")).alias("metres"), F.coalesce("first", "next_first").alias("first"), F.coalesce("next_last", "last").alias("last"), F.concat("path", "rest").alias("path"))))
+
+    begun = settle(starts.select("chain", "u", "v", "k").join(edges.select("u", "v", "k", "length", "road"), ["u", "v", "k"]))
+    sides = F.explode(F.array(*[F.struct(F.lit(name).alias("side"), F.col(p).alias("p"), F.col(c).alias("c"), F.lit(n).alias("edges")) for name, p, c, n in (("ahead", "u", "v", ahead), ("behind", "v", "u", behind))]))
+    walks = begun.select("chain", "road", ((max_length - F.col("length")) / 2).alias("left"), sides.alias("s")).select("chain", "road", "left", "s.*", F.expr("cast(array() as array<struct<u:bigint,v:bigint,k:int,length:double>>)").alias("walked"))
+    for k in range(len(levels) - 1, -1, -1):
+        onward = levels[k].select("p", "c", "to_p", "to_c", "metres", "first", "last", "path")
+        met = walks.join(onward, ["p", "c"], "left")
+        fits = F.col("metres").isNotNull() & (F.col("metres") <= F.col("left")) & (F.col("edges") >= 2**k) & _joins(F.col("road"), F.col("first"))
+        pick = lambda new, old: F.when(fits, new).otherwise(old)  # noqa: E731, B023
+        walks = settle(met.select("chain", "side", pick(F.coalesce("last", "road"), F.col("road")).alias("road"), pick(F.col("left") - F.col("metres"), F.col("left")).alias("left"), pick(F.col("edges") - 2**k, F.col("edges")).alias("edges"), pick(F.col("to_p"), F.col("p")).alias("p"), pick(F.col("to_c"), F.col("c")).alias("c"), pick(F.concat("walked", "path"), F.col("walked")).alias("walked")))
+    discard(*levels)
+    behind_rows = walks.filter("side = 'behind'").select("chain", F.col("walked").alias("before"))
+    ahead_rows = walks.filter("side = 'ahead'").select("chain", F.col("walked").alias("after"))
+    turned = F.transform(F.reverse("before"), lambda e: F.struct(e["v"].alias("u"), e["u"].alias("v"), e["k"].alias("k"), e["length"].alias("length")))
+    own = F.array(F.struct(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("k").cast("int").alias("k"), F.col("length").cast("double").alias("length")))
+    whole = begun.join(behind_rows, "chain").join(ahead_rows, "chain").select("chain", F.posexplode(F.concat(turned, own, F.col("after"))).alias("seq", "e"))
+    return whole.select("chain", "seq", "e.u", "e.v", "e.k", "e.length")
 
 
 def path_edges(paths: DataFrame, edges: DataFrame, cost: str = "length") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pathloom.functions import geo, routing
 from pathloom.functions.session import ship
 from pathloom.operators import evaluation, graph, sequences, spatial
-from pathloom.plans.base import EDGES, EVENTS, HOPS, NODES, NOW, PLACES, all_edges, edges, events, nodes, places, query, read
+from pathloom.operators.bindings import bind
+from pathloom.plans.base import EDGES, EVENTS, HOPS, NODES, NOW, PLACES, all_edges, edges, events, hops, nodes, places, query, read
 from pathloom.plans.joins import _LINES, lines, places_xy
 
 
@@ -142,12 +143,6 @@ def grf10_degrees(spark, d):
     return graph.degrees(e).join(several, "node", "left").select("node", "degree", F.coalesce("parallel", F.lit(0)).alias("parallel"))
 
 
-@query()
-def grf11_chains(spark, d):
-    starts = edges(spark, d).select((F.col("u") * 100000 + F.col("v")).alias("chain"), "u", "v", "length", "road")
-    return graph.expand_chains(edges(spark, d), starts)
-
-
 def near_lines(spark, d, reach: float) -> DataFrame:
     """id, line, t, dist: places within reach of a line. Short pieces of lines meet places by cell, then comes the exact distance."""
     l, wide = lines(spark, d), 2 * reach
@@ -169,23 +164,97 @@ def grf12_snap_to_edge(spark, d):
     return hits.groupBy("id").agg(F.min(F.struct(F.round("dist", 6).alias("r"), "line", "dist", "t")).alias("b")).select("id", "b.line", F.round("b.dist", 4).alias("metres"), F.round("b.t", 6).alias("along"))
 
 
-_BOUND = f"""{EVENTS}, {EDGES}, ordered AS (SELECT *, row_number() OVER (ORDER BY u, v) - 1 AS n, count(*) OVER () AS total FROM edges),
-active AS (SELECT id, kind, multiplier, mode, place FROM events_ WHERE start <= {NOW} AND coalesce({NOW} < nullif(until, 0), true) AND revoked IS NULL AND id % 8 > 0), bound AS (SELECT a.id, a.kind, a.multiplier, o.u, o.v FROM active a JOIN ordered o ON o.u = a.place % 100)"""
+def next_nodes(spark, d) -> DataFrame:
+    """u, v: each node with the next larger node that a hop leads to."""
+    return hops(spark, d).filter("v > u").groupBy("u").agg(F.min("v").alias("v"))
 
 
-def bound_events(spark, d) -> DataFrame:
-    """Active events with the edges out of the node that they name."""
+def main_roads(spark, d) -> DataFrame:
+    """u, v, k, x1, y1, x2, y2, length, road: each node's road to the next larger node, both ways, in planar metres."""
+    first = next_nodes(spark, d)
+    ways = first.unionByName(first.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    at = lambda k, i: nodes(spark, d).select(F.col("node").alias(k), ((F.col("lng") - 114.346) * 95000).alias(f"x{i}"), ((F.col("lat") - 30.517) * 110000).alias(f"y{i}"))
+    key = F.col("u") + F.col("v")
+    return ways.join(at("u", 1), "u").join(at("v", 2), "v").select("u", "v", F.lit(0).alias("k"), "x1", "y1", "x2", "y2", (key % 7 * 40 + 10).cast("double").alias("length"), F.when(key % 5 == 0, None).otherwise(F.concat(F.lit("road "), (key % 2).cast("string"))).alias("road"))
+
+
+_ROADS = f"""{HOPS}, {NODES}, xy AS (SELECT node, (lng - 114.346::DOUBLE) * 95000 AS x, (lat - 30.517::DOUBLE) * 110000 AS y FROM nodes), first_ AS (SELECT u, min(v) AS v FROM hops WHERE v > u GROUP BY u),
+roads AS (SELECT w.u, w.v, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, ((w.u + w.v) % 7 * 40 + 10)::DOUBLE AS length, CASE WHEN (w.u + w.v) % 5 > 0 THEN 'road ' || ((w.u + w.v) % 2)::VARCHAR END AS road FROM (SELECT u, v FROM first_ UNION SELECT v, u FROM first_) w JOIN xy a ON a.node = w.u JOIN xy b ON b.node = w.v)"""
+
+
+_TURN = "abs((degrees(atan2(r.x2 - r.x1, r.y2 - r.y1)) - degrees(atan2(w.x2 - w.x1, w.y2 - w.y1)) + 1260) % 360 - 180)"
+
+
+@query(f"""WITH RECURSIVE {_ROADS}, deg AS (SELECT u AS node FROM roads GROUP BY u HAVING count(DISTINCT v) = 2),
+turns AS (SELECT w.u AS p, w.v AS c, r.v AS n, r.length, r.road, {_TURN} AS turn FROM roads w JOIN deg ON node = w.v JOIN roads r ON r.u = w.v AND r.v <> w.u), onward AS (SELECT * FROM turns WHERE turn <= 100 AND length > 0),
+walk AS (SELECT u, v, true AS ahead, 0 AS step, u AS p, v AS c, road, (600 - length) / 2 AS room, u AS a, v AS b, length FROM roads UNION ALL SELECT u, v, false, 0, v, u, road, (600 - length) / 2, v, u, length FROM roads
+  UNION ALL SELECT k.u, k.v, k.ahead, k.step + 1, k.c, o.n, coalesce(o.road, k.road), k.room - o.length, k.c, o.n, o.length FROM walk k JOIN onward o ON o.p = k.p AND o.c = k.c WHERE k.step < CASE WHEN k.ahead THEN 19 ELSE 20 END AND o.length <= k.room AND (k.road IS NULL OR o.road IS NULL OR k.road = o.road)),
+laid AS (SELECT u, v, CASE WHEN ahead THEN step ELSE -step END AS place, CASE WHEN ahead THEN a ELSE b END AS a, CASE WHEN ahead THEN b ELSE a END AS b, length FROM walk WHERE ahead OR step > 0)
+SELECT u AS start_u, v AS start_v, (place - min(place) OVER (PARTITION BY u, v))::INTEGER AS seq, a AS u, b AS v, length FROM laid""")
+def grf11_chains(spark, d):
+    """The whole road, between junctions, around every edge of the main roads."""
+    roads = graph.settle(main_roads(spark, d))
+    starts = roads.select(F.struct("u", "v").alias("chain"), "u", "v", "k")
+    return graph.expand_chains(roads, starts).select(F.col("chain.u").alias("start_u"), F.col("chain.v").alias("start_v"), "seq", "u", "v", "length")
+
+
+def bindings(spark, d) -> DataFrame:
+    """Active events from orders with what binds them: a chain from the order's first node on, a line beside it, a snapped point, a circle."""
     end = F.nullif("until", F.lit(0))
-    active = (F.col("start") <= NOW) & F.coalesce(end > NOW, F.lit(True)) & F.col("revoked").isNull() & (F.col("id") % 8 > 0)
-    at = events(spark, d).filter(active).select("id", "kind", "multiplier", (F.col("place") % 100).alias("u"))
-    return at.join(edges(spark, d).select("u", "v"), "u")
+    active = (F.col("start") <= NOW) & F.coalesce(end > NOW, F.lit(True)) & F.col("revoked").isNull()
+    first = next_nodes(spark, d)
+    at = lambda k, i: nodes(spark, d).select(F.col("node").alias(k), ((F.col("lng") - 114.346) * 95000).alias(f"x{i}"), ((F.col("lat") - 30.517) * 110000).alias(f"y{i}"))
+    line = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_suppkey").alias("a"))
+    rows = events(spark, d).filter(active).select("id", "kind", "multiplier").join(line, "id").join(first.select(F.col("u").alias("a"), F.col("v").alias("b")), "a")
+    rows = rows.join(first.select(F.col("u").alias("b"), F.col("v").alias("c")), "b").join(at("a", 1), "a").join(at("b", 2), "b")
+    i, k = F.col("id"), F.col("id") % 4
+    edge = lambda u, v: F.struct(F.col(u).alias("u"), v.alias("v"), F.lit(0).alias("k"))
+    chain = F.when(k == 0, F.array(edge("b", F.col("a")), edge("b", F.when(i % 12 == 8, F.lit(-1).cast("long")).otherwise(F.col("c")))))
+    beside = F.when(i % 8 == 5, 5000.0).otherwise(5.0)
+    along = F.array(F.struct(F.col("x1").alias("x"), (F.col("y1") + beside).alias("y")), F.struct(F.col("x2").alias("x"), (F.col("y2") + beside).alias("y")))
+    snap = F.when(k.isin(1, 2), F.struct(((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2 + 3.0).alias("y")))
+    centre = F.when(k == 3, F.struct((F.col("x1") + i % 40).alias("x"), F.col("y1").alias("y")))
+    return rows.select("id", "kind", "multiplier", (i % 3 == 0).alias("strict"), chain.alias("chain"), F.when((k == 1) | (i % 12 == 8), along).alias("line"), snap.alias("snap"), centre.alias("centre"), F.when(i % 8 == 3, (20 + i % 16).cast("double")).alias("radius"))
+
+
+def _edge_distance(x: str, y: str, x1: str, y1: str, x2: str, y2: str) -> str:
+    """Distance of a point from a segment, as SQL."""
+    t = f"greatest(0, least(1, coalesce((({x} - {x1}) * ({x2} - {x1}) + ({y} - {y1}) * ({y2} - {y1})) / nullif(({x2} - {x1}) * ({x2} - {x1}) + ({y2} - {y1}) * ({y2} - {y1}), 0), 0)))"
+    return f"sqrt(pow({x} - ({x1} + {t} * ({x2} - {x1})), 2) + pow({y} - ({y1} + {t} * ({y2} - {y1})), 2))"
+
+
+def _side(x: str, y: str, x1: str, y1: str, x2: str, y2: str) -> str:
+    return f"(({x2} - {x1}) * ({y} - {y1}) - ({y2} - {y1}) * ({x} - {x1}))"
+
+
+_L, _R = ("lx1", "ly1", "lx2", "ly2"), ("x1", "y1", "x2", "y2")
+_APART = f"CASE WHEN {_side('x1', 'y1', *_L)} * {_side('x2', 'y2', *_L)} < 0 AND {_side('lx1', 'ly1', *_R)} * {_side('lx2', 'ly2', *_R)} < 0 THEN 0 ELSE least({_edge_distance('lx1', 'ly1', *_R)}, {_edge_distance('lx2', 'ly2', *_R)}, {_edge_distance('x1', 'y1', *_L)}, {_edge_distance('x2', 'y2', *_L)}) END"
+_BOUND = f"""{EVENTS}, {_ROADS}, lead AS (SELECT l_orderkey AS id, min(l_suppkey) AS a FROM lineitem GROUP BY 1),
+active AS (SELECT id, kind, multiplier, id % 4 AS how, id % 3 = 0 AS strict, l.a, f.v AS b, g.v AS c, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_ FROM events_ JOIN lead l USING (id) JOIN first_ f ON f.u = l.a JOIN first_ g ON g.u = f.v JOIN xy p ON p.node = l.a JOIN xy q ON q.node = f.v
+  WHERE start <= {NOW} AND coalesce({NOW} < nullif(until, 0), true) AND revoked IS NULL),
+chained AS (SELECT id, unnest([b, a, b, c]) AS u, unnest([a, b, c, b]) AS v FROM active WHERE how = 0 AND id % 12 <> 8), r1 AS (SELECT DISTINCT id, 'chain' AS rung, u, v FROM chained SEMI JOIN roads USING (u, v)),
+lined AS (SELECT id, strict, ax AS lx1, ay + CASE WHEN id % 8 = 5 THEN 5000.0::DOUBLE ELSE 5.0::DOUBLE END AS ly1, bx AS lx2, by_ + CASE WHEN id % 8 = 5 THEN 5000.0::DOUBLE ELSE 5.0::DOUBLE END AS ly2 FROM active WHERE how = 1 OR id % 12 = 8),
+n2 AS (SELECT id, strict, u, v, lx1, ly1, lx2, ly2, x1, y1, x2, y2 FROM lined, roads WHERE {_APART} <= 12),
+s2 AS (SELECT id, lx1 + (lx2 - lx1) * (i::DOUBLE / n) AS x, ly1 + (ly2 - ly1) * (i::DOUBLE / n) AS y, i FROM (SELECT *, unnest(range(0, n + 1))::INTEGER AS i FROM (SELECT *, greatest(1, ceil(sqrt(pow(lx2 - lx1, 2) + pow(ly2 - ly1, 2)) / 6))::INTEGER AS n FROM lined WHERE strict))),
+gap AS (SELECT DISTINCT id FROM s2 WHERE NOT EXISTS (SELECT 1 FROM n2 WHERE n2.id = s2.id AND {_edge_distance('s2.x', 's2.y', *[f'n2.{c}' for c in _R])} <= 12)), r2 AS (SELECT id, 'line' AS rung, u, v FROM n2 WHERE id NOT IN (SELECT id FROM gap)),
+r3 AS (SELECT id, 'snap' AS rung, u, v FROM active, roads WHERE how IN (1, 2) AND NOT strict AND id NOT IN (SELECT id FROM r2) AND {_edge_distance('((ax + bx) / 2)', '((ay + by_) / 2 + 3.0::DOUBLE)', *_R)} <= 12),
+r4 AS (SELECT id, 'circle' AS rung, u, v FROM active, roads WHERE how = 3 AND {_edge_distance('(ax + id % 40)', 'ay', *_R)} <= CASE WHEN id % 8 = 3 THEN 20 + id % 16 ELSE 30 END),
+bound AS (SELECT r.*, kind, multiplier FROM (FROM r1 UNION ALL FROM r2 UNION ALL FROM r3 UNION ALL FROM r4) r JOIN active USING (id))"""
+
+
+def bound_events(spark, d) -> DataFrame:
+    """id, rung, u, v, k, kind, multiplier: active events with their edges."""
+    found = graph.settle(bindings(spark, d))
+    return bind(found, main_roads(spark, d)).join(found.select("id", "kind", "multiplier"), "id")
 
 
-@query(f"""WITH {_BOUND} SELECT id, kind, count(*) AS edges FROM bound GROUP BY id, kind""")
+@query(f"""WITH {_BOUND} SELECT id, kind, rung, count(*) AS edges, sum(u * 3 + v)::BIGINT AS keys FROM bound GROUP BY ALL""")
 def grf13_bindings(spark, d):
-    return bound_events(spark, d).groupBy("id", "kind").agg(F.count(F.lit(1)).alias("edges"))
+    """How each active event is bound, and to which edges."""
+    return bound_events(spark, d).groupBy("id", "kind", "rung").agg(F.count(F.lit(1)).alias("edges"), F.sum(F.col("u") * 3 + F.col("v")).alias("keys"))
 
 
+_EDGES_ONLY = EDGES.removeprefix(f"{HOPS}, ")
 _SLOWED = "x AS (SELECT u, v, bool_or(kind = 'closure' AND id % 5 = 0) AS closed, max(CASE WHEN kind = 'slowdown' THEN multiplier END) AS factor, count_if(kind = 'notice') AS notices FROM bound GROUP BY u, v)"
 
 
@@ -197,7 +266,7 @@ def with_events(spark, d) -> DataFrame:
     return joined.filter(~F.coalesce("closed", F.lit(False))).withColumns({"factor": F.coalesce("factor", F.lit(1.0)), "notices": F.coalesce("notices", F.lit(0))})
 
 
-@query(f"""WITH {_BOUND}, {_SLOWED} SELECT e.u, e.v, round(e.length * coalesce(x.factor, 1), 4) AS cost, coalesce(x.notices, 0) AS notices FROM edges e LEFT JOIN x ON (x.u, x.v) = (e.u, e.v) WHERE NOT coalesce(closed, false)""")
+@query(f"""WITH {_BOUND}, {_EDGES_ONLY}, {_SLOWED} SELECT e.u, e.v, round(e.length * coalesce(x.factor, 1), 4) AS cost, coalesce(x.notices, 0) AS notices FROM edges e LEFT JOIN x ON (x.u, x.v) = (e.u, e.v) WHERE NOT coalesce(closed, false)""")
 def grf14_apply_events(spark, d):
     return with_events(spark, d).select("u", "v", F.round(F.col("length") * F.col("factor"), 4).alias("cost"), "notices")
 
@@ -205,7 +274,7 @@ def grf14_apply_events(spark, d):
 def _impact_sql() -> str:
     free = _walk_sql(_FROM.format(HIT), name="before_")
     hit = _walk_sql(_FROM.format(HIT), cost="cost", name="after_", table="slowed")
-    return f"""WITH RECURSIVE {_BOUND}, {_SLOWED}, {NODES}, slowed AS (SELECT e.u, e.v, e.length * coalesce(x.factor, 1) AS cost FROM edges e LEFT JOIN x ON (x.u, x.v) = (e.u, e.v) WHERE NOT coalesce(closed, false)), {free}, {hit}
+    return f"""WITH RECURSIVE {_BOUND}, {_EDGES_ONLY}, {_SLOWED}, slowed AS (SELECT e.u, e.v, e.length * coalesce(x.factor, 1) AS cost FROM edges e LEFT JOIN x ON (x.u, x.v) = (e.u, e.v) WHERE NOT coalesce(closed, false)), {free}, {hit}
 SELECT b.source, b.node, round(b.dist, 4) AS before, round(a.dist, 4) AS after, a.dist IS NULL AS cut_off FROM before_ b LEFT JOIN after_ a USING (source, node)"""
 
 

@@ -2,6 +2,7 @@
 
 import heapq
 import itertools
+import math
 import random
 from collections import defaultdict
 from difflib import SequenceMatcher
@@ -87,14 +88,71 @@ def test_edges_are_split_and_chains_followed(spark):
     cuts = spark.createDataFrame([(1, 4.0), (1, 4.05), (1, 0.05), (1, 9.95), (1, 7.0), (1, 7.0)], "edge long, measure double")
     found = sorted(tuple(r) for r in graph.split_edges(edges, cuts).collect())
     assert found == [(1, 0, 0.0, 4.0), (1, 1, 4.0, 7.0), (1, 2, 7.0, 10.0), (2, 0, 0.0, 5.0)]
-    road = [(0, 1, "a"), (1, 2, "a"), (2, 3, "a"), (3, 4, "a"), (3, 5, "a"), (4, 6, "b")]
-    both = [(u, v, 100.0, r) for u, v, r in road] + [(v, u, 100.0, r) for u, v, r in road]
-    frame = spark.createDataFrame(both, "u long, v long, length double, road string")
-    starts = spark.createDataFrame([(7, 0, 1, 100.0, "a"), (8, 3, 4, 100.0, "a")], "chain long, u long, v long, length double, road string")
-    chains = sorted((r["chain"], r["seq"], r["u"], r["v"]) for r in graph.expand_chains(frame, starts).collect())
-    assert chains == [(7, 0, 0, 1), (7, 1, 1, 2), (7, 2, 2, 3), (8, 0, 3, 4)]
-    near = graph.expand_chains(frame, starts.filter("chain = 7"), max_length=200.0)
-    assert sorted(r["seq"] for r in near.collect()) == [0, 1]
+
+
+def walked(edges, start, max_edges=40, max_length=600.0, max_turn=100.0):
+    """The chain of one start edge, step by step."""
+    neighbours = {}
+    for u, v, *_ in edges:
+        neighbours.setdefault(u, set()).add(v)
+        neighbours.setdefault(v, set()).add(u)
+    at = {}
+    for u, v, _, _, _, x1, y1, x2, y2 in edges:
+        at[u], at[v] = (x1, y1), (x2, y2)
+    bearing = lambda a, b: math.degrees(math.atan2(at[b][0] - at[a][0], at[b][1] - at[a][1])) % 360
+
+    def side(p, c, road, steps, room):
+        out = []
+        while steps and len(neighbours[c]) == 2:
+            ways = []
+            for u, v, k, length, name, *_ in edges:
+                if u == c and v != p:
+                    turn = abs((bearing(c, v) - bearing(p, c) + 540) % 360 - 180)
+                    ways.append((round(turn, 9), v, k, length, name))
+            if not ways:
+                break
+            turn, v, k, length, name = min(ways)
+            if turn > max_turn or (road and name and name != road) or length > room or length <= 0:
+                break
+            out.append((c, v, k))
+            p, c, road, steps, room = c, v, name or road, steps - 1, room - length
+        return out
+
+    u, v, k = start
+    (length, road), = [(e[3], e[4]) for e in edges if e[:3] == start]
+    half = (max_edges - 1) // 2
+    ahead, behind = side(u, v, road, half, (max_length - length) / 2), side(v, u, road, max_edges - 1 - half, (max_length - length) / 2)
+    return [(b, a, key) for a, b, key in reversed(behind)] + [start] + ahead
+
+
+def test_chains_follow_the_road_both_ways(spark):
+    rng = random.Random(11)
+    at, links = {}, []
+    for way in range(6):
+        x, y = 1000.0 * way, 0.0
+        for k in range(60):
+            node = 100 * way + k
+            at[node] = (x, y)
+            angle = 0.0 if way == 4 else rng.choice([0.0, 0.3, -0.4, 1.2, 2.0 if way % 2 else 0.5])
+            x, y = x + 30 * math.cos(angle), y + 30 * math.sin(angle)
+            if k:
+                links.append((node - 1, node, rng.choice([5.0, 12.0, 40.0] if way < 3 else [1.0, 2.0]), "a" if way == 4 else rng.choice(["a", None] if k % 19 else ["b", "a"])))
+    # A junction, a ring, an edge of no length, an edge one way only.
+    links += [(30, 130, 7.0, "a"), (459, 400, 9.0, None), (501, 502, 0.0, "a")]
+    edges = [(u, v, 0, length, road, *at[u], *at[v]) for u, v, length, road in links]
+    edges += [(v, u, 0, length, road, *at[v], *at[u]) for u, v, length, road in links if (u, v) != (210, 211)]
+    edges += [(5, 6, 1, 3.0, "a", *at[5], *at[6]), (6, 5, 1, 3.0, "a", *at[6], *at[5])]
+    edges = sorted(set(edges), key=str)
+    unique = {e[:3]: e for e in edges}
+    edges = list(unique.values())
+    frame = spark.createDataFrame(edges, "u long, v long, k int, length double, road string, x1 double, y1 double, x2 double, y2 double")
+    starts = [e[:3] for n, e in enumerate(edges) if n % 5 == 0]
+    found = {}
+    for r in graph.expand_chains(frame, spark.createDataFrame([(n, *s) for n, s in enumerate(starts)], "chain long, u long, v long, k int")).collect():
+        found.setdefault(r["chain"], []).append((r["seq"], (r["u"], r["v"], r["k"])))
+    want = {n: walked(edges, s) for n, s in enumerate(starts)}
+    assert {n: [e for _, e in sorted(rows)] for n, rows in found.items()} == want
+    assert {len(w) for w in want.values()} >= {1, 40} and all(sorted(r[0] for r in rows) == list(range(len(rows))) for rows in found.values())
 
 
 def test_numerals_and_similarity(spark):
