@@ -33,10 +33,10 @@ def degrees_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
     return F.sqrt((lng2 - lng1) * (lng2 - lng1) + (lat2 - lat1) * (lat2 - lat1)) * 111_000.0
 
 
-def _waves(*terms: tuple[float, Column, float]) -> Column:
+def _waves(*terms: tuple[float, Column]) -> Column:
     total = F.lit(0.0)
-    for factor, x, divisor in terms:
-        total = total + factor * F.sin(x / divisor * math.pi)
+    for factor, turns in terms:
+        total = total + factor * F.sin(turns * math.pi)
     return total * (2.0 / 3.0)
 
 
@@ -44,10 +44,11 @@ def gcj_offset(lng: Column, lat: Column) -> tuple[Column, Column]:
     """What the GCJ-02 datum adds to a WGS-84 position, in degrees."""
     x, y = lng - 105.0, lat - 35.0
     common = 0.1 * x * y
+    # The published series of the datum.
     east = 300.0 + x + 2.0 * y + 0.1 * x * x + common + 0.1 * F.sqrt(F.abs(x))
-    east = east + _waves((20.0, x, 1 / 6), (20.0, x, 0.5)) + _waves((20.0, x, 1.0), (40.0, x, 3.0)) + _waves((150.0, x, 12.0), (300.0, x, 30.0))
+    east = east + _waves((20.0, 6.0 * x), (20.0, 2.0 * x)) + _waves((20.0, x), (40.0, x / 3.0)) + _waves((150.0, x / 12.0), (300.0, x / 30.0))
     north = -100.0 + 2.0 * x + 3.0 * y + 0.2 * y * y + common + 0.2 * F.sqrt(F.abs(x))
-    north = north + _waves((20.0, x, 1 / 6), (20.0, x, 0.5)) + _waves((20.0, y, 1.0), (40.0, y, 3.0)) + _waves((160.0, y, 12.0), (320.0, y, 30.0))
+    north = north + _waves((20.0, 6.0 * x), (20.0, 2.0 * x)) + _waves((20.0, y), (40.0, y / 3.0)) + _waves((160.0, y / 12.0), (320.0, y / 30.0))
     phi = F.radians(lat)
     curve = 1 - GCJ_ECCENTRICITY * F.sin(phi) * F.sin(phi)
     root = F.sqrt(curve)

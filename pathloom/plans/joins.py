@@ -99,14 +99,14 @@ def jon11_radius_join(spark, d):
     return spatial.radius_join(places(spark, d).select("id", "lng", "lat"), nodes(spark, d), 150.0).select("id", "node", F.round("distance", 4).alias("metres"))
 
 
-_LINES = f"""{EDGES}, {NODES}, lines AS (SELECT u * 100000 + v AS line, u, v, (a.lng - 114.346::DOUBLE) * 95000 AS x1, (a.lat - 30.517::DOUBLE) * 110000 AS y1, (b.lng - 114.346::DOUBLE) * 95000 AS x2, (b.lat - 30.517::DOUBLE) * 110000 AS y2 FROM edges JOIN nodes a ON a.node = u JOIN nodes b ON b.node = v)"""
+_LINES = f"""{EDGES}, {NODES}, lines AS (SELECT u * 4294967296 + v AS line, u, v, (a.lng - 114.346::DOUBLE) * 95000 AS x1, (a.lat - 30.517::DOUBLE) * 110000 AS y1, (b.lng - 114.346::DOUBLE) * 95000 AS x2, (b.lat - 30.517::DOUBLE) * 110000 AS y2 FROM edges JOIN nodes a ON a.node = u JOIN nodes b ON b.node = v)"""
 
 
 def lines(spark, d):
     """line, u, v and the ends of each edge in planar metres."""
     n = nodes(spark, d)
     at = lambda k, i: n.select(F.col("node").alias(k), ((F.col("lng") - 114.346) * 95000).alias(f"x{i}"), ((F.col("lat") - 30.517) * 110000).alias(f"y{i}"))
-    return edges(spark, d).join(at("u", 1), "u").join(at("v", 2), "v").select((F.col("u") * 100000 + F.col("v")).alias("line"), "u", "v", "x1", "y1", "x2", "y2")
+    return edges(spark, d).join(at("u", 1), "u").join(at("v", 2), "v").select((F.col("u") * 4294967296 + F.col("v")).alias("line"), "u", "v", "x1", "y1", "x2", "y2")
 
 
 def places_xy(spark, d):

@@ -289,7 +289,7 @@ def grf15_impact(spark, d):
 
 @query()
 def grf16_split_edges(spark, d):
-    e = edges(spark, d).select((F.col("u") * 100000 + F.col("v")).alias("edge"), "length")
+    e = edges(spark, d).select((F.col("u") * 4294967296 + F.col("v")).alias("edge"), "length")
     cuts = e.select("edge", F.explode(F.array(F.col("length") * 0.25, F.col("length") * 0.25 + 0.05, F.col("length") * 0.7)).alias("measure")).filter("edge % 3 = 0")
     return graph.split_edges(e, cuts)
 

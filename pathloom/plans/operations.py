@@ -171,9 +171,9 @@ def dml07_pending_migrations(spark, d):
     return p.join(applied, "p_name", "left_anti").groupBy(F.col("p_name").alias("version")).agg(F.min("p_partkey").alias("first"))
 
 
-@query("""SELECT lower(p_name) AS name, count(*) AS scenes FROM part WHERE p_partkey < 300 GROUP BY 1 HAVING count(*) > 1""")
+@query("""SELECT lower(p_name) AS name, count(*) AS scenes FROM part GROUP BY 1 HAVING count(*) > 1""")
 def dml09_name_violations(spark, d):
-    return read(spark, d, "part").filter("p_partkey < 300").groupBy(F.lower("p_name").alias("name")).agg(F.count(F.lit(1)).alias("scenes")).filter("scenes > 1")
+    return read(spark, d, "part").groupBy(F.lower("p_name").alias("name")).agg(F.count(F.lit(1)).alias("scenes")).filter("scenes > 1")
 
 
 _EVAL = """e AS (SELECT doc_id, quality AS gold, (n_chars > 1000)::INTEGER AS predicted, CASE WHEN lang = 'en' THEN 'path' WHEN lang = 'de' THEN 'place' ELSE 'chat' END AS task, CASE WHEN n_chars % 3 = 0 THEN 'path' WHEN n_chars % 3 = 1 THEN 'place' ELSE 'help' END AS said, n_chars, toxic FROM documents JOIN labels USING (doc_id))"""

@@ -196,13 +196,13 @@ def win07_deltas(spark, d):
     return readings(spark, d).select("id", F.round(F.when(F.col("id") == F.lag("id").over(w) + 1, F.col("value") - F.lag("value").over(w)), 4).alias("step"), F.round(F.lead("value").over(w) - F.col("value"), 4).alias("ahead"))
 
 
-@query(f"""WITH {READINGS}, p AS (SELECT "user" // 10 AS line, row_number() OVER (PARTITION BY "user" // 10 ORDER BY micros, id) AS seq, value FROM readings), q AS (SELECT line, seq, CASE WHEN (seq % 11 IN (3, 4) AND seq > 1) OR (line % 4 = 1 AND seq % 50 BETWEEN 20 AND 22) THEN NULL ELSE value END AS value FROM p WHERE seq <= 61),
+@query(f"""WITH {READINGS}, p AS (SELECT "user" // 10 AS line, row_number() OVER (PARTITION BY "user" // 10 ORDER BY micros, id) AS seq, value FROM readings), q AS (SELECT line, seq, CASE WHEN (seq % 11 IN (3, 4) AND seq > 1) OR (line % 4 = 1 AND seq % 50 BETWEEN 20 AND 22) THEN NULL ELSE value END AS value FROM p),
 b AS (SELECT line, seq, value, max(CASE WHEN value IS NOT NULL THEN seq END) OVER (PARTITION BY line ORDER BY seq) AS lo, min(CASE WHEN value IS NOT NULL THEN seq END) OVER (PARTITION BY line ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM q),
 x AS (SELECT b.*, bool_or(lo IS NULL OR hi IS NULL OR hi - lo - 1 > 2) OVER (PARTITION BY b.line) AS bad, l.value AS lv, h.value AS hv FROM b LEFT JOIN q l ON l.line = b.line AND l.seq = b.lo LEFT JOIN q h ON h.line = b.line AND h.seq = b.hi)
 SELECT line, seq, round(CASE WHEN NOT bad THEN CASE WHEN hi = lo THEN lv ELSE lv + (hv - lv) * (seq - lo) / (hi - lo) END END, 6) AS filled FROM x""")
 def win08_short_gaps(spark, d):
     line = F.floor(F.col("user") / 10)
-    p = sequences.numbered(readings(spark, d).withColumn("line", line), ["line"], ["micros", "id"]).filter("seq <= 61")
+    p = sequences.numbered(readings(spark, d).withColumn("line", line), ["line"], ["micros", "id"])
     hole = ((F.col("seq") % 11).isin(3, 4) & (F.col("seq") > 1)) | ((F.col("line") % 4 == 1) & (F.col("seq") % 50).between(20, 22))
     return sequences.fill_short_gaps(p.select("line", F.col("seq").cast("bigint").alias("seq"), F.when(~hole, F.col("value")).alias("value")), ["line"], "seq", "value", 2).select("line", "seq", F.round("filled", 6).alias("filled"))
 
@@ -338,10 +338,10 @@ def set04_overlap_rate(spark, d):
     return o.join(n, "a").select("a", (F.col("a") + 1).alias("b"), F.round(F.size(F.array_intersect("s", "t")) / F.greatest(F.size("s"), F.size("t")), 6).alias("overlap"))
 
 
-@query("""WITH s AS (SELECT p_name AS name, CASE WHEN p_partkey % 10 < 7 THEN 'train' WHEN p_partkey % 10 < 9 THEN 'validation' ELSE 'test' END AS split FROM part WHERE p_size < 10) SELECT name, count(DISTINCT split) AS splits FROM s GROUP BY name HAVING count(DISTINCT split) > 1""")
+@query("""WITH s AS (SELECT p_name AS name, CASE WHEN p_partkey % 10 < 7 THEN 'train' WHEN p_partkey % 10 < 9 THEN 'validation' ELSE 'test' END AS split FROM part) SELECT name, count(DISTINCT split) AS splits FROM s GROUP BY name HAVING count(DISTINCT split) > 1""")
 def set05_leaks_between_splits(spark, d):
     k = F.col("p_partkey") % 10
-    s = read(spark, d, "part").filter("p_size < 10").select(F.col("p_name").alias("name"), F.when(k < 7, "train").when(k < 9, "validation").otherwise("test").alias("split"))
+    s = read(spark, d, "part").select(F.col("p_name").alias("name"), F.when(k < 7, "train").when(k < 9, "validation").otherwise("test").alias("split"))
     return s.groupBy("name").agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
 
 
