@@ -42,6 +42,8 @@ BREAK = b"\xff"
 TO_MARKS = bytes.maketrans(ENDS + BLANKS, BREAK * len(ENDS) + b" " * len(BLANKS))
 #: Bytes of text that a mapper tokenises at a time, words it remembers, buckets it gathers before it emits them.
 SLICE_BYTES, REMEMBERED, GATHERED = 1_000_000, 200_000, 1_500_000
+#: Input splits that one task looks for candidates in.
+DISCOVER_TOGETHER = 4
 #: Keys (as a power of two) that a mapper remembers to have emitted.
 LATELY_BITS = 20
 #: Words of the corpus for each bucket, and the least and most buckets (as powers of two): 2^30 bits are 128 MB.
@@ -197,41 +199,36 @@ class Buckets:
         return _blocks(at.astype(np.int64), np.minimum(counts, self.most), TaskContext.get().partitionId())
 
 
-def tree_sum(rows: DataFrame, tasks: int, most: int | None = None) -> DataFrame:
-    """SUMS with one row for each block: the rows of ARITY tasks are added at a time, up to most."""
+def tree_sum(rows: DataFrame, tasks: int, most: int | None = None, least: int | None = None) -> DataFrame:
+    """SUMS with one row for each block: the rows of ARITY tasks are added at a time, up to most.
 
-    def add(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    With least, the last sum leaves packed bits only, of the places that reach it, in the column at.
+    """
+
+    def add(group: tuple, part: pd.DataFrame, flags: bool) -> pd.DataFrame:
         total = np.zeros(1 << BLOCK_BITS, np.int64)
         for at, counts in zip(part["at"], part["counts"]):
             places, n = unpack(at, counts)
             total[places] += n
+        if flags:
+            return pd.DataFrame({"block": [int(group[0])], "task": [0], "at": [np.packbits(total >= least, bitorder="little").tobytes()], "counts": [b""]})
         at = np.flatnonzero(total)
         return pd.DataFrame(_blocks((int(group[0]) << BLOCK_BITS) + at, np.minimum(total[at], most or total.max()), int(group[1])), columns=["block", "task", "at", "counts"])
 
     while True:
         tasks = -(-tasks // ARITY)
-        rows = rows.groupBy("block", (F.col("task") / ARITY).cast("int").alias("task")).applyInPandas(add, SUMS)
+        flags = least is not None and tasks <= 1
+        rows = rows.groupBy("block", (F.col("task") / ARITY).cast("int").alias("task")).applyInPandas(lambda group, part, flags=flags: add(group, part, flags), SUMS)
         if tasks <= 1:
             return rows
 
 
-def bit_map(sums: DataFrame, bits: int, least: int) -> np.ndarray:
-    """2^bits packed bits: the buckets that reach the least count. The driver gets bits, not counts."""
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            packed = []
-            for at, counts in zip(part["at"], part["counts"]):
-                places, n = unpack(at, counts)
-                flags = np.zeros(1 << BLOCK_BITS, bool)
-                flags[places[n >= least]] = True
-                packed.append(np.packbits(flags, bitorder="little").tobytes())
-            yield pd.DataFrame({"block": part["block"], "flags": packed})
-
+def bit_map(flags: DataFrame, bits: int) -> np.ndarray:
+    """2^bits packed bits from the rows of a tree_sum with least: the driver gets bits, not counts."""
     out = np.zeros(1 << (bits - 3), np.uint8)
     width = 1 << (BLOCK_BITS - 3)
-    for row in sums.mapInPandas(pack, "block int, flags binary").collect():
-        out[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["flags"], np.uint8)
+    for row in flags.select("block", "at").collect():
+        out[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["at"], np.uint8)
     return out
 
 
@@ -292,8 +289,8 @@ def discover(tokens: DataFrame, width: int, shorter, buckets, onward: int | None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longer = Buckets(onward or FEWEST_BITS, MIN_COUNT)
-        names, types = ["lang", "phrase", "a", "b", "block", "task", "at", "counts"], [pa.binary(), pa.binary(), pa.int64(), pa.int64(), *_SUM_TYPES]
-        sums = lambda rows: _record([(None, None, None, None, *r) for r in rows], names, types)
+        names, types = ["lang", "phrase", "block", "task", "at", "counts"], [pa.binary(), pa.binary(), *_SUM_TYPES]
+        sums = lambda rows: _record([(None, None, *r) for r in rows], names, types)
         #: Keys emitted lately, by their low bits: most repetitions end here, the rest in distinct().
         lately = np.zeros(1 << LATELY_BITS, np.uint64)
         for part in stored_slices(batches):
@@ -307,18 +304,19 @@ def discover(tokens: DataFrame, width: int, shorter, buckets, onward: int | None
                 runs[at] = True
                 both = np.flatnonzero(runs[:-1] & runs[1:])
                 yield sums(longer.add(part.keys(width + 1, 0)[both]))
-            a, b = part.keys(width, 0)[at], part.keys(width, 1)[at]
-            a, first = np.unique(a, return_index=True)
-            at, b, low = at[first], b[first], (a & np.uint64(lately.size - 1)).astype(np.int64)
+            a, first = np.unique(part.keys(width, 0)[at], return_index=True)
+            at, low = at[first], (a & np.uint64(lately.size - 1)).astype(np.int64)
             new = lately[low] != a
             lately[low[new]] = a[new]
             spans = zip(*[part.ids[at[new] + k].tolist() for k in range(width)])
             phrases = [b" ".join([part.words[i] for i in span]) for span in spans]
-            columns = [pa.array([part.lang] * len(phrases), pa.binary()), pa.array(phrases, pa.binary()), pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64)), *[pa.nulls(len(phrases), t) for t in _SUM_TYPES]]
+            columns = [pa.array([part.lang] * len(phrases), pa.binary()), pa.array(phrases, pa.binary()), *[pa.nulls(len(phrases), t) for t in _SUM_TYPES]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
         yield sums(longer.take())
 
-    return tokens.mapInArrow(scan, f"lang binary, phrase binary, a long, b long, {SUMS}")
+    # Fewer, larger tasks: a phrase comes once from each that has it.
+    few = tokens.coalesce(max(1, -(-_tasks(tokens) // DISCOVER_TOGETHER)))
+    return few.mapInArrow(scan, f"lang binary, phrase binary, {SUMS}")
 
 
 def part_keys(rows: pd.DataFrame, width: int, parts: list[tuple[int, int]]) -> pd.DataFrame:
@@ -335,13 +333,13 @@ def part_keys(rows: pd.DataFrame, width: int, parts: list[tuple[int, int]]) -> p
     return rows.assign(**out)
 
 
-def keyed(words: DataFrame) -> DataFrame:
-    """Rows of words (lang, phrase, as binary) with their keys a0, b0."""
+def keyed(phrases: DataFrame, width: int) -> DataFrame:
+    """Rows of phrases (lang, phrase, as binary) with their keys a0, b0."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return (part_keys(rows, 1, [(0, 1)]) for rows in batches if len(rows))
+        return (part_keys(rows, width, [(0, width)]) for rows in batches if len(rows))
 
-    return words.mapInPandas(read, ", ".join(f"{n} {t}" for n, t in words.dtypes) + ", a0 long, b0 long")
+    return phrases.mapInPandas(read, ", ".join(f"{n} {t}" for n, t in phrases.dtypes) + ", a0 long, b0 long")
 
 
 class Level:
@@ -467,13 +465,13 @@ def _map_of(keys: DataFrame, bits: int, spark: SparkSession):
             yield _record(held.add(part.column("a0").to_numpy().view(np.uint64)), ["block", "task", "at", "counts"], _SUM_TYPES)
         yield _record(held.take(), ["block", "task", "at", "counts"], _SUM_TYPES)
 
-    sums = tree_sum(keys.select("a0").mapInArrow(emit, SUMS), _tasks(keys), 1)
-    return spark.sparkContext.broadcast(bit_map(sums, bits, 1))
+    sums = tree_sum(keys.select("a0").mapInArrow(emit, SUMS), _tasks(keys), 1, 1)
+    return spark.sparkContext.broadcast(bit_map(sums, bits))
 
 
 def _bucket_map(scanned: DataFrame, bits: int, tasks: int, spark: SparkSession):
-    sums = tree_sum(scanned.filter("block is not null").select("block", "task", "at", "counts"), tasks, MIN_COUNT)
-    return spark.sparkContext.broadcast(bit_map(sums, bits, MIN_COUNT))
+    sums = tree_sum(scanned.filter("block is not null").select("block", "task", "at", "counts"), tasks, MIN_COUNT, MIN_COUNT)
+    return spark.sparkContext.broadcast(bit_map(sums, bits))
 
 
 def _score(a, l, r):
@@ -491,17 +489,17 @@ def mine(docs: DataFrame, top: int = TOP) -> DataFrame:
     tokens = first.filter("ids is not null").select("lang", "words", "ids")
     words = materialize(first.filter("word is not null").groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("f")), "words")
     pairs = _bucket_map(first, bits, tasks, spark)
-    frequent = materialize(keyed(words.filter(F.col("f") >= MIN_COUNT)), "frequent-words")
+    frequent = materialize(keyed(words.filter(F.col("f") >= MIN_COUNT), 1), "frequent-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     levels = [Level(frequent.select(F.col("a0").alias("a"), F.col("b0").alias("b")), frequent.count()).fill(stated(frequent, "f"), _tasks(frequent))]
     shorter, buckets, found = _map_of(frequent, bits, spark), pairs, []
     for width in range(2, LONGEST + 1):
         last = width == LONGEST
         scanned = materialize(discover(tokens, width, shorter, buckets, None if last else bits), "discovered")
-        candidates = materialize(scanned.filter("phrase is not null").select("lang", "phrase", "a", "b").distinct(), "candidates")
+        candidates = materialize(keyed(scanned.filter("phrase is not null").select("lang", "phrase").distinct(), width), "candidates")
         longer = None if last else _bucket_map(scanned, bits, max(tasks, _tasks(tokens)), spark)
-        level = Level(candidates, candidates.count()).fill(occurrences(tokens, width, buckets), max(tasks, _tasks(tokens)))
-        counted = materialize(read_counts(candidates, [(level, "a", "b", "f")]).filter(F.col("f") >= MIN_COUNT).select("lang", "phrase", "f", F.col("a").alias("a0"), F.col("b").alias("b0")), "frequent-phrases")
+        level = Level(candidates.select(F.col("a0").alias("a"), F.col("b0").alias("b")), candidates.count()).fill(occurrences(tokens, width, buckets), max(tasks, _tasks(tokens)))
+        counted = materialize(read_counts(candidates, [(level, "a0", "b0", "f")]).filter(F.col("f") >= MIN_COUNT), "frequent-phrases")
         levels.append(level)
         # The cuts of each phrase: the counts of both sides, read from the levels of their widths.
         sides = [side for k in range(1, width) for side in ((0, k), (k, width))]
