@@ -205,20 +205,25 @@ def tree_sum(rows: DataFrame, tasks: int, most: int | None = None, least: int |
     With least, the last sum leaves packed bits only, of the places that reach it, in the column at.
     """
 
-    def add(group: tuple, part: pd.DataFrame, flags: bool) -> pd.DataFrame:
-        total = np.zeros(1 << BLOCK_BITS, np.int64)
+    def total(part: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(1 << BLOCK_BITS, np.int64)
         for at, counts in zip(part["at"], part["counts"]):
             places, n = unpack(at, counts)
-            total[places] += n
-        if flags:
-            return pd.DataFrame({"block": [int(group[0])], "task": [0], "at": [np.packbits(total >= least, bitorder="little").tobytes()], "counts": [b""]})
-        at = np.flatnonzero(total)
-        return pd.DataFrame(_blocks((int(group[0]) << BLOCK_BITS) + at, np.minimum(total[at], most or total.max()), int(group[1])), columns=["block", "task", "at", "counts"])
+            out[places] += n
+        return out
+
+    def add(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        sums = total(part)
+        at = np.flatnonzero(sums)
+        return pd.DataFrame(_blocks((int(group[0]) << BLOCK_BITS) + at, np.minimum(sums[at], most or sums.max()), int(group[1])), columns=["block", "task", "at", "counts"])
+
+    def flags(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [int(group[0])], "task": [0], "at": [np.packbits(total(part) >= least, bitorder="little").tobytes()], "counts": [b""]})
 
     while True:
         tasks = -(-tasks // ARITY)
-        flags = least is not None and tasks <= 1
-        rows = rows.groupBy("block", (F.col("task") / ARITY).cast("int").alias("task")).applyInPandas(lambda group, part, flags=flags: add(group, part, flags), SUMS)
+        last = least is not None and tasks <= 1
+        rows = rows.groupBy("block", (F.col("task") / ARITY).cast("int").alias("task")).applyInPandas(flags if last else add, SUMS)
         if tasks <= 1:
             return rows
 
