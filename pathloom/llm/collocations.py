@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -41,7 +42,8 @@ ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 BREAK = b"\xff"
 TO_MARKS = bytes.maketrans(ENDS + BLANKS, BREAK * len(ENDS) + b" " * len(BLANKS))
 #: Bytes of text that a mapper tokenises at a time, words it remembers, buckets it gathers before it emits them.
-SLICE_BYTES, REMEMBERED, GATHERED = 1_000_000, 200_000, 1_500_000
+SLICE_BYTES, REMEMBERED, GATHERED = 1_000_000, 120_000, 1_500_000
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 #: Input splits that one task looks for candidates in.
 DISCOVER_TOGETHER = 4
 #: Keys (as a power of two) that a mapper remembers to have emitted.
@@ -483,8 +485,26 @@ def _score(a, l, r):
     return F.expr(f"({SCALE}BD * cast({a} as decimal(15,0)) * cast({a} as decimal(15,0))) div (cast({l} as decimal(19,0)) * cast({r} as decimal(19,0)))")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES at most, for what runs inside: rows here are whole texts and slices."""
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
 def mine(docs: DataFrame, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases of each language."""
+    with small_batches(docs.sparkSession):
+        found, totals = count(docs)
+    return ranked(absorbed(found), totals, top)
+
+
+def count(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Written rows lang, phrase, a, l, r, score of each width's frequent phrases, and lang, n."""
     spark = docs.sparkSession
     tasks = _tasks(docs)
     octets = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -517,7 +537,7 @@ def mine(docs: DataFrame, top: int = TOP) -> DataFrame:
         shorter, buckets = (None, None) if last else (_map_of(counted, bits, spark), longer)
         discard(scanned, candidates, counted)
     discard(first, frequent, *[level.index for level in levels])
-    return ranked(absorbed(found), totals, top)
+    return found, totals
 
 
 def absorbed(found: list[DataFrame]) -> DataFrame:
