@@ -47,7 +47,7 @@ BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 #: Input splits that one task looks for candidates in.
 DISCOVER_TOGETHER = 4
 #: Keys (as a power of two) that a mapper remembers to have emitted.
-LATELY_BITS = 20
+LATELY_BITS = 22
 #: Words of the corpus for each bucket, and the least and most buckets (as powers of two): 2^30 bits are 128 MB.
 WORDS_A_BUCKET, FEWEST_BITS, MOST_BITS = 4, 16, 30
 BLOCK_BITS = 16
