@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo
 from pathloom.functions.session import ship
 from pathloom.operators import evaluation, queue, sequences
+from pathloom.operators.graph import shared_dir
 from pathloom.plans.base import ALL_EDGES, NOW, PLACES, READINGS, RUNS, all_edges, places, query, read, readings, runs
 from pathloom.plans.rows import DETECTIONS, detections
 from pathloom.plans.sequences import _GAPS
+from pathloom.sources.snapshots import Snapshot
 
 _REVISIONS = "revisions AS (SELECT task_id, min(task_revision) AS current FROM runs GROUP BY task_id)"
 
@@ -301,3 +305,15 @@ def evl15_class_weights(spark, d):
     c = readings(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy()  # one row for each class
     return c.select("kind", F.round(F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n")), 6).alias("weight"))
+
+
+@query(f"""WITH {RUNS} SELECT run_id, CASE WHEN deadline < {NOW} AND status IN ('queued', 'running') THEN 'failed' ELSE status END AS status, 2 AS version FROM runs""")
+def snk01_snapshot(spark, d):
+    """Runs stored as a snapshot, replaced by what the deadline sweep leaves, and read by a reader that had the first version."""
+    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    store, reader = Snapshot(spark, path), Snapshot(spark, path)
+    store.write(runs(spark, d).select("run_id", "status", "deadline"))
+    before = reader.read()
+    expired = (F.col("deadline") < NOW) & F.col("status").isin("queued", "running")
+    version = store.write(before.withColumn("status", F.when(expired, "failed").otherwise(F.col("status"))))
+    return reader.read().select("run_id", "status", F.lit(version).alias("version"))
