@@ -11,6 +11,7 @@ from pathloom.operators import evaluation, graph, sequences, spatial
 from pathloom.operators.bindings import bind
 from pathloom.plans.base import EDGES, EVENTS, HOPS, NODES, NOW, PLACES, all_edges, edges, events, hops, nodes, places, query, read
 from pathloom.plans.joins import _LINES, lines, places_xy
+from pathloom.sources import rasters
 
 
 
@@ -386,5 +387,28 @@ def fun08_homography(spark, d):
     return places(spark, d).select("id", F.round(point[0], 6).alias("x"), F.round(point[1], 6).alias("y"))
 
 
+#: A grid of 50 m over the places, in tiles of 16 pixels to a side.
+GRID = rasters.Grid(west=-100.0, north=4000.0, pixel=50.0, side=16)
+
+
+@query(f"""WITH {PLACES}, {_ROADS}, p AS (SELECT floor(((lng - 114.346::DOUBLE) * 95000 + 100) / 50) AS c, floor((4000 - (lat - 30.517::DOUBLE) * 110000) / 50) AS r, avg(importance) AS value FROM places GROUP BY ALL),
+g AS (SELECT *, greatest(1, ceil(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 100))::INTEGER AS n FROM roads), s AS (SELECT *, unnest(range(0, n + 1))::INTEGER AS seq FROM g), q AS (SELECT u, v, seq, (x1 + (x2 - x1) * (seq::DOUBLE / n) + 100) / 50 AS across, (4000 - (y1 + (y2 - y1) * (seq::DOUBLE / n))) / 50 AS down FROM s),
+o AS (SELECT u, v, seq, value FROM q LEFT JOIN p ON c = floor(across) AND r = floor(down)),
+k AS (SELECT u, v, seq, floor(across - 0.5) + i AS c, floor(down - 0.5) + j AS r, CASE WHEN i = 1 THEN across - 0.5 - floor(across - 0.5) ELSE 1 - (across - 0.5 - floor(across - 0.5)) END * CASE WHEN j = 1 THEN down - 0.5 - floor(down - 0.5) ELSE 1 - (down - 0.5 - floor(down - 0.5)) END AS w FROM q, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(i, j)),
+b AS (SELECT u, v, seq, CASE WHEN count(value) = count(*) THEN sum(w * value) END AS smooth FROM k LEFT JOIN p USING (c, r) WHERE w > 0 GROUP BY u, v, seq)
+SELECT u, v, seq, round(value, 4) AS value, round(smooth, 4) AS smooth FROM o JOIN b USING (u, v, seq)""")
+def src08_raster_profile(spark, d):
+    """Values of the grid every 100 m along the main roads, of the pixel and smooth between pixels."""
+    p = places(spark, d)
+    x, y = (F.col("lng") - 114.346) * 95000, (F.col("lat") - 30.517) * 110000
+    pixels = p.groupBy(F.floor((x - GRID.west) / GRID.pixel).alias("column"), F.floor((F.lit(GRID.north) - y) / GRID.pixel).alias("row")).agg(F.avg("importance").alias("value"))
+    raster = graph.settle(rasters.tiles(pixels, GRID))
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    along = spatial.densify(main_roads(spark, d).select(F.struct("u", "v").alias("line"), "x1", "y1", "x2", "y2", length.alias("length")), 100.0)
+    points = graph.settle(along.select("line.u", "line.v", "seq", "x", "y"))
+    own, smooth = (rasters.sample(points, ["u", "v", "seq"], raster, GRID, s) for s in (False, True))
+    return own.join(smooth.withColumnRenamed("value", "smooth"), ["u", "v", "seq"]).select("u", "v", "seq", F.round("value", 4).alias("value"), F.round("smooth", 4).alias("smooth"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grf02_reachable_places(spark, sf_dir)
