@@ -1,6 +1,8 @@
+import datetime
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom.sources import files
 from pathloom.streaming import tracks
@@ -72,3 +74,48 @@ def test_arrivals_are_told_once(stream):
 def test_headings_take_the_shorter_arc(stream):
     found = stream("user long, seconds double, heading double", [[(1, 0.0, 350.0), (1, 1.0, 10.0), (1, 2.0, 0.0)]], tracks.smooth_headings)
     assert [h for *_, h in sorted(found)] == [350.0, 0.0, 0.0]
+
+
+def minutes(*values):
+    return [datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=v) for v in values]
+
+
+def test_sessions_end_with_a_gap(stream):
+    first = [(1, t) for t in minutes(0, 20, 45)] + [(2, t) for t in minutes(0)] + [(1, t) for t in minutes(90)]
+    found = stream("user long, ts timestamp", [first, [(9, t) for t in minutes(3000)], [(9, t) for t in minutes(6000)]], tracks.sessions)
+    assert sorted(r for r in found if r[0] < 9) == [(1, *minutes(0, 75), 3), (1, *minutes(90, 120), 1), (2, *minutes(0, 30), 1)]
+
+
+def test_segments_are_summed_by_kind(stream):
+    rows = [(minutes(0)[0], "car", 1.0), (minutes(0.5)[0], "car", 2.0), (minutes(0.5)[0], "bus", 4.0), (minutes(0.7)[0], "car", 8.0)]
+    later = [[(minutes(m)[0], "end", 0.0)] for m in (3000, 6000)]
+    found = stream("ts timestamp, kind string, value double", [rows, *later], tracks.segments)
+    assert sorted(r for r in found if r[1] != "end") == sorted([(*minutes(0), "car", 2, 3.0), (*minutes(0), "bus", 1, 4.0), (*minutes(0.6), "car", 1, 8.0)])
+
+
+def test_keys_are_taken_once(stream):
+    (at,) = minutes(0)
+    found = stream("key string, ts timestamp, n int", [[("a", at, 1), ("b", at, 1)], [("a", at, 2), ("c", at, 2)]], tracks.ingest_once)
+    assert sorted(r[0] for r in found) == ["a", "b", "c"] and sorted(r[2] for r in found) == [1, 1, 2]
+
+
+def test_log_has_each_row_once_after_a_restart(spark, tmp_path):
+    for k in range(2):
+        spark.createDataFrame([(k, "x")], "id long, note string").write.mode("append").parquet(str(tmp_path / "in"))
+        read = spark.readStream.schema("id long, note string").parquet(str(tmp_path / "in"))
+        tracks.append_log(read, str(tmp_path / "log"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(map(tuple, spark.read.schema("id long, note string").json(str(tmp_path / "log")).collect())) == [(0, "x"), (1, "x")]
+
+
+def test_edges_and_summaries_are_written(spark, tmp_path):
+    rows = [(1, 2, 0, 10.04, "steps", "a,b"), (2, 1, 1, 0.25, "footway", None)]
+    edges = spark.createDataFrame(rows, "u long, v long, k int, length double, highway string, road string").withColumn("slope", F.lit(1))
+    schema = "u long, v long, k int, length double, highway string, road string"
+    want = sorted([(1, 2, 0, 10.0, "steps", "a,b"), (2, 1, 1, 0.3, "footway", None)])
+    files.write_edges(edges, str(tmp_path / "csv"))
+    files.write_edges(edges, str(tmp_path / "json"), "json")
+    assert sorted(map(tuple, files.read_csv(spark, str(tmp_path / "csv"), schema).collect())) == want
+    assert sorted(map(tuple, spark.read.schema(schema).json(str(tmp_path / "json")).collect())) == want
+    files.write_with_summary(edges.select("u", "length"), str(tmp_path / "s"), F.count("u").alias("n"), F.round(F.sum("length"), 2).alias("metres"))
+    assert spark.read.json(str(tmp_path / "s/summary")).select("n", "metres").first() == (2, 10.29)
+    assert files.read_csv(spark, str(tmp_path / "s/rows"), "u long, length double").count() == 2
