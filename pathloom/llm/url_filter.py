@@ -16,7 +16,7 @@ seed reaches are allowed; an empty table gives an empty result; extra columns ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import UPPER, discard, materialize, table
@@ -26,16 +26,16 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 DAMPING = 0.85
 #: A host is blocked where its distrust exceeds so many times its trust.
 THRESHOLD = 1.0
-#: Iterations after which the SQL ends, when no more than 1e-11 of the mass moves; propagate() goes on until the ranks have settled.
+#: Iterations after which the SQL ends; propagate() goes on until the ranks have settled.
 ITERATIONS = 160
 #: Iterations between two writes to the shared folder and looks at the change.
 WRITE_EVERY = 5
 #: Edges for each task that an iteration runs: a small graph is not spread over all shuffle partitions, neither read from as many files.
 EDGES_A_TASK, LEAST_TASKS = 250_000, 4
-#: Ranks have settled when they changed by less than this share of the seeds' mass, all together.
-TOLERANCE = 1e-9
-#: Decimals to which trust and distrust are compared, so that the order of sums never decides.
-DECIMALS = 12
+#: Ranks have settled when none changed by more than this share of itself, however small it is.
+SETTLED = 1e-7
+#: Distrust must exceed trust by this share of it, so that the order of sums never decides between equals.
+MARGIN = 1e-6
 
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
@@ -83,8 +83,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
     """kind, host, rank: trust along edges and distrust against them, from seeds (kind, host, mass).
 
-    Ends when the ranks have settled and the last iterations reached no host whose rank shows at DECIMALS.
-    Each iteration shrinks the change by the damping at least, so this comes to an end on any graph.
+    Ends when the last iterations reached no new host and changed no rank by more than SETTLED of it,
+    so that hosts far from all seeds are judged as finely as those near them.
     """
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = ways.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
@@ -93,7 +93,6 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> D
     shares, seeds = shares.coalesce(tasks), seeds.coalesce(tasks)
     start = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("rank"))
     ranks = first = seeds.select("kind", "host", F.col("mass").alias("rank"))
-    enough = TOLERANCE * (seeds.agg(F.sum("mass")).first()[0] or 0.0)
     while True:
         before = ranks
         for _ in range(WRITE_EVERY):
@@ -102,11 +101,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> D
         ranks = materialize(ranks, "ranks")
         both = ranks.select("kind", "host", "rank", F.lit(0.0).alias("was"), F.lit(0).alias("known")).unionByName(before.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"), F.lit(1).alias("known")))
         hosts = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"), F.max("known").alias("known")).coalesce(tasks)
-        new = (F.col("known") == 0) & (F.round("rank", DECIMALS) > 0)
-        change, reached = hosts.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("was"))), F.lit(0.0)), F.count_if(new)).first()
+        moved = (F.abs(F.col("rank") - F.col("was")) > SETTLED * F.col("rank")) | ((F.col("known") == 0) & (F.col("rank") > 0))
+        unsettled = hosts.agg(F.count_if(moved)).first()[0]
         if before is not first:
             discard(before)
-        if change <= enough and not reached:
+        if not unsettled:
             return ranks
 
 
@@ -120,11 +119,12 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING) -> DataFrame:
         .groupBy(F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("kind"), "host")
         .agg(F.count(F.lit(1)).cast("double").alias("mass"))
     )
-    total = F.sum("mass").over(Window.partitionBy("kind"))
-    seeds = seeds.withColumn("mass", F.col("mass") / total)
+    # Two rows: one for each kind.
+    totals = seeds.groupBy("kind").agg(F.sum("mass").alias("total"))
+    seeds = seeds.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("mass") / F.col("total")).alias("mass"))
     ranks = propagate(host_edges(pages), materialize(seeds, "seeds"), damping)
-    of = lambda kind: F.round(F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)), DECIMALS)
-    blocked = ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust")).filter(F.col("distrust") > THRESHOLD * F.col("trust")).select("host", F.lit("block").alias("by_graph"))
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
+    blocked = ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust")).filter(F.col("distrust") > THRESHOLD * (1 + MARGIN) * F.col("trust")).select("host", F.lit("block").alias("by_graph"))
     return judged.join(materialize(blocked, "blocked-hosts"), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "by_graph", F.lit("allow")).alias("verdict"))
 
 
@@ -177,7 +177,7 @@ WITH RECURSIVE p AS (
         + steps
         + f""", blocked AS (
   SELECT host FROM ranks GROUP BY host
-  HAVING round(sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END), {DECIMALS}) > {THRESHOLD} * round(sum(CASE WHEN kind = 'trust' THEN rank ELSE 0 END), {DECIMALS})
+  HAVING sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END) > {THRESHOLD * (1 + MARGIN)}::DOUBLE * sum(CASE WHEN kind = 'trust' THEN rank ELSE 0 END)
 )
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' END, 'allow') AS verdict FROM j
 """
