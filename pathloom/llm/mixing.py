@@ -1,16 +1,17 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue of its documents in shuffled order. A document's virtual finish time is the
-words of its source up to and with it, divided by the source's target, so a source with a larger
-target is served faster. A source whose target exceeds its size is queued again, up to a number of
-repeats. All queued copies are sorted by finish time over all sources, and the mix ends where their
-words add up to the total budget, the words of all documents: when the clock stands at about 1. The
-copy that each source has in service at 1 is queued in two parts, what is served by then and one
-word more, so that a long document does not keep its source from its target.
+Every source is a queue of its documents in shuffled order, repeated up to a number of times
+whatever its target. A copy is queued in parts of PART_WORDS words, as a queue of packets, so that a
+long document does not hold up the others. A part's virtual finish time is the words of its source
+up to and with it, divided by the source's target, so a source with a larger target is served
+faster. All parts are sorted by finish time over all sources, and the mix ends where their words
+add up to the total budget, the words of all documents. That one cut decides what each source
+gives: at least its target less a part, and at most as many parts more as there are other sources.
 
 Running totals are distributed. Within a source the shuffle order is cut into blocks by the leading
 digits of its key; block totals are summed first, and windows run inside single blocks only. Over
-all sources a range sort by finish time does the same with its partitions.
+all sources a range sort by finish time does the same with its partitions; only the partition in
+which the budget ends needs a running total.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is a source of its
 own, the last one; rows that repeat an id are queued by their texts, and rows that repeat both are
@@ -23,10 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import WORD, fresh, materialize, shuffle_partitions, table
+from pathloom.llm.common import WORD, discard, fresh, materialize, shuffle_partitions, table
 
 WEIGHT_CYCLE = (1, 2, 3)
 MAX_REPEATS = 3
+#: Words of a part, the unit of service; the last part of a document holds what is left.
+PART_WORDS = 64
 #: Hex digits of the shuffle key that name a block: 4,096 blocks for each source.
 BLOCK_DIGITS = 3
 
@@ -62,7 +65,10 @@ def fill_targets(sources: DataFrame, cycle: tuple[int, ...], repeats: int) -> Da
 
 
 def queue(docs: DataFrame, cycle: tuple[int, ...], repeats: int) -> DataFrame:
-    """doc_id, source, key, size, source_size, target, before: the words of its source that are queued before each document."""
+    """doc_id, source, key, size, source_size, target, before: the words of its source that are queued before each document.
+
+    Documents without words are never served; their place is null.
+    """
     rows = materialize(sized(docs).withColumn("block", F.substring("key", 1, BLOCK_DIGITS)), "sized")
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,60 +78,71 @@ def queue(docs: DataFrame, cycle: tuple[int, ...], repeats: int) -> DataFrame:
     # Null sources meet by a key that is never null.
     keyed = lambda df: df.withColumns({"__none": F.col("source").isNull(), "__source": F.coalesce("source", F.lit(""))})
     starts = keyed(blocks).hint("merge").join(keyed(sources).drop("source"), ["__none", "__source"]).drop("source", "block_size")
-    joined = keyed(rows).hint("merge").join(starts, ["__none", "__source", "block"])
+    joined = keyed(rows.filter("size > 0")).hint("merge").join(starts, ["__none", "__source", "block"])
     inside = Window.partitionBy("__none", "__source", "block").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    queued = joined.withColumn("before", F.col("before_block") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return materialize(queued.select("doc_id", "source", "key", "size", "source_size", "target", "before"), "queued")
+    placed = joined.withColumn("before", F.col("before_block") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    # One row for each source.
+    silent = keyed(rows.filter("size = 0")).join(keyed(sources).drop("source"), ["__none", "__source"]).withColumn("before", F.lit(None).cast("long"))
+    columns = ["doc_id", "source", "key", "size", "source_size", "target", "before"]
+    queued = materialize(placed.select(columns).unionByName(silent.select(columns)), "queued")
+    discard(rows, blocks, sources)
+    return queued
 
 
-def packets(queued: DataFrame, repeats: int) -> DataFrame:
-    """source, key, before, turn, words, finish: what is queued up to virtual time 1, and one word more of each source."""
+def packets(queued: DataFrame, repeats: int, part_words: int = PART_WORDS) -> DataFrame:
+    """source, before, turn, words, finish: each part of each copy of each document, whatever its source's target."""
     turns = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("turn")
-    copies = queued.filter("size > 0").select("doc_id", "source", "key", "size", "source_size", "target", "before", turns)
-    copies = copies.withColumn("at", F.col("before") + F.col("turn") * F.col("source_size")).filter("at < target")
-    served = F.when(F.col("at") + F.col("size") <= F.col("target"), F.col("size")).otherwise(F.floor(F.col("target") - F.col("at")))
-    parts = F.array(F.struct("at", served.alias("words")), F.struct((F.col("at") + served).alias("at"), F.when(served == F.col("size"), 0).otherwise(1).cast("long").alias("words")))
-    split = copies.select("*", F.explode(parts).alias("part")).filter("part.words > 0")
-    finish = (F.col("part.at") + F.col("part.words")) / F.col("target")
-    return split.select("doc_id", "source", "key", "size", "source_size", "target", "before", "turn", F.col("part.words").alias("words"), finish.alias("finish"))
+    copies = queued.filter("size > 0 AND target > 0").select("source", "size", "source_size", "target", "before", turns)
+    parts = copies.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(part_words).cast("long"))).alias("from"))
+    words = F.least(F.lit(part_words).cast("long"), F.col("size") - F.col("from"))
+    finish = (F.col("before") + F.col("turn") * F.col("source_size") + F.col("from") + words) / F.col("target")
+    return parts.select("source", "before", "turn", words.alias("words"), finish.alias("finish"))
 
 
 def served(docs: DataFrame, cycle: tuple[int, ...], repeats: int) -> tuple[DataFrame, DataFrame]:
-    """The queue, and the packets in it that the budget covers, with taken: their words up to it."""
+    """The queue, and the parts in it that the budget covers, with taken: their words up to it."""
     queued = queue(docs, cycle, repeats)
-    order = ["finish", F.col("source").isNull(), "source", "key", "before"]
+    order = ["finish", F.col("source").isNull(), "source", "before", "turn"]
     ranged = packets(queued, repeats).repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     ranged = materialize(ranged.withColumn("part", F.spark_partition_id()), "by-finish-time")
     # One row for each partition of the range sort.
     totals = ranged.groupBy("part").agg(F.sum("words").alias("total"))
-    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("earlier"))
-    budget = queued.agg(F.sum("size")).first()[0] or 0
+    starts = totals.select("part", "total", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("earlier"))
+    budget = F.lit(queued.agg(F.sum("size")).first()[0] or 0)
+    whole = ranged.join(F.broadcast(starts.filter(F.col("earlier") + F.col("total") <= budget).select("part")), "part").withColumn("taken", F.col("words"))
+    last = ranged.join(F.broadcast(starts.filter((F.col("earlier") < budget) & (F.col("earlier") + F.col("total") > budget)).select("part", "earlier")), "part")
     inside = F.sum("words").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
-    left = F.lit(budget) - F.col("earlier") - F.col("inside")
-    placed = ranged.withColumn("inside", inside).join(F.broadcast(before), "part")
-    taken = placed.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), left))).filter("taken > 0")
-    return queued, taken.drop("part", "inside", "earlier")
+    left = budget - F.col("earlier") - F.col("inside")
+    cut = last.withColumn("inside", inside).withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), left))).filter("taken > 0")
+    return queued, whole.unionByName(cut.drop("inside", "earlier")).drop("part")
 
 
 def serve(docs: DataFrame, cycle: tuple[int, ...] = WEIGHT_CYCLE, repeats: int = MAX_REPEATS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken."""
     queued, taken = served(docs, cycle, repeats)
     # Within a source, no two documents with words start at one place.
-    columns = ["doc_id", "source", "size", "source_size", "target"]
-    rows = queued.filter("size > 0").select(*columns, "before", F.lit(0).cast("long").alias("taken")).unionByName(taken.select(*columns, "before", "taken"))
-    found = rows.groupBy(*columns, "before").agg(F.sum("taken").alias("taken"))
-    return found.drop("before").unionByName(queued.filter("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
+    facts = ["doc_id", "size", "source_size", "target"]
+    none = F.lit(0).cast("long").alias("taken")
+    nulls = [F.lit(None).cast(queued.schema[c].dataType).alias(c) for c in facts]
+    rows = queued.filter("size > 0").select("source", "before", *facts, none).unionByName(taken.select("source", "before", *nulls, "taken"))
+    found = rows.groupBy("source", "before").agg(*[F.max(c).alias(c) for c in facts], F.sum("taken").alias("taken"))
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    return found.select(columns).unionByName(queued.filter("size = 0").select(*columns[:-1], none))
 
 
 def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = WEIGHT_CYCLE, repeats: int = MAX_REPEATS) -> DataFrame:
     """The mix itself: each document as often as its queue served it, globally sorted by virtual finish time.
 
-    The copy in service when the budget was spent holds only its served words, joined by spaces.
+    A copy stands where its last part was served. One that was being served when the budget was
+    spent holds only its served words, joined by spaces.
     """
     key, own, of, words, finish, size = fresh(docs, "key", "own", "of", "words", "finish", "size")
     queued, taken = served(docs, cycle, repeats)
-    copies = taken.groupBy("source", "key", "before", "turn", "size").agg(F.sum("taken").alias(words), F.max("finish").alias(finish))
-    copies = materialize(copies.withColumnsRenamed({"key": own, "source": of, "size": size}).drop("before", "turn"), "copies")
+    copies = taken.groupBy("source", "before", "turn").agg(F.sum("taken").alias(words), F.max("finish").alias(finish))
+    copies = copies.withColumnRenamed("source", of).withColumnRenamed("before", own)
+    places = queued.filter("size > 0").select("source", "key", "before", F.col("size").alias(size))
+    meet = (F.col("source").eqNullSafe(F.col(of))) & (F.col("before") == F.col(own))
+    copies = materialize(places.hint("merge").join(copies, meet).select(F.col("source").alias(of), F.col("key").alias(own), size, words, finish), "copies")
     texts = docs.withColumn(key, shuffle_key())
     if not queued.filter("size > 0").groupBy("source", "key").count().filter("count > 1").isEmpty():
         texts = texts.dropDuplicates([key, "source"])  # equal rows are queued one by one, and need their text once
@@ -161,20 +178,17 @@ WITH d AS (
   SELECT d.doc_id, d.source, d.key, d.size, t.source_size, t.target,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), copies AS (
-  SELECT *, before + turn * source_size AS place, CASE WHEN before + turn * source_size + size <= target THEN size ELSE floor(target - (before + turn * source_size))::BIGINT END AS served
-  FROM q, (VALUES (0), (1), (2)) AS turns(turn) WHERE size > 0 AND before + turn * source_size < target
 ), packets AS (
-  SELECT doc_id, source, key, before, served AS words, (place + served) / target AS finish FROM copies WHERE served > 0
-  UNION ALL SELECT doc_id, source, key, before, 1, (place + served + 1) / target FROM copies WHERE served < size
+  SELECT source, before, turn, least(64, size - "from")::BIGINT AS words, (before + turn * source_size + "from" + least(64, size - "from")) / target AS finish
+  FROM (SELECT *, unnest(range(0, size, 64)) AS "from" FROM q, (VALUES (0), (1), (2)) AS turns(turn) WHERE size > 0 AND target > 0)
 ), cut AS (
-  SELECT doc_id, source, before, greatest(0, least(words, (SELECT sum(size) FROM d)
-    - (sum(words) OVER (ORDER BY finish, source IS NULL, source, key, before ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words))) AS taken
+  SELECT source, before, greatest(0, least(words, (SELECT sum(size) FROM d)
+    - (sum(words) OVER (ORDER BY finish, source IS NULL, source, before, turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words))) AS taken
   FROM packets
 ), given AS (
-  SELECT doc_id, source, before, sum(taken)::BIGINT AS taken FROM cut GROUP BY doc_id, source, before
+  SELECT source, before, sum(taken)::BIGINT AS taken FROM cut GROUP BY source, before
 )
 SELECT q.doc_id, q.size, q.source_size, q.target, CASE WHEN q.size > 0 THEN coalesce(g.taken, 0) ELSE 0 END::BIGINT AS taken
-FROM q LEFT JOIN given g ON q.doc_id IS NOT DISTINCT FROM g.doc_id AND q.source IS NOT DISTINCT FROM g.source AND q.before = g.before
+FROM q LEFT JOIN given g ON q.source IS NOT DISTINCT FROM g.source AND q.before = g.before
 """
 }

@@ -11,16 +11,17 @@ def test_taken_is_a_prefix_by_finish_time(spark):
     docs = spark.createDataFrame(corpus(200, seed=8), SCHEMA).repartition(5)
     queued, taken = mixing.served(docs, mixing.WEIGHT_CYCLE, mixing.MAX_REPEATS)
     rows = mixing.packets(queued, mixing.MAX_REPEATS).collect()
-    rows.sort(key=lambda r: (r["finish"], r["source"] is None, (r["source"] or "").encode(), r["key"], r["before"]))
+    rows.sort(key=lambda r: (r["finish"], r["source"] is None, (r["source"] or "").encode(), r["before"], r["turn"]))
     left = sum(r["size"] for r in queued.collect())
+    assert sum(r["words"] for r in rows) == mixing.MAX_REPEATS * left  # every copy is queued, and the cut alone ends the mix
     expected = Counter()
     for r in rows:
         words = max(0, min(r["words"], left))
         left -= words
         if words:
-            expected[r["doc_id"], r["turn"], r["finish"], words] += 1
+            expected[r["source"], r["before"], r["turn"], r["finish"], words] += 1
     assert left == 0
-    assert Counter((r["doc_id"], r["turn"], r["finish"], r["taken"]) for r in taken.collect()) == expected
+    assert Counter((r["source"], r["before"], r["turn"], r["finish"], r["taken"]) for r in taken.collect()) == expected
 
 
 def test_repeated_ids_and_clashing_columns(spark):
