@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo
@@ -41,40 +41,105 @@ def discard(*written: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+class _Improvements:
+    """What a search has found so far, in a log: a round appends its improvements and rewrites nothing.
+
+    Every FAN parts of one level become one of the next, with the least for each key, so that what is
+    written grows with the improvements (times a logarithm of the rounds), not with rounds x state.
+    Parts are read as one table, so that many small files share a task.
+    """
+
+    FAN = 16
+
+    def __init__(self, first: DataFrame, columns: list[str]):
+        self.schema, self.session, self.columns = first.schema, first.sparkSession, columns
+        self.levels: list[list[DataFrame]] = [[first]]
+        self.merged: list[DataFrame] = []
+
+    def rows(self, parts: list[DataFrame] | None = None) -> DataFrame:
+        parts = parts or [p for level in self.levels for p in level]
+        return self.session.read.schema(self.schema).parquet(*sorted({f.rpartition("/")[0] for p in parts for f in p.inputFiles()}))
+
+    def least(self, parts: list[DataFrame] | None = None) -> DataFrame:
+        found = self.rows(parts).groupBy("source", "node").agg(F.min(F.struct(*self.columns)).alias("best"))
+        return found.select("source", "node", *[F.col(f"best.{c}").alias(c) for c in self.columns])
+
+    def append(self, part: DataFrame) -> None:
+        """Add a round's part. What was merged before is deleted only now: the round just made has read it."""
+        discard(*self.merged)
+        self.merged = []
+        self.levels[0].append(part)
+        for k, level in enumerate(self.levels):
+            if len(level) < self.FAN:
+                break
+            if k + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[k + 1].append(settle(self.least(level)))
+            self.merged += level
+            self.levels[k] = []
+
+    def close(self) -> DataFrame:
+        """The least of each key, written once; the log is deleted."""
+        best = settle(self.least())
+        discard(*self.merged, *[p for level in self.levels for p in level])
+        return best
+
+
+#: From this round on a search asks how many rounds it can need at most.
+COUNT_FROM = 16
+#: States of more rows than this are not shuffled for a round: only what its candidates meet is.
+WIDE_ROWS = 1_000_000
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, cost: str = "length", cutoff: float | None = None, rounds: int | None = None, with_path: bool = False) -> DataFrame:
     """source, node, dist (and path): least costs from every source at once, over paths of any length.
 
     edges has u, v and the cost (smallest of parallel edges counts); sources has source and node. In
     each round only nodes that improved send on: the frontier joins the edges, the minimum of each
-    (source, node) is taken before the shuffle, and what does not improve is dropped. Equal costs go
-    to the lexicographically smaller path.
+    (source, node) is taken before the shuffle, and what does not improve is dropped. Improvements are
+    appended to a log; the least of each key is taken once at the end. Equal costs go to the
+    lexicographically smaller path.
 
     A cheapest path has at most as many edges as there are nodes with one into them; the round after
     that improves nothing. Where it does (a cycle of negative cost), or at rounds if given, this raises.
     """
     slim = settle(edges.groupBy("u", "v").agg(F.min(cost).cast("double").alias("w")))
     trail = [F.array("node").alias("path")] if with_path else []
-    better = F.struct("dist", "path") if with_path else F.struct("dist")
     columns = ["dist", "path"] if with_path else ["dist"]
-    best = settle(sources.select("source", "node", F.lit(0.0).alias("dist"), *trail))
-    frontier = best
-    bound = slim.select("v").distinct().count() + 1 if rounds is None else rounds
-    for _ in range(bound):
+    value = F.struct(*columns)
+    frontier, known = _counted(sources.select("source", "node", F.lit(0.0).alias("dist"), *trail))
+    log, limit, done = _Improvements(frontier, columns), rounds, 0
+    while limit is None or done < limit:
         reach = frontier.join(slim, F.col("node") == F.col("u"))
         longer = [F.concat("path", F.array("v")).alias("path")] if with_path else []
         sent = reach.select("source", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), *longer)
         if cutoff is not None:
             sent = sent.filter(F.col("dist") <= cutoff)
-        least = sent.groupBy("source", "node").agg(F.min(better).alias("new")).select("source", "node", *[F.col(f"new.{c}").alias(f"new_{c}") for c in columns])
-        known = best.withColumn("__old", better).select("source", "node", "__old")
-        new = F.struct(*[F.col(f"new_{c}").alias(c) for c in columns])
-        better_rows = least.join(known, ["source", "node"], "left").filter(F.col("__old").isNull() | (new < F.col("__old")))
-        frontier = settle(better_rows.select("source", "node", *[F.col(f"new_{c}").alias(c) for c in columns]))
-        if frontier.isEmpty():
+        state, met = log.rows(), []
+        if known > WIDE_ROWS:
+            sent = settle(sent.groupBy("source", "node").agg(F.min(value).alias("new")).select("source", "node", "new.*"))
+            met, state = [sent], state.join(sent.select("source", "node"), ["source", "node"], "left_semi")
+        both = sent.select("source", "node", value.alias("value"), F.lit(True).alias("new")).unionByName(state.select("source", "node", value.alias("value"), F.lit(False).alias("new")))
+        least = both.groupBy("source", "node").agg(F.min(F.when(F.col("new"), F.col("value"))).alias("new"), F.min(F.when(~F.col("new"), F.col("value"))).alias("old"))
+        better = least.filter(F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old"))))
+        frontier, improved = _counted(better.select("source", "node", *[F.col(f"new.{c}").alias(c) for c in columns]))
+        discard(*met)
+        if not improved:
+            best = log.close()
+            discard(slim, frontier)
             return best
-        kept = best.join(frontier.select("source", "node"), ["source", "node"], "left_anti")
-        best = settle(kept.unionByName(frontier))
-    raise RuntimeError(f"shortest paths did not settle in {bound} rounds")
+        log.append(frontier)
+        known, done = known + improved, done + 1
+        if limit is None and done >= COUNT_FROM:
+            limit = slim.select("v").distinct().count() + 1
+    raise RuntimeError(f"shortest paths did not settle in {done} rounds")
+
+
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """settle(), and the number of rows as counted by the write itself."""
+    seen = Observation()
+    written = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return written, seen.get["rows"]
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFrame:

@@ -1,5 +1,6 @@
 """Graph operators against plain statements, on small graphs."""
 
+import os
 import random
 
 import pytest
@@ -33,6 +34,23 @@ def test_cheapest_paths_may_have_any_number_of_edges(spark):
     assert max(len(r["path"]) for r in found) == 25
 
 
+def test_wide_states_and_merged_parts_give_the_same_and_only_the_result_stays(spark, monkeypatch):
+    """More rounds than two merges take, with the state shuffled and with only what candidates meet of it."""
+    folder = graph.shared_dir(spark).removeprefix("file://")
+    kept = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    monkeypatch.setattr(graph._Improvements, "FAN", 3)
+    edges = [(k, k + 1, 1.0) for k in range(11)] + [(k, k + 5, 30.0 - k % 5) for k in range(0, 6, 2)] + [(9, 3, 2.0)]
+    table = spark.createDataFrame(edges, "u long, v long, length double")
+    starts = spark.createDataFrame([(0, 0), (7, 7)], "source long, node long")
+    for rows in (0, 10**6):
+        monkeypatch.setattr(graph, "WIDE_ROWS", rows)
+        before = kept()
+        found = graph.shortest_paths(table, starts).collect()
+        assert {(r["source"], r["node"], r["dist"]) for r in found} == {(s, node, d) for s in (0, 7) for node, d in relaxed(edges, s).items()}
+        assert len(found) == len({(r["source"], r["node"]) for r in found})
+        assert len(kept() - before) == 1
+
+
 def test_a_search_that_does_not_settle_is_an_error(spark):
     starts = spark.createDataFrame([(0, 0)], "source long, node long")
     edges = spark.createDataFrame(long_road(), "u long, v long, length double")
