@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.session import ship
 from pathloom.operators.graph import settle, shared_dir
-from pathloom.plans.base import NODES, nodes, query, read
+from pathloom.plans.base import EDGES, NODES, edges, nodes, query, read
+from pathloom.sources import files
 from pathloom.streaming import matching, runs, tracking
 
 
@@ -83,3 +84,17 @@ def str09_tracks(spark, d):
     path = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
     frames.write.parquet(path)
     return run(spark, tracking.track(spark.readStream.schema(tracking.FRAMES).parquet(path)))
+
+
+@query(f"""WITH {EDGES}, {NODES}, degrees AS (SELECT u, count(*) AS outgoing FROM edges GROUP BY u)
+SELECT e.u, e.v, e.length::DOUBLE AS length, e.scenery, e.highway, e.road, n.nation, d.outgoing FROM edges e JOIN nodes n ON n.node = e.u JOIN degrees d ON d.u = e.u""")
+def snk02_graphml(spark, d):
+    """The whole network written as one typed document and read back: each edge with attributes of its start."""
+    path = f"{shared_dir(spark)}/network-{uuid.uuid4().hex}.graphml"
+    network = edges(spark, d)
+    outgoing = network.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("outgoing"))
+    files.write_graphml(nodes(spark, d).join(outgoing, "node", "left"), network, path)
+    at, links = files.read_graphml(spark, path)
+    of = lambda name, kind: F.try_element_at("attributes", F.lit(name)).cast(kind).alias(name)
+    starts = at.select(F.col("node").alias("u"), of("nation", "int"), of("outgoing", "long"))
+    return links.select("u", "v", of("length", "double"), of("scenery", "int"), of("highway", "string"), of("road", "string")).join(starts, "u")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 
 def with_defaults(items: str, defaults: str, fields: list[str]) -> list[Column]:
@@ -31,10 +31,14 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """nodes (node, attributes) and edges (u, v, attributes); attributes by key, typed by the caller."""
+    """nodes (node, attributes) and edges (u, v, attributes); attributes by key, typed by the caller.
+
+    The parser that looks for row tags is asked for: it reads a large document in splits, and a folder
+    of the parts of one, as write_graphml makes it.
+    """
     data = "data array<struct<_key:string,_VALUE:string>>"
     entries = F.map_from_entries(F.transform(F.coalesce("data", F.array().cast("array<struct<_key:string,_VALUE:string>>")), lambda d: F.struct(d["_key"], d["_VALUE"])))
-    read = lambda tag, schema: spark.read.format("xml").schema(schema).option("rowTag", tag).load(path)
+    read = lambda tag, schema: spark.read.format("xml").schema(schema).option("rowTag", tag).option("useLegacyXMLParser", True).load(path)
     nodes = read("node", f"_id long, {data}").select(F.col("_id").alias("node"), entries.alias("attributes"))
     edges = read("edge", f"_source long, _target long, {data}").select(F.col("_source").alias("u"), F.col("_target").alias("v"), entries.alias("attributes"))
     return nodes, edges
@@ -87,3 +91,48 @@ def write_with_summary(df: DataFrame, path: str, *measures: Column) -> None:
     """A table as CSV, and the measures over all of it as one JSON row in a folder beside it."""
     df.write.mode("overwrite").option("header", True).csv(f"{path}/rows")
     df.agg(*measures).write.mode("overwrite").json(f"{path}/summary")
+
+
+#: Names of attribute types in the format.
+GRAPHML_TYPES = {"boolean": "boolean", "tinyint": "int", "smallint": "int", "int": "int", "bigint": "long", "float": "float", "double": "double"}
+
+
+def _xml_text(column: Column, kind: DataType) -> Column:
+    """A value as text of a document: nested ones as JSON, characters that XML cannot hold as U+FFFD."""
+    text = F.to_json(column) if isinstance(kind, (ArrayType, MapType, StructType)) else column.cast("string")
+    text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", "\ufffd")
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, files: int | None = None) -> None:
+    """A directed graph as GraphML: the part files of the folder, in order of their names, are one document.
+
+    nodes has node, edges has u and v; all other columns are attributes under typed keys. A name that
+    nodes and edges share is one key, a string where their types differ. Nulls have no entry. Lines are
+    range-sorted into the given number of files (else as many as there are shuffle partitions), so that
+    no task holds the document; files=1 makes one file. A graph without nodes is a document as well.
+    """
+    spark = nodes.sparkSession
+    own = [{f.name: f.dataType for f in df.schema if f.name not in ids} for df, ids in ((nodes, ("node",)), (edges, ("u", "v")))]
+    quoted = lambda name: name.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
+    for name in own[0] | own[1]:
+        kinds = {GRAPHML_TYPES.get(side[name].simpleString(), "string") for side in own if name in side}
+        scope = "all" if all(name in side for side in own) else "node" if name in own[0] else "edge"
+        head.append(f'<key id="{quoted(name)}" for="{scope}" attr.name="{quoted(name)}" attr.type="{kinds.pop() if len(kinds) == 1 else "string"}"/>')
+    head.append('<graph edgedefault="directed">')
+
+    def entries(kinds: dict[str, DataType]) -> Column:
+        column = lambda name: F.col("`" + name.replace("`", "``") + "`")
+        return F.concat_ws("", *[F.concat(F.lit(f'<data key="{quoted(n)}">'), _xml_text(column(n), k), F.lit("</data>")) for n, k in kinds.items()])
+
+    line = lambda part, *pieces: [F.lit(part).alias("part"), F.concat(*pieces).alias("line")]
+    ends = spark.createDataFrame([(0, "\n".join(head)), (3, "</graph>\n</graphml>")], "part int, line string")
+    body = nodes.select(*line(1, F.lit('<node id="'), F.col("node").cast("string"), F.lit('">'), entries(own[0]), F.lit("</node>"))).unionByName(
+        edges.select(*line(2, F.lit('<edge source="'), F.col("u").cast("string"), F.lit('" target="'), F.col("v").cast("string"), F.lit('">'), entries(own[1]), F.lit("</edge>")))
+    )
+    count = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["part", F.xxhash64("line")]
+    ends.unionByName(body).repartitionByRange(count, *order).sortWithinPartitions(*order, "line").select("line").write.mode("overwrite").text(path)
