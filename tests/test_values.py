@@ -5,8 +5,10 @@ import itertools
 import math
 import random
 from collections import defaultdict
+from datetime import datetime
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_queries import SF
@@ -14,7 +16,7 @@ from test_queries import SF
 from pathloom.functions import routing, text
 from pathloom.functions.session import ship
 from pathloom.operators import evaluation, graph, queue, sequences
-from pathloom.plans import network
+from pathloom.plans import network, operations
 
 
 def test_best_pairs_have_the_largest_total(spark):
@@ -28,6 +30,31 @@ def test_best_pairs_have_the_largest_total(spark):
         assert sum(r["score"] for r in found if r["region"] == region) == pytest.approx(most)
 
 
+def test_equal_rows_are_matched_as_one_with_a_count(spark):
+    rng = random.Random(5)
+    classes = [(a, b, round(rng.random(), 3), rng.randint(1, 3), rng.randint(1, 3)) for a in range(4) for b in range(4)]
+    n_a, n_b = {a: n for a, _, _, n, _ in classes}, {b: n for _, b, _, _, n in classes}
+    flows = evaluation.best_flows(spark.createDataFrame([(0, a, b, s, n_a[a], n_b[b]) for a, b, s, _, _ in classes], "region long, a long, b long, score double, n_a long, n_b long"), "region").collect()
+    taken = {(k, f[k], f[f"from_{k}"] + i) for f in flows for i in range(f["units"]) for k in "ab"}
+    assert len(taken) == 2 * sum(f["units"] for f in flows)
+    assert all(at < (n_a if k == "a" else n_b)[c] for k, c, at in taken)
+    single = [(0, a * 10 + i, b * 10 + j, s) for a, b, s, _, _ in classes for i in range(n_a[a]) for j in range(n_b[b])]
+    rows, columns = sorted({r[1] for r in single}), sorted({r[2] for r in single})
+    cost = np.zeros((len(rows), max(len(rows), len(columns))))
+    for _, a, b, s in single:
+        cost[rows.index(a), columns.index(b)] = -s
+    most = -sum(cost[i, j] for i, j in enumerate(evaluation.assign(cost)))
+    assert sum(f["units"] * f["score"] for f in flows) == pytest.approx(most)
+
+
+def test_assignment_of_copies_has_no_pair_for_each_two_copies(spark, tmp_path):
+    at = datetime(2020, 1, 1)
+    rows = [(i, 7, at) for i in (0, 1, 40, 41, 80, 81, 120)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    found = operations.evl08_optimal_assignment(spark, str(tmp_path)).collect()
+    assert len(found) == 3 and len({r["a"] for r in found}) == len({r["b"] for r in found}) == 3
+
+
 def test_greedy_matching(spark):
     ship(spark)
     rng = random.Random(4)
