@@ -42,7 +42,7 @@ def planar_join(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
     """Pairs within reach, with their distance. left has x, y and right has rx, ry; right's rows go to the cells around them."""
     cell = lambda x, y, i=0, j=0: F.struct((F.floor(F.col(x) / reach) + i).alias("cx"), (F.floor(F.col(y) / reach) + j).alias("cy"))
     sent = right.withColumn("__cell", F.explode(F.array(*[cell("rx", "ry", i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
-    pairs = left.withColumn("__cell", cell("x", "y")).join(sent, "__cell").drop("__cell")
+    pairs = left.withColumn("__cell", cell("x", "y")).join(sent.hint("merge"), "__cell").drop("__cell")
     return pairs.withColumn("distance", metres("x", "y", "rx", "ry")).filter(F.col("distance") <= reach)
 
 
@@ -95,7 +95,7 @@ def attachments(ends: DataFrame, nodes: DataFrame, lines: DataFrame, reach: floa
     around = F.explode(F.array(*[F.struct((F.floor(F.col("x") / wide) + i).alias("cx"), (F.floor(F.col("y") / wide) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     touched = pieces.select("line.a", "line.b", around.alias("cell")).distinct()
     free = ends.join(best, "cluster", "left_anti").withColumn("cell", F.struct(F.floor(F.col("x") / wide).alias("cx"), F.floor(F.col("y") / wide).alias("cy")))
-    met = free.join(touched, "cell").drop("cell").join(lines, ["a", "b"])
+    met = free.join(touched.hint("merge"), "cell").drop("cell").join(lines, ["a", "b"])
     t, distance = geo.segment_projection(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
     met = settle(met.withColumns({"t": t, "distance": distance}).filter(F.col("distance") <= reach))
     least = met.groupBy("cluster").agg(F.min("distance").alias("least"))
