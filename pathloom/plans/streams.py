@@ -20,8 +20,9 @@ def run(spark, stream: DataFrame) -> DataFrame:
 
 
 def user_routes(spark, d) -> DataFrame:
-    """user, route, stops: the suppliers of a user's latest order, in order of its lines, as points in planar metres."""
-    latest = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("user")).agg(F.max("o_orderkey").alias("route"))
+    """user, route, stops: the suppliers of the latest order of a user with events, in order of its lines, as points in planar metres."""
+    seen = read(spark, d, "events").select(F.col("user_id").alias("user")).distinct()
+    latest = read(spark, d, "orders").withColumnRenamed("o_custkey", "user").join(seen, "user", "left_semi").groupBy("user").agg(F.max("o_orderkey").alias("route"))
     at = nodes(spark, d).select(F.col("node").alias("l_suppkey"), ((F.col("lng") - 114.346) * 95000).alias("x"), ((F.col("lat") - 30.517) * 110000).alias("y"))
     line = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("route"), "l_linenumber", "l_partkey", "l_suppkey").join(at, "l_suppkey")
     stops = line.join(latest, "route").groupBy("user", "route").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "x", "y"))).alias("stops"))

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pathloom.functions import geo
 from pathloom.operators import spatial
@@ -23,7 +24,9 @@ REACH = 200.0
 SLOWEST, LONGEST, FASTEST, BACK, WEIGHT = 0.5, 6.0, 30.0, 5.0, 0.6
 
 MATCHED = "user long, id long, seconds double, piece int, progress double, across double, furthest double, speed double"
-REACHED = "furthest double, progress double, seconds double, speed double"
+REACHED = "users array<struct<user:long,furthest:double,progress:double,seconds:double,speed:double>>"
+#: Bits of user ids that one group leaves open.
+NEAR = 6
 
 
 def route_cells(pieces: DataFrame, reach: float = REACH) -> DataFrame:
@@ -56,33 +59,48 @@ def project(fixes: DataFrame, cells: DataFrame, reach: float = REACH) -> DataFra
     return best.select("user", "id", "seconds", *[F.when(hit, F.col(f"best.{c}")).alias(c) for c in ("piece", "progress", "across")])
 
 
-class ProgressProcessor(StatefulProcessor):
-    """Furthest progress, and speed along the route, of each user."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.reached = handle.getValueState("reached", REACHED)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        furthest, last, at, speed = self.reached.get() if self.reached.exists() else (None, None, None, 0.0)
-        batch = pd.concat(list(rows)).sort_values(["seconds", "id"], kind="stable")
-        ahead, speeds = [], []
-        for seconds, progress in zip(batch["seconds"], batch["progress"]):
-            if progress == progress and progress is not None:
-                if last is not None and progress > last - BACK and SLOWEST < seconds - at < LONGEST:
-                    v = (progress - last) / (seconds - at)
-                    speed = speed * WEIGHT + v * (1 - WEIGHT) if 0 <= v < FASTEST else speed
-                furthest = progress if furthest is None else max(furthest, progress)
-                last, at = float(progress), float(seconds)
-            ahead.append(furthest)
-            speeds.append(float(speed))
-        if furthest is not None:
-            self.reached.update((float(furthest), last, at, float(speed)))
-        yield batch.assign(user=key[0], furthest=pd.array(ahead, "Float64"), speed=speeds).astype({"piece": "Int32"})[["user", "id", "seconds", "piece", "progress", "across", "furthest", "speed"]]
-
-    def close(self) -> None:
-        pass
+def advance(seconds: list, progress: list, reached: tuple) -> tuple[list, list, tuple]:
+    """Furthest progress and speed at each of one user's fixes, and what is reached after them."""
+    furthest, last, at, speed = reached
+    ahead, speeds = [], []
+    for now, new in zip(seconds, progress):
+        if new == new and new is not None:
+            if last is not None and new > last - BACK and SLOWEST < now - at < LONGEST:
+                v = (new - last) / (now - at)
+                speed = speed * WEIGHT + v * (1 - WEIGHT) if 0 <= v < FASTEST else speed
+            furthest = new if furthest is None else max(furthest, new)
+            last, at = new, now
+        ahead.append(furthest)
+        speeds.append(speed)
+    return ahead, speeds, (furthest, last, at, speed)
+
+
+def advance_group(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """MATCHED of a batch's fixes of the users of one group: furthest progress, and speed along the route."""
+    reached = {user: tuple(r) for user, *r in state.get[0]} if state.exists else {}
+    batch = pd.concat(list(rows), ignore_index=True)
+    users = batch["user"].fillna(0).to_numpy("int64")
+    order = np.lexsort((batch["id"], batch["seconds"], users))
+    batch, users = batch.take(order), users[order]
+    seconds, progress = batch["seconds"].tolist(), batch["progress"].tolist()
+    starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]]).tolist()
+    ahead, speeds = [], []
+    for low, high in zip(starts, [*starts[1:], len(users)]):
+        user = int(users[low])
+        more, faster, after = advance(seconds[low:high], progress[low:high], reached.get(user, (None, None, None, 0.0)))
+        ahead += more
+        speeds += faster
+        if after[0] is not None:
+            reached[user] = after
+    if reached:
+        state.update(([(user, *r) for user, r in reached.items()],))
+    yield batch[["user", "id", "seconds", "piece", "progress", "across"]].assign(furthest=np.array(ahead, "float64"), speed=speeds)
 
 
 def match(fixes: DataFrame, cells: DataFrame, reach: float = REACH) -> DataFrame:
-    """MATCHED of a stream of fixes. Fixes of a batch are taken in order of time; a batch's fixes follow those of the batches before."""
-    return project(fixes, cells, reach).groupBy("user").transformWithStateInPandas(statefulProcessor=ProgressProcessor(), outputStructType=MATCHED, outputMode="Append", timeMode="None")
+    """MATCHED of a stream of fixes. Fixes of a batch are taken in order of time; a batch's fixes follow those of the batches before.
+
+    Users whose ids are near share a group and its state, since a call of Python costs more than a user's fixes: at
+    most 2**NEAR users, however many there are in all.
+    """
+    return project(fixes, cells, reach).withColumn("users", F.shiftright("user", NEAR)).groupBy("users").applyInPandasWithState(advance_group, MATCHED, REACHED, "append", GroupStateTimeout.NoTimeout)
