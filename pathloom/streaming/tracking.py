@@ -18,7 +18,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pathloom.operators.evaluation import assign
 
@@ -35,8 +36,10 @@ IDENTITY = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 
 FRAMES = "video long, frame long, transform array<double>, detections array<struct<detection:long,label:string,confidence:double,x1:double,y1:double,x2:double,y2:double>>"
 TRACKS = "video long, frame long, detection long, label string, track long"
-CAMERA = "frame long, next long, forward array<double>"
-TRACK = "track long, label string, missed int, mean array<double>, spread array<double>"
+TRACK = "struct<track:long,label:string,missed:int,mean:array<double>,spread:array<double>>"
+HELD = f"videos array<struct<video:long,frame:long,next:long,forward:array<double>,tracks:array<{TRACK}>>>"
+#: Bits of video numbers that one group leaves open; rows of tracks handed on at once.
+NEAR, OUT_ROWS = 4, 10_000
 
 
 def overlap(a, b) -> float:
@@ -73,21 +76,23 @@ class Track:
 
     def predict(self) -> None:
         p, v = deviations(self.mean[6])
-        for k in range(4):
-            self.mean[2 * k] += self.mean[2 * k + 1]
+        mean, spread = [], []
+        for k, (at, speed) in enumerate(zip(self.mean[::2], self.mean[1::2])):
             a, b, c = self.spread[3 * k : 3 * k + 3]
-            self.spread[3 * k : 3 * k + 3] = [a + 2 * b + c + p[k] ** 2, b + c, c + v[k] ** 2]
+            mean += (at + speed, speed)
+            spread += (a + 2 * b + c + p[k] ** 2, b + c, c + v[k] ** 2)
+        self.mean, self.spread = mean, spread
 
     def update(self, box) -> None:
         z, (p, _) = measured(box), deviations(self.mean[6])
-        for k in range(4):
+        mean, spread = [], []
+        for k, (at, speed) in enumerate(zip(self.mean[::2], self.mean[1::2])):
             a, b, c = self.spread[3 * k : 3 * k + 3]
             total = a + (p[k] if k != 2 else 1e-1) ** 2
-            off = z[k] - self.mean[2 * k]
-            self.mean[2 * k] += a / total * off
-            self.mean[2 * k + 1] += b / total * off
-            self.spread[3 * k : 3 * k + 3] = [a - a * a / total, b - a * b / total, c - b * b / total]
-        self.missed = 0
+            off = z[k] - at
+            mean += (at + a / total * off, speed + b / total * off)
+            spread += (a - a * a / total, b - a * b / total, c - b * b / total)
+        self.mean, self.spread, self.missed = mean, spread, 0
 
     def box(self) -> list[float]:
         x, y, aspect, h = self.mean[::2]
@@ -98,7 +103,12 @@ def pairs(tracks: list[Track], boxes: list, most: float) -> list[tuple[int, int]
     """One-to-one pairs of tracks and boxes of least total cost, none above most."""
     if not tracks or not boxes:
         return []
-    cost = np.array([[1 - overlap(t.box(), b) for b in boxes] for t in tracks])
+    costs = [[1 - overlap(at, b) for b in boxes] for at in [t.box() for t in tracks]]
+    near = [(t, b) for t, row in enumerate(costs) for b, c in enumerate(row) if c <= most]
+    # Where no track or box has a choice, the pairs within the limit are the assignment.
+    if len({t for t, _ in near}) == len(near) == len({b for _, b in near}):
+        return near
+    cost = np.array(costs)
     gated = np.where(cost <= most, cost, 1e3)
     flip = len(tracks) > len(boxes)
     chosen = assign(gated.T if flip else gated)
@@ -111,6 +121,12 @@ class Tracker:
 
     def __init__(self, frame: int | None = None, following: int = 0, forward: Iterable[float] = IDENTITY, tracks: Iterable[Track] = ()):
         self.frame, self.following, self.forward, self.tracks = frame, following, np.array(list(forward)).reshape(3, 3), list(tracks)
+        self._turned()
+
+    def _turned(self) -> None:
+        """Keep what boxes need of the camera: nothing where it stands as it did."""
+        still = self.forward.ravel().tolist() == IDENTITY
+        self.back = None if still else np.linalg.inv(self.forward)
 
     def _new(self) -> int:
         self.following += 1
@@ -119,17 +135,22 @@ class Tracker:
     def _settle_camera(self, frame: int, transform) -> None:
         known = transform is not None and len(transform) == 9 and all(x is not None and math.isfinite(x) for x in transform)
         if self.frame is not None and known and frame == self.frame + 1:
+            if list(transform) == IDENTITY:
+                return
             forward = np.array([float(x) for x in transform]).reshape(3, 3) @ self.forward
             if abs(np.linalg.det(forward)) > 1e-12:
                 self.forward = forward
+                self._turned()
                 return
-        self.tracks, self.forward = [], np.array(IDENTITY).reshape(3, 3)
+        self.tracks, self.forward, self.back = [], np.array(IDENTITY).reshape(3, 3), None
 
     def _steady(self, box) -> list[float] | None:
         """A box as the camera's first view since its last jump has it; None where it has no area."""
         if any(x is None or not math.isfinite(x) for x in box):
             return None
-        corners = np.linalg.inv(self.forward) @ np.array([[box[0], box[2], box[2], box[0]], [box[1], box[1], box[3], box[3]], [1.0] * 4])
+        if self.back is None:
+            return [float(x) for x in box]
+        corners = self.back @ np.array([[box[0], box[2], box[2], box[0]], [box[1], box[1], box[3], box[3]], [1.0] * 4])
         if (np.abs(corners[2]) < 1e-9).any():
             return None
         x, y = corners[:2] / corners[2]
@@ -184,31 +205,35 @@ class Tracker:
             self.tracks.append(Track.start(given[k], label, box))
 
 
-class TrackProcessor(StatefulProcessor):
-    """Keeps a video's camera and tracks between batches."""
+def frames_of_group(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """TRACKS of a batch's frames of the videos of one group, some thousands at once."""
+    held = {}
+    for video, frame, following, forward, tracks in state.get[0] if state.exists else ():
+        held[video] = Tracker(frame, following, forward, [Track(t, label, missed, list(mean), list(spread)) for t, label, missed, mean, spread in tracks])
+    batch = pd.concat(list(rows), ignore_index=True)
+    # Nulls, if any, are a group of their own.
+    nameless, videos = batch["video"].isna().any(), batch["video"].fillna(0).to_numpy("int64")
+    batch = batch.take(np.lexsort((batch["frame"], videos)))
+    out = []
+    for video, frame, transform, detections in zip(np.sort(videos).tolist(), batch["frame"].tolist(), batch["transform"], batch["detections"]):
+        tracker = held.get(video) or held.setdefault(video, Tracker())
+        out += [(None if nameless else video, frame, *found) for found in tracker.step(frame, transform, detections)]
+        if len(out) >= OUT_ROWS:
+            yield _table(out)
+            out = []
+    state.update(([(video, t.frame, t.following, t.forward.ravel().tolist(), [(x.track, x.label, x.missed, [float(n) for n in x.mean], [float(n) for n in x.spread]) for x in t.tracks]) for video, t in held.items()],))
+    yield _table(out)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.camera = handle.getValueState("camera", CAMERA)
-        self.held = handle.getListState("tracks", TRACK)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tracker = Tracker()
-        if self.camera.exists():
-            frame, following, forward = self.camera.get()
-            tracker = Tracker(frame, following, forward, [Track(t, label, missed, list(mean), list(spread)) for t, label, missed, mean, spread in self.held.get()])
-        batch = pd.concat(list(rows)).sort_values("frame", kind="stable")
-        out = [(key[0], frame, *found) for frame, transform, detections in zip(batch["frame"], batch["transform"], batch["detections"]) for found in tracker.step(int(frame), transform, detections)]
-        self.camera.update((tracker.frame, tracker.following, tracker.forward.ravel().tolist()))
-        if tracker.tracks:
-            self.held.put([(t.track, t.label, t.missed, [float(x) for x in t.mean], [float(x) for x in t.spread]) for t in tracker.tracks])
-        else:
-            self.held.clear()
-        yield pd.DataFrame(out, columns=["video", "frame", "detection", "label", "track"]).astype({"track": "Int64"})
-
-    def close(self) -> None:
-        pass
+def _table(rows: list) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["video", "frame", "detection", "label", "track"]).astype({"track": "Int64"})
 
 
 def track(frames: DataFrame) -> DataFrame:
-    """TRACKS of a stream of FRAMES."""
-    return frames.groupBy("video").transformWithStateInPandas(statefulProcessor=TrackProcessor(), outputStructType=TRACKS, outputMode="Append", timeMode="None")
+    """TRACKS of a stream of FRAMES.
+
+    Videos whose numbers are near share a group and its state, at most 2**NEAR of them, however many there are in
+    all: a call of Python and a state of its own for each cost more than its frames.
+    """
+    near = frames.withColumn("videos", F.shiftright("video", NEAR))
+    return near.groupBy("videos").applyInPandasWithState(frames_of_group, TRACKS, HELD, "append", GroupStateTimeout.NoTimeout)
