@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.session import ship
-from pathloom.operators.graph import settle, shared_dir
+from pathloom.operators.graph import discard, settle, shared_dir
 from pathloom.plans.base import EDGES, NODES, edges, nodes, query, read
 from pathloom.sources import files
 from pathloom.streaming import matching, runs, tracking
@@ -92,9 +92,10 @@ SELECT e.u, e.v, e.length::DOUBLE AS length, e.scenery, e.highway, e.road, n.nat
 def snk02_graphml(spark, d):
     """The whole network written as one typed document and read back: each edge with attributes of its start."""
     path = f"{shared_dir(spark)}/network-{uuid.uuid4().hex}.graphml"
-    network = edges(spark, d)
+    network = settle(edges(spark, d))
     outgoing = network.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("outgoing"))
-    files.write_graphml(nodes(spark, d).join(outgoing, "node", "left"), network, path)
+    files.write_graphml(nodes(spark, d).join(outgoing, "node", "left"), network, path, compression="gzip")
+    discard(network)
     at, links = files.read_graphml(spark, path)
     of = lambda name, kind: F.try_element_at("attributes", F.lit(name)).cast(kind).alias(name)
     starts = at.select(F.col("node").alias("u"), of("nation", "int"), of("outgoing", "long"))

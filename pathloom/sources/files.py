@@ -106,13 +106,14 @@ def _xml_text(column: Column, kind: DataType) -> Column:
     return text
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, files: int | None = None) -> None:
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, files: int | None = None, compression: str = "none") -> None:
     """A directed graph as GraphML: the part files of the folder, in order of their names, are one document.
 
     nodes has node, edges has u and v; all other columns are attributes under typed keys. A name that
     nodes and edges share is one key, a string where their types differ. Nulls have no entry. Lines are
     range-sorted into the given number of files (else as many as there are shuffle partitions), so that
     no task holds the document; files=1 makes one file. A graph without nodes is a document as well.
+    With compression "gzip" the parts in order are one compressed document, which read_graphml reads a part to a task.
     """
     spark = nodes.sparkSession
     own = [{f.name: f.dataType for f in df.schema if f.name not in ids} for df, ids in ((nodes, ("node",)), (edges, ("u", "v")))]
@@ -135,4 +136,4 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, files: int | No
     )
     count = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["part", F.xxhash64("line")]
-    ends.unionByName(body).repartitionByRange(count, *order).sortWithinPartitions(*order, "line").select("line").write.mode("overwrite").text(path)
+    ends.unionByName(body).repartitionByRange(count, *order).sortWithinPartitions(*order, "line").select("line").write.mode("overwrite").option("compression", compression).text(path)
